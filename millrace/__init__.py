@@ -11,6 +11,7 @@ from millrace.operators.quality import (
     TooManyErrors,
     check_errors,
     count_records,
+    first_error_stops,
     is_empty,
     metrics_row,
     write_metrics,
@@ -41,6 +42,7 @@ __all__ = [
     "discover_table",
     "equi_join",
     "filter_in",
+    "first_error_stops",
     "flatten",
     "fresh_dir",
     "ingest_incremental",

@@ -22,7 +22,7 @@ def is_atomic(data_type: DataType) -> bool:
 def unquoted_text(column: Column, data_type: DataType) -> Column:
     """The value as text without double quotes; only text can contain any."""
     if isinstance(data_type, StringType):
-        return F.translate(column, '"', "")
+        return F.replace(column, F.lit('"'), F.lit(""))
     return column.cast("string")
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
 
 from millrace.operators.cleaning import strip_quotes
 from millrace.operators.dates import add_date_parts
@@ -32,7 +31,7 @@ def nested_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         nested.write.option("compression", "gzip").json(path)
 
     path = derived(spark, sf_dir, "documents-json", write)
-    return read_json(spark, path, StructType.fromDDL(NESTED_DOCUMENTS))
+    return read_json(spark, path, NESTED_DOCUMENTS)
 
 
 @query("flatten_struct", """

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
 
 from millrace.operators.dates import DATE_PARTS, add_date_parts
 from millrace.queries.registry import derived, new_database, query, table, time_text, wall_clock
@@ -38,14 +37,14 @@ def orders_json(spark: SparkSession, sf_dir: str) -> str:
 
 @query("json_scan", ORDERS_SQL)
 def json_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = StructType.fromDDL("o_orderkey long, o_orderstatus string, o_totalprice double")
+    schema = "o_orderkey long, o_orderstatus string, o_totalprice double"
     return read_json(spark, orders_json(spark, sf_dir), schema)
 
 
 @query("json_scan_spread", ORDERS_SQL)
 def json_scan_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same scan with the lines dealt out before they are parsed."""
-    schema = StructType.fromDDL("o_orderkey long, o_orderstatus string, o_totalprice double")
+    schema = "o_orderkey long, o_orderstatus string, o_totalprice double"
     return read_json(spark, orders_json(spark, sf_dir), schema, spread_first=True)
 
 
@@ -66,7 +65,7 @@ def json_scan_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
         orders.write.mode("append").json(path)
 
     path = derived(spark, sf_dir, "orders-json-twice", write)
-    schema = StructType.fromDDL("o_orderkey long, o_orderstatus string, o_totalprice double")
+    schema = "o_orderkey long, o_orderstatus string, o_totalprice double"
     return read_json(spark, path, schema, exclude=["_part*", "*.json"])
 
 
@@ -197,6 +196,6 @@ def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     for delivery in (orders.filter(final), orders.filter(~final), None):
         if delivery is not None:
             delivery.write.mode("append").option("compression", "gzip").json(src)
-        ingest_incremental(spark, src, dst, StructType.fromDDL(ORDERS), log)
+        ingest_incremental(spark, src, dst, ORDERS, log)
     rows = spark.read.parquet(dst).select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate")
     return wall_clock(rows, "o_orderdate")

@@ -4,14 +4,20 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
 
 from millrace.operators.dates import DATE_PARTS, add_date_parts
 from millrace.operators.distribution import spread
 from millrace.operators.joins import equi_join
-from millrace.operators.quality import READING, WRITING, TooManyErrors, check_errors, count_records, metrics_row
+from millrace.operators.quality import (
+    READING,
+    WRITING,
+    TooManyErrors,
+    check_errors,
+    count_records,
+    first_error_stops,
+    metrics_row,
+)
 from millrace.plans.warehouse import load_warehouse
 from millrace.queries.registry import derived, new_database, query, table
 from millrace.session import fresh_dir
@@ -69,17 +75,22 @@ def error_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "events").select(cut).write.option("compression", "gzip").text(path)
 
     path = derived(spark, sf_dir, "props-cut", write)
-    props = read_json(spark, path, StructType.fromDDL("k long"), bad_record="line")
-    bad = F.col("line").isNotNull()
-    verdicts = []
+    schema, verdicts = "k long", []
+    props = read_json(spark, path, schema, bad_record="line")
     for threshold in (0, 1, 2, 2_000_000_000):
         try:
-            write_parquet(check_errors(props, threshold, bad), fresh_dir(spark, "props-checked"))
+            if threshold == 1:
+                with first_error_stops():
+                    write_parquet(read_json(spark, path, schema, fail_fast=True), fresh_dir(spark, "props"))
+            else:
+                check_errors(props, threshold, F.col("line").isNotNull())
             verdicts.append((threshold, "passed"))
-        except (TooManyErrors, PySparkException):
+        except TooManyErrors:
             verdicts.append((threshold, "failed"))
-    counts = props.agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("bad")).first()
-    return spark.createDataFrame([(*v, *counts) for v in verdicts], "threshold int, verdict string, n long, bad long")
+    bad = check_errors(props, 0, F.col("line").isNotNull())
+    return spark.createDataFrame(
+        [(*v, props.count(), bad) for v in verdicts], "threshold int, verdict string, n long, bad long"
+    )
 
 
 @query("spread", "SELECT l_returnflag, count(*) AS n, sum(l_linenumber) AS lines FROM lineitem GROUP BY l_returnflag")

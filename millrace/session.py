@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -47,3 +49,19 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_dir(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that nothing has used before; it is not created."""
     return f"{shared_dir(spark)}/millrace/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def small_methods(spark: SparkSession) -> Iterator[None]:
+    """Plan what runs inside for the JIT compiler, which leaves methods over 8000 bytes alone.
+
+    A projection of dozens of casts in one fused method exceeds that and would be
+    interpreted; with this limit Spark cuts it into methods that are compiled.
+    """
+    key = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "8000")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

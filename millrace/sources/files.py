@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from millrace.operators.distribution import spread
 
@@ -37,12 +37,13 @@ def _wanted_paths(spark: SparkSession, path: str, exclude: Sequence[str], recurs
 def read_json(
     spark: SparkSession,
     path: str,
-    schema: StructType | None = None,
+    schema: StructType | str | None = None,
     *,
     exclude: Sequence[str] = (),
     recursive: bool = False,
     multiline: bool = False,
     bad_record: str | None = None,
+    fail_fast: bool = False,
     spread_first: bool = False,
 ) -> DataFrame:
     """JSON files below a path, plain or compressed (by suffix), one object per line.
@@ -51,32 +52,35 @@ def read_json(
     holds globs of file names to skip; names starting with ``_`` or ``.`` always are.
     ``multiline`` reads files that are one object or one array of objects.
 
-    ``bad_record`` adds a column that holds the text of each line that is no JSON object.
-    ``spread_first`` deals out unparsed lines before parsing, so that a large gzip file,
-    which only one task can read, is still parsed by many. Both need a schema.
+    ``bad_record`` adds a column that holds the text of each line that is no JSON object;
+    ``fail_fast`` lets the first such line stop the job. ``spread_first`` deals out unparsed
+    lines before parsing, so that a large gzip file, which only one task can read, is still
+    parsed by many. All three need a schema. An object or array that the schema takes as
+    text is given in compact form with ``bad_record`` and ``spread_first``, else as spelled.
     """
     files = spark.read.option("recursiveFileLookup", recursive)
     if schema is None or multiline:
-        if bad_record or spread_first:
-            raise ValueError("read_json: bad_record and spread_first need a schema and one object per line")
+        if bad_record or fail_fast or spread_first:
+            raise ValueError("read_json: bad records and spreading need a schema and one object per line")
         files = files.option("multiLine", multiline).option("primitivesAsString", schema is None)
         paths = _wanted_paths(spark, path, exclude, recursive)
         return (files.schema(schema) if schema is not None else files).json(paths)
+    options = {"mode": "FAILFAST" if fail_fast else "PERMISSIVE"}
     if not bad_record and not spread_first:
-        return _skip_files(files.schema(schema).json(path), exclude)
+        return _skip_files(files.options(**options).schema(schema).json(path), exclude)
 
     lines = _skip_files(files.schema("value string").text(path), exclude).filter(F.trim("value") != "")
     if spread_first:
         lines = spread(lines)
-    options = {"mode": "PERMISSIVE"}
     if bad_record:
-        schema = StructType(schema.fields).add(bad_record, StringType())
+        parsed = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        schema = StructType(parsed.fields + [StructField(bad_record, StringType())])
         options["columnNameOfCorruptRecord"] = bad_record
     return lines.select(F.from_json("value", schema, options).alias("record")).select("record.*")
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: StructType | None = None, **options: str | bool
+    spark: SparkSession, path: str, schema: StructType | str | None = None, **options: str | bool
 ) -> DataFrame:
     """CSV files with a header line; without a schema, types are inferred in an extra pass."""
     reader = spark.read.options(**{**CSV_OPTIONS, **options})
@@ -84,7 +88,7 @@ def read_csv(
     return reader.csv(path)
 
 
-def read_parquet(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+def read_parquet(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
     """Parquet files; columns and row groups that a query does not need are not read."""
     reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.parquet(path)

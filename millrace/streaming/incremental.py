@@ -12,7 +12,7 @@ def ingest_incremental(
     spark: SparkSession,
     src: str,
     dst: str,
-    schema: StructType,
+    schema: StructType | str,
     checkpoint: str,
     *,
     fmt: str = "json",

@@ -1,0 +1,85 @@
+import pytest
+from pyspark.sql import functions as F
+
+from millrace import TooManyErrors, first_error_stops, largest_file_dominates, read_csv, read_json, spread
+
+A = "a string, n string"
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_gzip_and_plain_with_decoys(spark, lines):
+    path = lines("in", "x.json.gz", '{"a": "1", "n": 5}', "", '{"a": null}')
+    lines("in", "y.json", '{"a": "2", "n": [1,{"k":2}]}')
+    lines("in", "_part0.json", '{"a": "no"}')
+    lines("in", "skip_me.json", '{"a": "no"}')
+    want = sorted([("1", "5"), (None, None), ("2", '[1,{"k":2}]')], key=repr)
+    for options in ({}, {"spread_first": True}, {"fail_fast": True}):
+        assert rows(read_json(spark, path, A, exclude=["_part*", "skip*"], **options)) == want
+    inferred = read_json(spark, path, exclude=["skip*"])
+    assert dict(inferred.dtypes) == {"a": "string", "n": "string"}
+    assert rows(inferred) == want
+
+
+def test_exclusion_prunes_before_inference(spark, lines):
+    path = lines("in", "x.json", '{"a": "1"}')
+    lines("in", "skip.json", '{"other": "1"}')
+    assert read_json(spark, path, exclude=["skip*"]).columns == ["a"]
+
+
+def test_subfolders_only_on_request(spark, lines, tmp_path):
+    path = lines("in", "x.json", '{"a": "1"}')
+    lines("in/sub", "y.json", '{"a": "2"}')
+    assert rows(read_json(spark, path, A)) == [("1", None)]
+    assert read_json(spark, path, A, recursive=True).count() == 2
+
+
+@pytest.mark.parametrize("spread_first", [False, True])
+def test_bad_lines_are_kept_apart(spark, lines, spread_first):
+    path = lines("in", "x.json.gz", '{"a": "1"}', '{"a": "2"', "[]", '"text"', '{"a": 3}')
+    df = read_json(spark, path, A, bad_record="bad", spread_first=spread_first)
+    good = df.filter(F.col("bad").isNull())
+    assert rows(good.select("a")) == [("1",), ("3",)]
+    assert rows(df.filter(F.col("bad").isNotNull()).select("bad")) == [('"text"',), ("[]",), ('{"a": "2"',)]
+    with pytest.raises(TooManyErrors), first_error_stops():
+        read_json(spark, path, A, fail_fast=True, spread_first=spread_first).collect()
+
+
+def test_multiline(spark, lines):
+    path = lines("in", "x.json.gz", "[", '{"a": "1"},', '{"a": "2",', '"n": 3}', "]")
+    assert rows(read_json(spark, path, A, multiline=True)) == [("1", None), ("2", "3")]
+    with pytest.raises(ValueError):
+        read_json(spark, path, A, multiline=True, spread_first=True)
+
+
+def test_csv_quotes_and_types(spark, lines):
+    path = lines("in", "x.csv", "k,v,w", '1," say ""hi"", ok ",2.5', "2,,")
+    assert rows(read_csv(spark, path)) == [(1, ' say "hi", ok ', 2.5), (2, None, None)]
+    typed = read_csv(spark, path, "k long, v string, w decimal(10,2)")
+    assert [t for _, t in typed.dtypes] == ["bigint", "string", "decimal(10,2)"]
+
+
+def test_empty_folder(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    assert read_json(spark, str(tmp_path / "none"), A).count() == 0
+    assert not largest_file_dominates(spark, str(tmp_path / "none"))
+
+
+def test_one_large_file_is_noticed(spark, lines):
+    path = lines("in", "big.json", *["x" * 1000] * 100)
+    for i in range(3):
+        lines("in", f"small{i}.json", "x")
+    assert largest_file_dominates(spark, path, small=10_000)
+    assert not largest_file_dominates(spark, path)
+    even = lines("even", "0.json", *["x" * 1000] * 100)
+    for i in range(1, 16):
+        lines("even", f"{i}.json", *["x" * 1000] * 100)
+    assert not largest_file_dominates(spark, even, small=10_000)
+
+
+def test_spread_keeps_rows(spark):
+    df = spark.range(1000).coalesce(1)
+    assert spread(df, 7).rdd.getNumPartitions() == 7
+    assert spread(df).agg(F.sum("id"), F.count("id")).first()[:] == (499500, 1000)

@@ -1,7 +1,13 @@
-"""Column expressions used by several operators. All of them stay inside the JVM."""
+"""Column expressions used by several operators. All of them stay inside the JVM.
+
+Wide projections are given as SQL text: one call per column, where the same thing put
+together from Column objects takes dozens.
+"""
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType, VariantType
 
@@ -15,17 +21,22 @@ def named(name: str) -> Column:
     return F.col(quoted(name))
 
 
+@lru_cache(maxsize=None)
+def parsed_type(ddl: str) -> DataType:
+    return DataType.fromDDL(ddl)
+
+
 def is_atomic(data_type: DataType) -> bool:
     return not isinstance(data_type, (ArrayType, MapType, StructType, VariantType))
 
 
-def unquoted_text(column: Column, data_type: DataType) -> Column:
+def unquoted_text(sql: str, data_type: DataType) -> str:
     """The value as text without double quotes; only text can contain any."""
     if isinstance(data_type, StringType):
-        return F.replace(column, F.lit('"'), F.lit(""))
-    return column.cast("string")
+        return f"replace({sql}, '\"', '')"
+    return f"cast({sql} as string)"
 
 
-def cast_or_null(column: Column, have: DataType, want: DataType) -> Column:
+def cast_or_null(sql: str, have: DataType, want: DataType) -> str:
     """Cast that turns an unusable value into NULL; no cast at all between equal types."""
-    return column if have == want else column.try_cast(want)
+    return sql if have == want else f"try_cast({sql} as {want.simpleString()})"

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.functions.columns import named
 
-# Compressed bytes that one task reads in well under a minute; below this a shuffle costs more.
-SMALL_FILE = 32 << 20
+# Compressed bytes that one task parses in a few seconds; below this a shuffle costs more.
+SMALL_FILE = 8 << 20
 
 
 def spread(df: DataFrame, n: int | None = None) -> DataFrame:

@@ -39,7 +39,7 @@ def flatten(df: DataFrame, sep: str = ".") -> DataFrame:
     """
     leaves = list(_leaves(df.schema, sep))
     require_distinct([name for name, _ in leaves], "flatten")
-    return df.select(*[F.col(path).alias(name) for name, path in leaves])
+    return df.selectExpr(*[f"{path} as {quoted(name)}" for name, path in leaves])
 
 
 def relationalize(
@@ -87,7 +87,7 @@ def _split(records: DataFrame, table: str, root: str, key: Column, tables: dict[
         elements = records.select(key.alias("id"), F.posexplode(named(name)).alias("index", f"{name}.val"))
         child_fields = [f for f in elements.schema.fields if f.name not in ("id", "index")]
         leaves = list(_leaves(StructType(child_fields), "."))
-        child = elements.select("id", "index", *[F.col(path).alias(leaf) for leaf, path in leaves])
+        child = elements.selectExpr("id", "index", *[f"{path} as {quoted(leaf)}" for leaf, path in leaves])
         _split(child, f"{root}_{name}", root, F.struct("id", "index"), tables)
 
 

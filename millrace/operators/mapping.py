@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.types import DataType, StringType, StructField, StructType
 
-from millrace.functions.columns import cast_or_null, named, quoted
+from millrace.functions.columns import cast_or_null, parsed_type, quoted
 from millrace.operators.flatten import require_distinct
 
 
@@ -28,7 +28,7 @@ def read_mapping(text: str) -> list[Mapping]:
 def target_schema(mappings: Iterable[Mapping | Sequence[str]]) -> StructType:
     """The schema that :func:`apply_mapping` produces."""
     fields = [Mapping(*m) for m in mappings]
-    return StructType([StructField(m.target, DataType.fromDDL(m.target_type)) for m in fields])
+    return StructType([StructField(m.target, parsed_type(m.target_type)) for m in fields])
 
 
 def source_schema(mappings: Iterable[Mapping | Sequence[str]], under: str | None = None) -> StructType:
@@ -53,17 +53,17 @@ def source_schema(mappings: Iterable[Mapping | Sequence[str]], under: str | None
     return struct(tree)
 
 
-def _locate(schema: StructType, name: str) -> tuple[Column, DataType] | None:
+def _locate(schema: StructType, name: str) -> tuple[str, DataType] | None:
     """A column of that exact name or, failing that, a struct field at that dotted path."""
     if name in schema.names:
-        return named(name), schema[name].dataType
+        return quoted(name), schema[name].dataType
     steps = name.split(".")
     data_type: DataType = schema
     for step in steps:
         if not isinstance(data_type, StructType) or step not in data_type.names:
             return None
         data_type = data_type[step].dataType
-    return F.col(".".join(quoted(step) for step in steps)), data_type
+    return ".".join(quoted(step) for step in steps), data_type
 
 
 def apply_mapping(
@@ -79,10 +79,10 @@ def apply_mapping(
     require_distinct([m.target for m in mappings], "apply_mapping")
     schema, projection = df.schema, []
     for mapping in mappings:
-        want = DataType.fromDDL(mapping.target_type)
+        want = parsed_type(mapping.target_type)
         found = _locate(schema, mapping.source)
         if strict:
-            stated = DataType.fromDDL(mapping.source_type)
+            stated = parsed_type(mapping.source_type)
             if found is None:
                 raise ValueError(f"apply_mapping: no column {mapping.source!r}")
             if found[1] != stated:
@@ -90,6 +90,6 @@ def apply_mapping(
                     f"apply_mapping: {mapping.source!r} is {found[1].simpleString()}, "
                     f"not {stated.simpleString()}"
                 )
-        column = F.lit(None).cast(want) if found is None else cast_or_null(*found, want)
-        projection.append(column.alias(mapping.target))
-    return df.select(*projection)
+        value = f"cast(null as {want.simpleString()})" if found is None else cast_or_null(*found, want)
+        projection.append(f"{value} as {quoted(mapping.target)}")
+    return df.selectExpr(*projection)

@@ -18,6 +18,7 @@ from millrace.operators.quality import (
     first_error_stops,
     metrics_row,
 )
+from millrace.plans.refresh import Warehouse
 from millrace.plans.warehouse import load_warehouse
 from millrace.queries.registry import derived, new_database, query, table
 from millrace.session import fresh_dir
@@ -29,9 +30,16 @@ from millrace.sources.files import read_json
 DERBY = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
 
 
-def memory_database() -> str:
-    """An embedded database that only this process sees; it stands in for the warehouse."""
-    return f"jdbc:derby:memory:wh_{uuid.uuid4().hex};create=true"
+def warehouse(spark: SparkSession, table: str) -> Warehouse:
+    """The database named by ``spark.millrace.warehouse.url``, else one embedded in this process.
+
+    Executors in other processes do not see the embedded one: on a cluster, name a real one.
+    """
+    name = uuid.uuid4().hex
+    url = spark.conf.get("spark.millrace.warehouse.url", None)
+    if url:
+        return Warehouse(url, f"{table}_{name}", {})
+    return Warehouse(f"jdbc:derby:memory:wh_{name};create=true", table, DERBY)
 
 
 @query("join_inner", """
@@ -46,9 +54,10 @@ def join_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("metrics", """
-    SELECT action, n AS records,
-           concat('{"job_metrics":"copy","directory":"events","records":', n, ',"action":"', action, '"}') AS json
-    FROM (SELECT count(*) AS n FROM events), (VALUES ('reading_s3'), ('writing_s3')) actions(action)
+    SELECT action, records,
+           concat('{"job_metrics":"copy","directory":"events","records":', records, ',"action":"', action, '"}') AS json
+    FROM (SELECT 'reading_s3' AS action, count(*) AS records FROM events
+          UNION ALL SELECT 'writing_s3', count(*) FROM events)
 """)
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     events, path = table(spark, sf_dir, "events"), fresh_dir(spark, "events-copy")
@@ -165,13 +174,13 @@ def replace_write(spark: SparkSession, sf_dir: str) -> DataFrame:
 def warehouse_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A catalog table loaded twice: the second load replaces the first."""
     customer, nation = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
-    path, db, url = fresh_dir(spark, "processed"), new_database(spark), memory_database()
+    path, db, target = fresh_dir(spark, "processed"), new_database(spark), warehouse(spark, "customer_nation")
     joined = customer.join(nation, customer.c_nationkey == nation.n_nationkey)
     write_parquet(joined.select("c_custkey", "c_acctbal", "n_name"), path)
     register_table(spark, db, "processed_data", path, "parquet")
     for _ in range(2):
-        load_warehouse(spark, db, "processed_data", url, "customer_nation", DERBY)
-    return spark.read.jdbc(url, "customer_nation", properties=DERBY)
+        load_warehouse(spark, db, "processed_data", *target)
+    return spark.read.jdbc(target.url, target.table, properties=target.properties)
 
 
 @query("landing_refresh", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 
 from millrace.operators.distribution import cluster
 
+MODES = ("append", "overwrite", "replace")
+
 
 def write_partitioned(
     df: DataFrame,
@@ -19,14 +21,16 @@ def write_partitioned(
     """Hive-style partition directories; a NULL key goes to the default partition.
 
     ``append`` only adds files, so a rerun duplicates rows. ``overwrite`` replaces the
-    directories that ``df`` has rows for and leaves the others alone, so a rerun does
-    not. Rows are brought together by key first, unless ``clustered`` says they are.
+    directories that ``df`` has rows for and leaves the others alone; ``replace`` clears
+    all of them first. Rows are brought together by key, unless ``clustered`` says they
+    are already.
     """
-    if mode not in ("append", "overwrite"):
-        raise ValueError(f"write_partitioned: mode {mode!r} is neither append nor overwrite")
+    if mode not in MODES:
+        raise ValueError(f"write_partitioned: mode {mode!r} is none of {', '.join(MODES)}")
     rows = df if clustered else cluster(df, by)
-    writer = rows.write.mode(mode).partitionBy(*by).option("compression", "snappy")
-    writer.option("partitionOverwriteMode", "dynamic").parquet(path)
+    writer = rows.write.mode("append" if mode == "append" else "overwrite").partitionBy(*by)
+    writer = writer.option("partitionOverwriteMode", "static" if mode == "replace" else "dynamic")
+    writer.option("compression", "snappy").parquet(path)
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace import cluster, land, load_jdbc, write_parquet, write_partitioned
-from millrace.queries.sinks import DERBY, memory_database
+from millrace.queries.sinks import DERBY, warehouse
 from millrace.sinks.warehouse import LoadMismatch
 
 
@@ -35,6 +35,8 @@ def test_overwrite_replaces_only_what_it_brings(spark, tmp_path):
     assert spark.read.parquet(path).count() == 100
     write_partitioned(days(spark).filter("day = 2 and id < 10"), path, ["day"], mode="overwrite")
     assert spark.read.parquet(path).count() == 100 - 25 + 2  # ids 2 and 6
+    write_partitioned(days(spark).filter("day = 2"), path, ["day"], mode="replace")
+    assert spark.read.parquet(path).count() == 25
     with pytest.raises(ValueError):
         write_partitioned(days(spark), path, ["day"], mode="ignore")
 
@@ -74,7 +76,7 @@ def test_replace(spark, tmp_path):
 
 @pytest.mark.parametrize("truncate", [True, False])
 def test_warehouse_full_refresh(spark, truncate):
-    url = memory_database()
+    url = warehouse(spark, "t").url
     assert load_jdbc(spark.range(30), url, "t", truncate, properties=DERBY) == 30
     assert load_jdbc(spark.range(12), url, "t", truncate, properties=DERBY, connections=2) == 12
     assert spark.read.jdbc(url, "t", properties=DERBY).count() == 12
@@ -82,7 +84,7 @@ def test_warehouse_full_refresh(spark, truncate):
 
 
 def test_warehouse_truncate_keeps_the_definition(spark):
-    url = memory_database()
+    url = warehouse(spark, "t").url
     load_jdbc(spark.range(3).selectExpr("cast(id as int) id"), url, "t", properties=DERBY)
     load_jdbc(spark.range(5), url, "t", properties=DERBY)
     assert [t for _, t in spark.read.jdbc(url, "t", properties=DERBY).dtypes] == ["int"]
@@ -104,7 +106,7 @@ class Recount:
 
 
 def test_warehouse_load_that_does_not_add_up_starts_over(spark):
-    url = memory_database()
+    url = warehouse(spark, "t").url
     assert load_jdbc(Recount(spark.range(9), 1), url, "t", properties=DERBY) == 9
     assert spark.read.jdbc(url, "t", properties=DERBY).count() == 9
     with pytest.raises(LoadMismatch):

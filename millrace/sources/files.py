@@ -12,8 +12,10 @@ from pyspark.sql.types import StringType, StructField, StructType
 from millrace.operators.distribution import spread
 
 # Standard CSV quoting: a quote inside a quoted value is doubled, and blanks belong to the value.
+# Spark takes CSV columns by position; a file whose header says otherwise is to be an error.
 CSV_OPTIONS = {
     "header": "true",
+    "enforceSchema": "false",
     "escape": '"',
     "ignoreLeadingWhiteSpace": "false",
     "ignoreTrailingWhiteSpace": "false",

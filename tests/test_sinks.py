@@ -90,8 +90,8 @@ def test_warehouse_truncate_keeps_the_definition(spark):
     assert [t for _, t in spark.read.jdbc(url, "t", properties=DERBY).dtypes] == ["int"]
 
 
-class Recount:
-    """A table whose stated row count is off by one for the first few counts."""
+class Stutter:
+    """A table whose first loads, as many as ``wrong``, bring one row twice."""
 
     def __init__(self, df, wrong):
         self.df, self.sparkSession, self.wrong = df, df.sparkSession, wrong
@@ -107,10 +107,10 @@ class Recount:
 
 def test_warehouse_load_that_does_not_add_up_starts_over(spark):
     url = warehouse(spark, "t").url
-    assert load_jdbc(Recount(spark.range(9), 1), url, "t", properties=DERBY) == 9
+    assert load_jdbc(Stutter(spark.range(9), 1), url, "t", properties=DERBY) == 9
     assert spark.read.jdbc(url, "t", properties=DERBY).count() == 9
     with pytest.raises(LoadMismatch):
-        load_jdbc(Recount(spark.range(9), 5), url, "t", properties=DERBY)
+        load_jdbc(Stutter(spark.range(9), 5), url, "t", properties=DERBY)
 
 
 def test_landing_replaces_and_keeps_values(spark, lines, tmp_path):

@@ -83,3 +83,9 @@ def test_spread_keeps_rows(spark):
     df = spark.range(1000).coalesce(1)
     assert spread(df, 7).rdd.getNumPartitions() == 7
     assert spread(df).agg(F.sum("id"), F.count("id")).first()[:] == (499500, 1000)
+
+
+def test_csv_with_another_header_is_refused(spark, lines):
+    path = lines("in", "x.csv", "b,a", "1,2")
+    with pytest.raises(Exception, match="header"):
+        read_csv(spark, path, "a int, b int").collect()

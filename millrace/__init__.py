@@ -1,6 +1,6 @@
 """Table-level Spark operators that turn raw nested files into typed, partitioned tables."""
 
-from millrace.operators.distribution import cluster, largest_file_dominates, spread
+from millrace.operators.distribution import cluster, spread
 from millrace.operators.filters import filter_in
 from millrace.operators.flatten import flatten, relationalize, strip_name
 from millrace.operators.cleaning import strip_quotes
@@ -28,7 +28,7 @@ from millrace.sources.catalog import (
     register_table,
     sync_schema,
 )
-from millrace.sources.files import read_csv, read_json, read_parquet
+from millrace.sources.files import oversized_gzip, read_csv, read_json, read_parquet
 from millrace.streaming.incremental import ingest_incremental
 
 __all__ = [
@@ -48,10 +48,10 @@ __all__ = [
     "ingest_incremental",
     "is_empty",
     "land",
-    "largest_file_dominates",
     "load_jdbc",
     "mark_deprecated",
     "metrics_row",
+    "oversized_gzip",
     "read_csv",
     "read_json",
     "read_mapping",

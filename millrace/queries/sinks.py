@@ -92,11 +92,11 @@ def error_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
                 with first_error_stops():
                     write_parquet(read_json(spark, path, schema, fail_fast=True), fresh_dir(spark, "props"))
             else:
-                check_errors(props, threshold, F.col("line").isNotNull())
+                check_errors(props, threshold, "line")
             verdicts.append((threshold, "passed"))
         except TooManyErrors:
             verdicts.append((threshold, "failed"))
-    bad = check_errors(props, 0, F.col("line").isNotNull())
+    bad = check_errors(props, 0, "line")
     return spark.createDataFrame(
         [(*v, props.count(), bad) for v in verdicts], "threshold int, verdict string, n long, bad long"
     )

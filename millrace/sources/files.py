@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from millrace.operators.distribution import spread
+from millrace.session import fresh_dir
+
+# Compressed bytes that one task parses in a few seconds; rewriting smaller files costs more.
+SMALL_FILE = 8 << 20
 
 # Standard CSV quoting: a quote inside a quoted value is doubled, and blanks belong to the value.
 # Spark takes CSV columns by position; a file whose header says otherwise is to be an error.
@@ -46,39 +50,61 @@ def read_json(
     multiline: bool = False,
     bad_record: str | None = None,
     fail_fast: bool = False,
-    spread_first: bool = False,
+    rechunk_over: int | None = None,
 ) -> DataFrame:
     """JSON files below a path, plain or compressed (by suffix), one object per line.
 
+    A line may also be an array of objects, each a record, or of none.
     Without a schema, it is inferred in an extra pass with every leaf as text. ``exclude``
     holds globs of file names to skip; names starting with ``_`` or ``.`` always are.
     ``multiline`` reads files that are one object or one array of objects.
 
     ``bad_record`` adds a column that holds the text of each line that is no JSON object;
-    ``fail_fast`` lets the first such line stop the job. ``spread_first`` deals out unparsed
-    lines before parsing, so that a large gzip file, which only one task can read, is still
-    parsed by many. All three need a schema. An object or array that the schema takes as
-    text is given in compact form with ``bad_record`` and ``spread_first``, else as spelled.
+    ``fail_fast`` lets the first such line stop the job. Only one task can read a gzip
+    file: those of more than ``rechunk_over`` bytes are first rewritten, line by line, as
+    small files in the shared folder, so that many tasks parse them. These three need a
+    schema and one object per line.
     """
     files = spark.read.option("recursiveFileLookup", recursive)
     if schema is None or multiline:
-        if bad_record or fail_fast or spread_first:
-            raise ValueError("read_json: bad records and spreading need a schema and one object per line")
+        if bad_record or fail_fast or rechunk_over is not None:
+            raise ValueError("read_json: bad records and rechunking need a schema and one object per line")
         files = files.option("multiLine", multiline).option("primitivesAsString", schema is None)
         paths = _wanted_paths(spark, path, exclude, recursive)
         return (files.schema(schema) if schema is not None else files).json(paths)
-    options = {"mode": "FAILFAST" if fail_fast else "PERMISSIVE"}
-    if not bad_record and not spread_first:
-        return _skip_files(files.options(**options).schema(schema).json(path), exclude)
 
-    lines = _skip_files(files.schema("value string").text(path), exclude).filter(F.trim("value") != "")
-    if spread_first:
-        lines = spread(lines)
     if bad_record:
         parsed = StructType.fromDDL(schema) if isinstance(schema, str) else schema
         schema = StructType(parsed.fields + [StructField(bad_record, StringType())])
-        options["columnNameOfCorruptRecord"] = bad_record
-    return lines.select(F.from_json("value", schema, options).alias("record")).select("record.*")
+    options = {
+        "recursiveFileLookup": recursive,
+        "mode": "FAILFAST" if fail_fast else "PERMISSIVE",
+        "columnNameOfCorruptRecord": bad_record or "",
+    }
+
+    def scan(folder: str) -> DataFrame:
+        return spark.read.options(**options).schema(schema).json(folder)
+
+    records = _skip_files(scan(path), exclude)
+    if rechunk_over is None:
+        return records
+    large = (F.col("_metadata.file_size") > rechunk_over) & F.lower("_metadata.file_name").endswith(".gz")
+    lines = _skip_files(files.text(path), exclude).filter(large).select("value")
+    chunks = fresh_dir(spark, "chunks")
+    spread(lines).write.option("compression", "gzip").text(chunks)
+    return records.filter(~large).union(scan(chunks))
+
+
+def oversized_gzip(spark: SparkSession, path: str, recursive: bool = False, small: int = SMALL_FILE) -> int | None:
+    """The size beyond which a gzip file would hold up the scan, if there is such a file.
+
+    That is twice an even share of all bytes per core. Reads file sizes only.
+    """
+    files = spark.read.option("recursiveFileLookup", recursive).format("binaryFile").load(path)
+    gzip_length = F.when(F.lower("_metadata.file_name").endswith(".gz"), F.col("length"))
+    largest, total = files.agg(F.max(gzip_length), F.sum("length")).first()
+    limit = max(small, 2 * (total or 0) // spark.sparkContext.defaultParallelism)
+    return limit if (largest or 0) > limit else None
 
 
 def read_csv(

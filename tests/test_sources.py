@@ -1,7 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from millrace import TooManyErrors, first_error_stops, largest_file_dominates, read_csv, read_json, spread
+from millrace import TooManyErrors, first_error_stops, oversized_gzip, read_csv, read_json, spread
 
 A = "a string, n string"
 
@@ -12,11 +14,11 @@ def rows(df):
 
 def test_gzip_and_plain_with_decoys(spark, lines):
     path = lines("in", "x.json.gz", '{"a": "1", "n": 5}', "", '{"a": null}')
-    lines("in", "y.json", '{"a": "2", "n": [1,{"k":2}]}')
+    lines("in", "y.json", '{"a": "2", "n": [1, {"k": 2}]}')
     lines("in", "_part0.json", '{"a": "no"}')
     lines("in", "skip_me.json", '{"a": "no"}')
-    want = sorted([("1", "5"), (None, None), ("2", '[1,{"k":2}]')], key=repr)
-    for options in ({}, {"spread_first": True}, {"fail_fast": True}):
+    want = sorted([("1", "5"), (None, None), ("2", '[1, {"k": 2}]')], key=repr)
+    for options in ({}, {"rechunk_over": 0}, {"fail_fast": True}):
         assert rows(read_json(spark, path, A, exclude=["_part*", "skip*"], **options)) == want
     inferred = read_json(spark, path, exclude=["skip*"])
     assert dict(inferred.dtypes) == {"a": "string", "n": "string"}
@@ -36,22 +38,22 @@ def test_subfolders_only_on_request(spark, lines, tmp_path):
     assert read_json(spark, path, A, recursive=True).count() == 2
 
 
-@pytest.mark.parametrize("spread_first", [False, True])
-def test_bad_lines_are_kept_apart(spark, lines, spread_first):
-    path = lines("in", "x.json.gz", '{"a": "1"}', '{"a": "2"', "[]", '"text"', '{"a": 3}')
-    df = read_json(spark, path, A, bad_record="bad", spread_first=spread_first)
+@pytest.mark.parametrize("rechunk_over", [None, 0])
+def test_bad_lines_are_kept_apart(spark, lines, rechunk_over):
+    path = lines("in", "x.json.gz", '{"a": "1"}', '{"a": "2"', "[1]", '"text"', "[]", '[{"a": 3}]')
+    df = read_json(spark, path, A, bad_record="bad", rechunk_over=rechunk_over)
     good = df.filter(F.col("bad").isNull())
     assert rows(good.select("a")) == [("1",), ("3",)]
-    assert rows(df.filter(F.col("bad").isNotNull()).select("bad")) == [('"text"',), ("[]",), ('{"a": "2"',)]
+    assert sorted(r.bad for r in df.collect() if r.bad) == ['"text"', "[1]", '{"a": "2"']
     with pytest.raises(TooManyErrors), first_error_stops():
-        read_json(spark, path, A, fail_fast=True, spread_first=spread_first).collect()
+        read_json(spark, path, A, fail_fast=True, rechunk_over=rechunk_over).collect()
 
 
 def test_multiline(spark, lines):
     path = lines("in", "x.json.gz", "[", '{"a": "1"},', '{"a": "2",', '"n": 3}', "]")
     assert rows(read_json(spark, path, A, multiline=True)) == [("1", None), ("2", "3")]
     with pytest.raises(ValueError):
-        read_json(spark, path, A, multiline=True, spread_first=True)
+        read_json(spark, path, A, multiline=True, rechunk_over=0)
 
 
 def test_csv_quotes_and_types(spark, lines):
@@ -64,19 +66,44 @@ def test_csv_quotes_and_types(spark, lines):
 def test_empty_folder(spark, tmp_path):
     (tmp_path / "none").mkdir()
     assert read_json(spark, str(tmp_path / "none"), A).count() == 0
-    assert not largest_file_dominates(spark, str(tmp_path / "none"))
+    assert oversized_gzip(spark, str(tmp_path / "none")) is None
+
+
+@pytest.mark.parametrize("options", [{}, {"rechunk_over": 0}, {"bad_record": "bad"}, {"fail_fast": True}])
+def test_numbers_read_as_text_keep_every_digit(spark, lines, options):
+    path = lines("in", "x.json.gz", '{"a": 123456789012345.6789, "n": 1.50}', '{"a": 12345678901234567890123, "n": 1E5}')
+    got = read_json(spark, path, A, **options).select("a", "n")
+    assert set(rows(got)) == {("123456789012345.6789", "1.50"), ("12345678901234567890123", "1E5")}
+
+
+def random_text(n):
+    return ["%0128x" % random.getrandbits(512) for _ in range(n)]
 
 
-def test_one_large_file_is_noticed(spark, lines):
-    path = lines("in", "big.json", *["x" * 1000] * 100)
+def test_one_large_gzip_file_is_noticed(spark, lines):
+    path = lines("in", "big.json.gz", *random_text(500))
     for i in range(3):
-        lines("in", f"small{i}.json", "x")
-    assert largest_file_dominates(spark, path, small=10_000)
-    assert not largest_file_dominates(spark, path)
-    even = lines("even", "0.json", *["x" * 1000] * 100)
+        lines("in", f"small{i}.json.gz", "x")
+    limit = oversized_gzip(spark, path, small=10_000)
+    assert 8_000 < limit < 35_000
+    assert oversized_gzip(spark, path) is None
+    lines("in", "plain.json", *random_text(5_000))
+    assert oversized_gzip(spark, path, small=10_000) is None
+    even = lines("even", "0.json.gz", *random_text(500))
     for i in range(1, 16):
-        lines("even", f"{i}.json", *["x" * 1000] * 100)
-    assert not largest_file_dominates(spark, even, small=10_000)
+        lines("even", f"{i}.json.gz", *random_text(500))
+    assert oversized_gzip(spark, even, small=10_000) is None
+
+
+def test_only_large_gzip_files_are_cut(spark, lines):
+    path = lines("in", "big.json.gz", *[f'{{"a": "{t}"}}' for t in random_text(200)])
+    lines("in", "small.json.gz", '{"a": "1"}')
+    lines("in", "plain.json", *['{"a": "2"}'] * 300)
+    df = read_json(spark, path, A, rechunk_over=5_000)
+    assert df.count() == 501
+    files = df.select("a", F.input_file_name().alias("f")).groupBy("f").count().collect()
+    whole = sorted(r["count"] for r in files if "chunks" not in r.f)
+    assert whole == [1, 300] and sum(r["count"] for r in files if "chunks" in r.f) == 200
 
 
 def test_spread_keeps_rows(spark):

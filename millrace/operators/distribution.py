@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from millrace.functions.columns import named
 
+SALT = "__salt"
+# How many tasks, and so files, a key may take where adaptive execution is off.
+SALTS = 32
+
 
 def spread(df: DataFrame, n: int | None = None) -> DataFrame:
     """Round-robin redistribution, to ``n`` partitions or to as many as the data size asks for.
@@ -22,6 +26,12 @@ def cluster(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """Rows of one key together, so that a partitioned write makes few files per directory.
 
     The rebalance hint lets adaptive execution merge small keys into one task and split
-    a hot key over many, which a plain hash repartition does not.
+    a hot key over many, which a plain hash repartition does not. In a session without
+    adaptive execution, a key is salted with the partition its row comes from: that is
+    the same when a task is rerun, and it splits a hot key even if all its rows are alike.
     """
-    return df.hint("rebalance", *[named(c) for c in by])
+    keys = [named(c) for c in by]
+    if df.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true":
+        return df.hint("rebalance", *keys)
+    salted = df.withColumn(SALT, F.spark_partition_id() % SALTS)
+    return salted.repartition(*keys, named(SALT)).drop(SALT)

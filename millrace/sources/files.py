@@ -54,10 +54,10 @@ def read_json(
 ) -> DataFrame:
     """JSON files below a path, plain or compressed (by suffix), one object per line.
 
-    A line may also be an array of objects, each a record, or of none.
-    Without a schema, it is inferred in an extra pass with every leaf as text. ``exclude``
-    holds globs of file names to skip; names starting with ``_`` or ``.`` always are.
-    ``multiline`` reads files that are one object or one array of objects.
+    A line may also be an array of objects, each a record, or of none. Without a schema,
+    it is inferred in an extra pass with every leaf as text. ``exclude`` holds globs of
+    file names to skip; names starting with ``_`` or ``.`` always are. ``multiline`` reads
+    files that are one object or one array of objects.
 
     ``bad_record`` adds a column that holds the text of each line that is no JSON object;
     ``fail_fast`` lets the first such line stop the job. Only one task can read a gzip
@@ -110,7 +110,10 @@ def oversized_gzip(spark: SparkSession, path: str, recursive: bool = False, smal
 def read_csv(
     spark: SparkSession, path: str, schema: StructType | str | None = None, **options: str | bool
 ) -> DataFrame:
-    """CSV files with a header line; without a schema, types are inferred in an extra pass."""
+    """CSV files with a header line; without a schema, types are inferred in an extra pass.
+
+    Values that contain line breaks need ``multiLine=True``; a file is then read by one task.
+    """
     reader = spark.read.options(**{**CSV_OPTIONS, **options})
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     return reader.csv(path)

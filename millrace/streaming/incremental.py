@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from millrace.session import small_methods
+
 
 def ingest_incremental(
     spark: SparkSession,
@@ -34,4 +36,6 @@ def ingest_incremental(
     writer = rows.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.trigger(availableNow=True).start(dst).awaitTermination()
+    with small_methods(spark):
+        query = writer.trigger(availableNow=True).start(dst)
+    query.awaitTermination()

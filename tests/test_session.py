@@ -1,0 +1,39 @@
+from types import SimpleNamespace
+
+import pytest
+
+from millrace import fresh_dir, shared_dir
+from millrace.session import small_methods
+
+
+def fake(master, folder=None):
+    conf = SimpleNamespace(get=lambda key, default=None: folder if key == "spark.checkpoint.dir" else default)
+    return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, applicationId=f"app-{master}"))
+
+
+def test_the_folder_the_cluster_names():
+    spark = fake("yarn", "hdfs://shared/checkpoints/")
+    assert shared_dir(spark) == "hdfs://shared/checkpoints"
+    assert fresh_dir(spark, "x") != fresh_dir(spark, "x")
+    assert fresh_dir(spark, "x").startswith("hdfs://shared/checkpoints/millrace/x-")
+
+
+@pytest.mark.parametrize("master", ["yarn", "spark://h:7077", "k8s://h", "local-cluster[2,1,1024]"])
+def test_no_machine_local_folder_on_a_cluster(master):
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(fake(master))
+
+
+@pytest.mark.parametrize("master", ["local", "local[*]", "local[8]", "local[2,3]"])
+def test_a_temporary_folder_in_one_process(master):
+    spark = fake(master)
+    assert shared_dir(spark) == shared_dir(spark)
+
+
+def test_settings_are_put_back(spark):
+    key = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(key)
+    with pytest.raises(KeyError), small_methods(spark):
+        assert spark.conf.get(key) == "8000"
+        raise KeyError
+    assert spark.conf.get(key) == before

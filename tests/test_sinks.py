@@ -61,6 +61,17 @@ def test_hot_day_is_split_over_tasks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).count() == 400_000
 
 
+def test_hot_day_is_split_without_adaptive_execution(spark, tmp_path):
+    copies = spark.range(0, 8_000, 1, 8).select(F.lit("same").alias("text"), F.lit(1).alias("day"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        write_partitioned(copies, str(tmp_path / "t"), ["day"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(list((tmp_path / "t" / "day=1").glob("*.parquet"))) > 1
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 8_000
+
+
 def test_clustered_rows_are_not_shuffled_again(spark):
     plan = cluster(days(spark), ["day"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "REBALANCE" in plan

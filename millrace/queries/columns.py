@@ -146,6 +146,21 @@ def mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wall_clock(apply_mapping(lineitem, MAPPING), "shipped")
 
 
+@query("apply_mapping_strict", """
+    SELECT o_orderkey AS id, o_totalprice::DECIMAL(19,4) AS price, o_orderstatus AS status, o_orderdate AS day
+    FROM orders
+""")
+def mapping_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated source types are checked against the table before anything runs."""
+    stated = [
+        ("o_orderkey", "bigint", "id", "bigint"),
+        ("o_totalprice", "double", "price", "decimal(19,4)"),
+        ("o_orderstatus", "string", "status", "string"),
+        ("o_orderdate", "timestamp_ntz", "day", "timestamp_ntz"),
+    ]
+    return apply_mapping(table(spark, sf_dir, "orders"), stated, strict=True)
+
+
 @query("cast_timestamp", """
     SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN NULL
                             WHEN o_orderstatus = 'P' THEN date_trunc('day', o_orderdate)

@@ -102,7 +102,7 @@ def error_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("spread", "SELECT l_returnflag, count(*) AS n, sum(l_linenumber) AS lines FROM lineitem GROUP BY l_returnflag")
+@query("spread", "SELECT l_returnflag, count(*) AS n, sum(l_linenumber)::BIGINT AS lines FROM lineitem GROUP BY l_returnflag")
 def spread_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = spread(table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linenumber"), 200)
     counts = (F.count(F.lit(1)).alias("n"), F.sum("l_linenumber").alias("lines"))

@@ -112,11 +112,11 @@ def read_csv(
 ) -> DataFrame:
     """CSV files with a header line; without a schema, types are inferred in an extra pass.
 
-    Values that contain line breaks need ``multiLine=True``; a file is then read by one task.
+    ``inferSchema=False`` takes all columns as text instead. Values that contain line
+    breaks need ``multiLine=True``; a file is then read by one task.
     """
-    reader = spark.read.options(**{**CSV_OPTIONS, **options})
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    return reader.csv(path)
+    reader = spark.read.options(**{**CSV_OPTIONS, "inferSchema": schema is None, **options})
+    return (reader.schema(schema) if schema is not None else reader).csv(path)
 
 
 def read_parquet(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from millrace.operators.distribution import cluster
 from millrace.session import small_methods
 
 
@@ -27,12 +28,15 @@ def ingest_incremental(
 
     The checkpoint folder remembers the files, and the sink's log makes each batch count
     once even if it is run again after a failure. A large backlog is worked off in
-    bounded batches; the call returns when none is left.
+    bounded batches; the call returns when none is left. Rows are brought together by
+    ``partition_by``, so that a batch does not leave a file per task and directory.
     """
     reader = spark.readStream.format(fmt).schema(schema).options(**options)
     rows = reader.option("maxFilesPerTrigger", files_per_batch).load(src)
     if transform is not None:
         rows = transform(rows)
+    if partition_by:
+        rows = cluster(rows, partition_by)
     writer = rows.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
     if partition_by:
         writer = writer.partitionBy(*partition_by)

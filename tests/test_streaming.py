@@ -32,3 +32,23 @@ def test_backlog_in_bounded_batches_with_transform(spark, lines, tmp_path):
     )
     assert len(list((tmp_path / "log" / "commits").glob("[0-9]*"))) == 3
     assert spark.read.parquet(dst).groupBy("odd").count().orderBy("odd").collect() == [(0, 3), (1, 2)]
+
+
+def test_a_batch_of_many_tasks_leaves_few_files(spark, tmp_path):
+    src, dst = str(tmp_path / "src"), tmp_path / "dst"
+    spark.range(0, 6_000, 1, 12).select(F.col("id").cast("string").alias("a")).write.json(src)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        ingest_incremental(
+            spark,
+            src,
+            str(dst),
+            "a string",
+            str(tmp_path / "log"),
+            transform=lambda df: df.withColumn("third", F.col("a").cast("int") % 3),
+            partition_by=["third"],
+        )
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [len(list((dst / f"third={i}").glob("*.parquet"))) for i in range(3)] == [1, 1, 1]
+    assert spark.read.parquet(str(dst)).count() == 6_000

@@ -53,17 +53,29 @@ def source_schema(mappings: Iterable[Mapping | Sequence[str]], under: str | None
     return struct(tree)
 
 
+def _spelled(schema: DataType, name: str) -> str | None:
+    """The name as the schema spells it: exactly, or else the only one that differs in case alone."""
+    names = schema.names if isinstance(schema, StructType) else []
+    if name in names:
+        return name
+    alike = [n for n in names if n.lower() == name.lower()]
+    return alike[0] if len(alike) == 1 else None
+
+
 def _locate(schema: StructType, name: str) -> tuple[str, DataType] | None:
-    """A column of that exact name or, failing that, a struct field at that dotted path."""
-    if name in schema.names:
-        return quoted(name), schema[name].dataType
-    steps = name.split(".")
+    """A column of that name or, failing that, a struct field at that dotted path."""
+    column = _spelled(schema, name)
+    if column is not None:
+        return quoted(column), schema[column].dataType
+    path: list[str] = []
     data_type: DataType = schema
-    for step in steps:
-        if not isinstance(data_type, StructType) or step not in data_type.names:
+    for step in name.split("."):
+        field = _spelled(data_type, step)
+        if field is None:
             return None
-        data_type = data_type[step].dataType
-    return ".".join(quoted(step) for step in steps), data_type
+        path.append(quoted(field))
+        data_type = data_type[field].dataType
+    return ".".join(path), data_type
 
 
 def apply_mapping(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from millrace.functions.columns import named
 
+ROW = "__row"
 SALT = "__salt"
 # How many tasks, and so files, a key may take where adaptive execution is off.
 SALTS = 32
@@ -22,6 +23,17 @@ def spread(df: DataFrame, n: int | None = None) -> DataFrame:
     return df.repartition(n) if n else df.hint("rebalance")
 
 
+def deal_scan(scan: DataFrame) -> DataFrame:
+    """Deal out the rows that come straight from a file scan, by their number.
+
+    A file is read in the same order whenever its task is rerun, so the numbers are the
+    same as well. That saves the local sort by which :func:`spread` keeps reruns alike,
+    and which one task would have to do for the whole of a large file.
+    """
+    numbered = scan.withColumn(ROW, F.monotonically_increasing_id())
+    return numbered.hint("rebalance", named(ROW)).drop(ROW)
+
+
 def cluster(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """Rows of one key together, so that a partitioned write makes few files per directory.
 

@@ -44,7 +44,8 @@ def warehouse(spark: SparkSession, table: str) -> Warehouse:
 
 @query("join_inner", """
     SELECT o_orderkey, o_orderdate, shipped, lines FROM orders
-    JOIN (SELECT l_shipdate AS shipped, count(*) AS lines FROM lineitem GROUP BY l_shipdate) ON o_orderdate = shipped
+    JOIN (SELECT l_shipdate AS shipped, count(*) AS lines FROM lineitem GROUP BY l_shipdate)
+      ON o_orderdate = shipped
 """)
 def join_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with the number of lines shipped on the day of the order; lines are counted per day first."""
@@ -96,13 +97,15 @@ def error_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
             verdicts.append((threshold, "passed"))
         except TooManyErrors:
             verdicts.append((threshold, "failed"))
-    bad = check_errors(props, 0, "line")
+    counts = (props.count(), check_errors(props, 0, "line"))
     return spark.createDataFrame(
-        [(*v, props.count(), bad) for v in verdicts], "threshold int, verdict string, n long, bad long"
+        [(*verdict, *counts) for verdict in verdicts], "threshold int, verdict string, n long, bad long"
     )
 
 
-@query("spread", "SELECT l_returnflag, count(*) AS n, sum(l_linenumber)::BIGINT AS lines FROM lineitem GROUP BY l_returnflag")
+@query("spread", """
+    SELECT l_returnflag, count(*) AS n, sum(l_linenumber)::BIGINT AS lines FROM lineitem GROUP BY l_returnflag
+""")
 def spread_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = spread(table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linenumber"), 200)
     counts = (F.count(F.lit(1)).alias("n"), F.sum("l_linenumber").alias("lines"))
@@ -140,7 +143,10 @@ def partitioned_write_null_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-@query("partition_overwrite", EVENT_DAYS_SQL.replace("value,", "CASE WHEN day(ts) = 15 THEN -value ELSE value END AS value,"))
+@query("partition_overwrite", """
+    SELECT event_id, user_id, event_type, CASE WHEN day(ts) = 15 THEN -value ELSE value END AS value,
+           year(ts)::INT AS year, month(ts)::INT AS month, day(ts)::INT AS day FROM events
+""")
 def partition_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One day is written again, twice; the other days stay as they were."""
     path, events = fresh_dir(spark, "event-days-again"), event_days(spark, sf_dir)

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from millrace.operators.distribution import spread
+from millrace.operators.distribution import deal_scan
 from millrace.session import fresh_dir
 
 # Compressed bytes that one task parses in a few seconds; rewriting smaller files costs more.
@@ -91,7 +91,7 @@ def read_json(
     large = (F.col("_metadata.file_size") > rechunk_over) & F.lower("_metadata.file_name").endswith(".gz")
     lines = _skip_files(files.text(path), exclude).filter(large).select("value")
     chunks = fresh_dir(spark, "chunks")
-    spread(lines).write.option("compression", "gzip").text(chunks)
+    deal_scan(lines).write.option("compression", "gzip").text(chunks)
     return records.filter(~large).union(scan(chunks))
 
 

@@ -64,7 +64,8 @@ def test_relationalize_keys_join_back(nested, tmp_path):
     )
     got = sorted((r["id"], r["index"], r["items.val.sku"]) for r in joined.collect())
     assert got[:3] == [(1, 0, "s1"), (1, 1, "s2"), (2, 0, "s3")] and got[3][2] is None
-    deep = items.join(parts, items["`items.val.parts`"] == parts["id"]).select("`items.val.sku`", "`items.val.parts.val.n`")
+    deep = items.join(parts, items["`items.val.parts`"] == parts["id"])
+    deep = deep.select("`items.val.sku`", "`items.val.parts.val.n`")
     assert sorted(map(tuple, deep.collect())) == [("s1", 1), ("s1", 2)]
 
 

@@ -44,7 +44,9 @@ def test_overwrite_replaces_only_what_it_brings(spark, tmp_path):
 def test_hot_day_is_split_over_tasks(spark, tmp_path):
     """One day with most of the rows: a hash repartition would write it with a single task."""
     hot = spark.range(0, 400_000, 1, 8).select(
-        "id", F.sha2(F.col("id").cast("string"), 256).alias("text"), F.when(F.col("id") % 100 == 0, 2).otherwise(1).alias("day")
+        "id",
+        F.sha2(F.col("id").cast("string"), 256).alias("text"),
+        F.when(F.col("id") % 100 == 0, 2).otherwise(1).alias("day"),
     )
     key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
     before = spark.conf.get(key)

@@ -71,7 +71,8 @@ def test_empty_folder(spark, tmp_path):
 
 @pytest.mark.parametrize("options", [{}, {"rechunk_over": 0}, {"bad_record": "bad"}, {"fail_fast": True}])
 def test_numbers_read_as_text_keep_every_digit(spark, lines, options):
-    path = lines("in", "x.json.gz", '{"a": 123456789012345.6789, "n": 1.50}', '{"a": 12345678901234567890123, "n": 1E5}')
+    records = ('{"a": 123456789012345.6789, "n": 1.50}', '{"a": 12345678901234567890123, "n": 1E5}')
+    path = lines("in", "x.json.gz", *records)
     got = read_json(spark, path, A, **options).select("a", "n")
     assert set(rows(got)) == {("123456789012345.6789", "1.50"), ("12345678901234567890123", "1E5")}
 

@@ -2,7 +2,7 @@
 
 from millrace.operators.distribution import cluster, spread
 from millrace.operators.filters import filter_in
-from millrace.operators.flatten import flatten, relationalize, strip_name
+from millrace.operators.flatten import absorb, flatten, relationalize, strip_name
 from millrace.operators.cleaning import strip_quotes
 from millrace.operators.dates import add_date_parts
 from millrace.operators.joins import equi_join
@@ -34,6 +34,7 @@ from millrace.streaming.incremental import ingest_incremental
 __all__ = [
     "Mapping",
     "TooManyErrors",
+    "absorb",
     "add_date_parts",
     "apply_mapping",
     "check_errors",

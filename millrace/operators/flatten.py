@@ -96,3 +96,24 @@ def strip_name(df: DataFrame, text: str) -> DataFrame:
     names = [name.replace(text, "") for name in df.columns]
     require_distinct(names, f"strip_name({text!r})")
     return df.toDF(*names)
+
+
+def absorb(df: DataFrame, struct: str) -> DataFrame:
+    """Move columns that stand beside a struct, but are fields of it as well, into the struct.
+
+    Where both have a value, that in the struct stays. Rows without any such column set,
+    which is to say most, keep their struct as it is.
+    """
+    fields = [f.name for f in df.schema[struct].dataType.fields]
+    beside = [c for c in df.columns if c in fields]
+    if not beside:
+        return df
+    merged = [
+        f"'{name}', coalesce({quoted(struct)}.{quoted(name)}, {quoted(name)})"
+        if name in beside
+        else f"'{name}', {quoted(struct)}.{quoted(name)}"
+        for name in fields
+    ]
+    found = f"coalesce({', '.join(quoted(name) for name in beside)})"
+    whole = f"if({found} is null, {quoted(struct)}, named_struct({', '.join(merged)})) as {quoted(struct)}"
+    return df.selectExpr(*[whole if c == struct else quoted(c) for c in df.columns if c not in beside])

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from millrace import flatten, relationalize, strip_name
+from millrace import absorb, flatten, relationalize, strip_name
 from millrace.sources.files import read_json
 
 NESTED = """
@@ -80,5 +80,20 @@ def test_strip_name_every_occurrence(spark):
 
 
 def test_strip_name_collision(spark):
+    df = spark.sql("select * from values (1, 2), (null, 4) as t(`jsonBody.a`, a)")
     with pytest.raises(ValueError, match="same name"):
-        strip_name(spark.sql("select 1 as `jsonBody.a`, 2 as a"), "jsonBody.")
+        strip_name(df, "jsonBody.")
+
+
+def test_absorb_takes_the_first_value_at_hand(spark):
+    df = spark.sql("""
+        select * from values
+            (named_struct('a', 'in', 'b', null, 'c', 'c'), 'out', 'b', 1),
+            (null, 'x', null, 2),
+            (named_struct('a', 'y', 'b', 'z', 'c', null), null, null, 3),
+            (null, null, null, 4)
+        as t(body, a, b, other)
+    """)
+    out = absorb(df, "body").orderBy("other").collect()
+    assert [r.body and tuple(r.body) for r in out] == [("in", "b", "c"), ("x", None, None), ("y", "z", None), None]
+    assert absorb(df.select("body", "other"), "body").columns == ["body", "other"]

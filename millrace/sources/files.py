@@ -59,8 +59,8 @@ def read_json(
     file names to skip; names starting with ``_`` or ``.`` always are. ``multiline`` reads
     files that are one object or one array of objects.
 
-    ``bad_record`` adds a column that holds the text of each line that is no JSON object;
-    ``fail_fast`` lets the first such line stop the job. Only one task can read a gzip
+    A line that is no JSON gives a row of NULLs; ``bad_record`` adds a column for its text,
+    and ``fail_fast`` lets the first such line stop the job. Only one task can read a gzip
     file: those of more than ``rechunk_over`` bytes are first rewritten, line by line, as
     small files in the shared folder, so that many tasks parse them. These three need a
     schema and one object per line.

@@ -29,9 +29,10 @@ def ingest_incremental(
     The checkpoint folder remembers the files, and the sink's log makes each batch count
     once even if it is run again after a failure. A large backlog is worked off in
     bounded batches; the call returns when none is left. Rows are brought together by
-    ``partition_by``, so that a batch does not leave a file per task and directory.
+    ``partition_by``, so that a batch does not leave a file per task and directory. A
+    malformed record stops the run before its batch counts, unless ``mode`` says otherwise.
     """
-    reader = spark.readStream.format(fmt).schema(schema).options(**options)
+    reader = spark.readStream.format(fmt).schema(schema).options(**{"mode": "FAILFAST", **options})
     rows = reader.option("maxFilesPerTrigger", files_per_batch).load(src)
     if transform is not None:
         rows = transform(rows)

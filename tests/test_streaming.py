@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from millrace import ingest_incremental
@@ -52,3 +53,15 @@ def test_a_batch_of_many_tasks_leaves_few_files(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert [len(list((dst / f"third={i}").glob("*.parquet"))) for i in range(3)] == [1, 1, 1]
     assert spark.read.parquet(str(dst)).count() == 6_000
+
+
+def test_a_malformed_record_stops_the_run(spark, lines, tmp_path):
+    src = lines("src", "1.json", '{"a": "1"}')
+    dst, log = str(tmp_path / "dst"), str(tmp_path / "log")
+    ingest_incremental(spark, src, dst, "a string", log)
+    lines("src", "2.json", '{"a": "2"}', '{"a": ')
+    with pytest.raises(Exception, match="FAILED_READ_FILE"):
+        ingest_incremental(spark, src, dst, "a string", log)
+    assert [r.a for r in spark.read.parquet(dst).collect()] == ["1"]
+    ingest_incremental(spark, src, dst, "a string", log, mode="DROPMALFORMED")
+    assert sorted(r.a for r in spark.read.parquet(dst).collect()) == ["1", "2"]

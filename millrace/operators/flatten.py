@@ -17,9 +17,9 @@ def require_distinct(names: Sequence[str], action: str) -> None:
     """Column names must differ by more than case, or later references are ambiguous."""
     seen: dict[str, str] = {}
     for name in names:
-        other = seen.setdefault(name.lower(), name)
-        if other is not name:
-            raise ValueError(f"{action}: columns {other!r} and {name!r} have the same name")
+        if name.lower() in seen:
+            raise ValueError(f"{action}: columns {seen[name.lower()]!r} and {name!r} have the same name")
+        seen[name.lower()] = name
 
 
 def _leaves(schema: StructType, sep: str, name: str = "", path: str = "") -> Iterator[tuple[str, str]]:

@@ -130,3 +130,10 @@ def gram_hash(word_hash: np.ndarray, size: int) -> np.ndarray:
     for j in range(size):
         total = total * np.uint64(_BASE) + word_hash[j : j + n]
     return mix(total)
+
+
+def run_hash(word_hash: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A hash of ``n`` words from each ``first`` on, whatever their number."""
+    sums = np.zeros(len(word_hash) + 1, np.uint64)
+    np.cumsum(word_hash * _power("up", len(sums))[:-1], out=sums[1:])
+    return mix((sums[first + n] - sums[first]) * _power("down", len(sums))[first] + n.astype(np.uint64))

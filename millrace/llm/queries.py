@@ -8,13 +8,25 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe_chunks, licenses, quality, token_counts, toxicity
+from millrace.llm import (
+    bpe_chunks,
+    decontaminate,
+    fingerprints,
+    licenses,
+    near_dedup,
+    pii,
+    quality,
+    substring_dedup,
+    token_counts,
+    toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 LIMIT = 0.3  # score from which a document counts as label 1
+PII_KEY = b"surrogates of the test tables"  # a real corpus has a secret one
 
 
 def query(oracle: str | None = None):
@@ -36,6 +48,73 @@ def fold(n: int) -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
 
 
+@query(
+    """
+    WITH items AS (
+        SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark
+    ), own AS (
+        SELECT item_id, len(w) AS n, i, array_to_string(w[i:i + 4], ' ') AS shingle
+        FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM items WHERE len(w) >= 5)
+    ), docs AS (
+        SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w FROM documents
+    ), places AS (
+        SELECT doc_id, len(w) AS total, i, array_to_string(w[i:i + 4], ' ') AS shingle
+        FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM docs WHERE len(w) >= 5)
+    ), sizes AS (
+        SELECT item_id, shingle, n, count(*) AS times FROM own GROUP BY ALL
+    ), windows AS (
+        SELECT DISTINCT doc_id, item_id, n, greatest(least(greatest(p.i - o.i, 0), total - n), 0) AS start
+        FROM places p JOIN own o USING (shingle)
+    ), held AS (
+        SELECT w.doc_id, w.item_id, w.start, w.n, p.shingle, count(*) AS times
+        FROM windows w JOIN places p ON p.doc_id = w.doc_id AND p.i > w.start AND p.i <= w.start + w.n - 4
+        GROUP BY ALL
+    ), scored AS (
+        SELECT h.doc_id, h.item_id, h.start, h.n, sum(h.times) AS size,
+               sum(least(h.times, coalesce(s.times, 0))) AS shared
+        FROM held h LEFT JOIN sizes s ON s.item_id = h.item_id AND s.shingle = h.shingle GROUP BY ALL
+    ), ranked AS (
+        SELECT doc_id, item_id, start, n, shared / (size + n - 4 - shared) AS likeness
+        FROM scored
+    )
+    SELECT doc_id, item_id, arg_max(start, (likeness, -start)) AS start, any_value(n) AS n_words,
+           max(likeness) AS likeness
+    FROM ranked WHERE likeness >= 0.8 GROUP BY doc_id, item_id
+    """
+)
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    whole = [F.col(c).cast("long").alias(c) for c in ("start", "n_words")]
+    return found.select("doc_id", "item_id", *whole, "likeness")
+
+
+@query(
+    """
+    WITH docs AS (
+        SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+        FROM documents
+    ), windows AS (
+        SELECT doc_id, i, hash(w[i:i + 34]) AS a, md5(array_to_string(w[i:i + 34], ' ')) AS b
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM docs WHERE len(w) >= 35)
+    ), again AS (
+        SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY a, b) AS n FROM windows) WHERE n > 1
+    ), gone AS (
+        SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM again
+    ), word AS (
+        SELECT doc_id, w[i] AS word, i FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM docs)
+    ), kept AS (
+        SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, i)
+        GROUP BY doc_id
+    )
+    SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
+           sha256(coalesce(text, '')) AS kept_sha256
+    FROM docs LEFT JOIN kept USING (doc_id)
+    """
+)
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept", "spans")
+
+
 @query()
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), BYTE_BPE)
@@ -46,6 +125,11 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_chunks.encode_decode(table(spark, sf_dir, "documents"), BYTE_BPE, outputs=False)
 
 
+@query()
+def op5_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -65,6 +149,47 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
 
+@query()
+def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.surrogates(table(spark, sf_dir, "documents"), PII_KEY)
+
+
+@query(
+    """
+    WITH RECURSIVE docs AS (
+        SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+        FROM documents
+    ), runs AS (
+        SELECT doc_id, run, count(*) AS n FROM (
+            SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS run
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM docs WHERE len(w) > 0)
+        ) GROUP BY ALL
+    ), sizes AS (
+        SELECT doc_id, sum(n) AS n FROM runs GROUP BY ALL
+    ), shared AS (
+        SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.n, b.n)) AS common
+        FROM runs a JOIN runs b ON a.run = b.run AND a.doc_id < b.doc_id GROUP BY ALL
+    ), links AS (
+        SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+        WHERE common >= 0.8 * (x.n + y.n - common) - 1e-9
+        UNION ALL
+        SELECT min(doc_id) OVER (), doc_id FROM docs WHERE len(w) = 0
+    ), both_ways AS (
+        SELECT a, b FROM links UNION SELECT b, a FROM links
+    ), reach AS (
+        SELECT doc_id AS a, doc_id AS root FROM docs
+        UNION
+        SELECT b.b, r.root FROM reach r JOIN both_ways b ON b.a = r.a WHERE r.root < b.b
+    ), classes AS (
+        SELECT a AS doc_id, min(root) AS class_id FROM reach GROUP BY ALL
+    )
+    SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size FROM classes
+    """
+)
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("n_links")
+
+
 @query()
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

@@ -6,7 +6,8 @@ segment, so a text turns into few segments, and two equal windows always lie in
 anchor. That gives the shards: a shard holds all segments of its anchors.
 
 Segments whose anchor stands in one place only hold no repeated window and are set aside. Equal segments of an anchor are
-folded into one with a count. The segments that are left are dealt to shards. A shard numbers its words, builds the
+folded into one with a count; if the anchor has no other segment, they are repeated whole. The segments that are
+left are dealt to shards. A shard numbers its words, builds the
 suffix array, keeps the Burrows-Wheeler transform in a wavelet tree of bit vectors with rank samples, and
 streams its segments through backward search, from the right end: the matching statistic of a place is the length
 of the longest run of words that starts there and also stands elsewhere. Windows whose statistic reaches
@@ -36,9 +37,9 @@ from millrace.session import fresh_dir
 
 WINDOW = 35
 ANCHOR = 6
-LONGEST = 512  # windows in a segment
+LONGEST = 64  # windows in a segment
 HOT = 2_000  # different segments of one anchor
-SHARD_WORDS = 1 << 17  # words in a shard, on average
+SHARD_WORDS = 1 << 19  # words in a shard, on average
 KEY = ["doc_id", "h"]  # names a row: its id and a hash of its text
 
 
@@ -135,20 +136,21 @@ class WaveletTree:
             self.zeros.append(int(len(bit) - bit.sum()))
             sequence = np.concatenate([sequence[bit == 0], sequence[bit == 1]])
 
-    def _ones(self, level: int, at: np.ndarray) -> np.ndarray:
-        word, bit = at >> 6, (at & 63).astype(np.uint64)
-        below = self.words[level][word] & ((np.uint64(1) << bit) - np.uint64(1))
-        return self.ranks[level][word] + np.bitwise_count(below)
+        # Where the places of each symbol begin after the last level.
+        self.origin = np.zeros(symbols, np.int64)
+        self.origin = self._descend(np.arange(symbols), self.origin)
+
+    def _descend(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        for k in range(self.bits):
+            word = at >> 6
+            below = self.words[k][word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))
+            ones = self.ranks[k][word] + np.bitwise_count(below)
+            at = np.where((symbol >> (self.bits - 1 - k)) & 1, self.zeros[k] + ones, at - ones)
+        return at
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often ``symbol[i]`` stands before place ``at[i]``."""
-        low = np.zeros(len(symbol), np.int64)
-        for k in range(self.bits):
-            one = ((symbol >> (self.bits - 1 - k)) & 1).astype(bool)
-            a, b = self._ones(k, low), self._ones(k, at)
-            low = np.where(one, self.zeros[k] + a, low - a)
-            at = np.where(one, self.zeros[k] + b, at - b)
-        return at - low
+        return self._descend(symbol, at) - self.origin[symbol]
 
 
 class FMIndex:
@@ -206,6 +208,25 @@ class FMIndex:
             high[of] = edges[np.searchsorted(edges, high[of], "left")]
         return low, high
 
+    def _extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One step of backward search."""
+        n = len(symbol)
+        both = np.tile(self.less[symbol], 2) + self.tree.rank(np.tile(symbol, 2), np.concatenate([low, high]))
+        return both[:n], both[n:]
+
+    def repeated(self, queries: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Whether each query, from its start up to its end, stands twice at least."""
+        out = np.ones(len(starts), bool)
+        low, high = np.zeros(len(starts), np.int64), np.full(len(starts), self.n, np.int64)
+        at = ends - 1
+        live = np.flatnonzero(at >= starts)
+        while len(live):
+            low[live], high[live] = self._extend(queries[at[live]], low[live], high[live])
+            out[live] = high[live] - low[live] >= 2
+            at[live] -= 1
+            live = live[out[live] & (at[live] >= starts[live])]
+        return out
+
     def matching_statistics(self, queries: np.ndarray, ends: np.ndarray, most: int) -> np.ndarray:
         """For each word of the queries the longest run from there, up to ``most``, that stands twice at least.
 
@@ -221,10 +242,7 @@ class FMIndex:
         while len(live):
             pending = live
             while len(pending):
-                c = queries[at[pending]]
-                base = self.less[c]
-                new_low = base + self.tree.rank(c, low[pending])
-                new_high = base + self.tree.rank(c, high[pending])
+                new_low, new_high = self._extend(queries[at[pending]], low[pending], high[pending])
                 good = new_high - new_low >= 2
                 hit = pending[good]
                 low[hit], high[hit] = new_low[good], new_high[good]
@@ -264,11 +282,21 @@ def repeated_windows(texts: list[bytes], copies: np.ndarray, window: int) -> lis
     joined = np.concatenate([x for own in symbols for x in (own, np.zeros(1, np.int64))])
     index = FMIndex(joined, window + 1)
     flags = [np.ones(len(own) - window + 1, bool) for own in symbols]
-    ask = np.flatnonzero(copies == 1).tolist()  # windows of a folded segment stand in all its copies
-    if ask:
-        ends = np.cumsum([len(symbols[i]) for i in ask])
+    ask = np.flatnonzero(copies == 1)  # windows of a folded segment stand in all its copies
+    if len(ask):
+        sizes = np.array([len(symbols[i]) for i in ask])
+        ends = np.cumsum(sizes)
+        starts, queries = ends - sizes, np.concatenate([symbols[i] for i in ask])
+        # Where the words that all windows of a segment share do not stand twice, no window does.
+        count = sizes - window + 1
+        hope = index.repeated(queries, starts + np.minimum(count - 1, window), starts + window)
+        for i in ask[~hope].tolist():
+            flags[i][:] = False
+        ask, sizes = ask[hope], sizes[hope]
+    if len(ask):
+        ends = np.cumsum(sizes)
         found = index.matching_statistics(np.concatenate([symbols[i] for i in ask]), ends, window)
-        for i, end in zip(ask, ends.tolist()):
+        for i, end in zip(ask.tolist(), ends.tolist()):
             flags[i] = found[end - len(symbols[i]) : end - window + 1] >= window
     return flags
 
@@ -337,14 +365,17 @@ def repeated_intervals(rows: DataFrame, window: int, anchor: int, base: str) ->
     folded = segments.groupBy("anchor", "digest").agg(
         F.count("*").alias("copies"), F.min_by(F.struct(*KEY, "first", "n"), F.col("h")).alias("one")
     )
-    kinds = segments.groupBy("anchor").agg(F.approx_count_distinct("digest", 0.02).alias("kinds"))
-    hot = kinds.where(F.col("kinds") > HOT).select("anchor", F.lit(True).alias("is_hot"))
+    kinds = folded.groupBy("anchor").agg(F.count("*").alias("kinds"))
     folded = kept(
-        folded.join(hot, "anchor", "left").select(
-            "one.*", "anchor", "digest", "copies", F.coalesce("is_hot", F.lit(False)).alias("hot")
+        folded.join(kinds, "anchor").select(
+            "one.*", "anchor", "digest", "copies", "kinds", (F.col("kinds") > HOT).alias("hot")
         ),
         "folded",
     )
+    # Copies of a segment that nothing else shares an anchor with need no search.
+    alone = (F.col("kinds") == 1) & (F.col("copies") > 1)
+    copied = folded.where(alone).select("anchor", "digest", F.lit(0).alias("start"), F.col("n").alias("stop"))
+    folded = folded.where(~alone)
     words_of = F.when(F.col("hot"), (F.col("n") - window + 1) * window).otherwise(F.col("n")).cast("long")
     total, any_hot = folded.agg(F.sum(words_of), F.max("hot")).first()
     pieces = kept(_cut(rows, folded, window), "pieces")
@@ -371,6 +402,7 @@ def repeated_intervals(rows: DataFrame, window: int, anchor: int, base: str) ->
             "anchor", "digest", F.col("offset").cast("int").alias("start"), (F.col("offset") + window).cast("int").alias("stop")
         )
         found = found.unionByName(back)
+    found = found.unionByName(copied)
     placed = segments.join(found, ["anchor", "digest"]).select(
         *KEY, (F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("stop")).alias("stop")
     )

@@ -11,10 +11,10 @@ Jaccard similarity. Points are made in rounds, and only for runs whose process c
 latest component, so a text costs little more than one point for each of its runs.
 
 Candidates share all components of a band. First equal multisets are folded into one representative; then the
-members of a bucket are compared with the leader of the bucket and, in buckets whose members are not of
-one class by then, the members outside its largest class with every member of another class. So no candidate
-pair is left open, yet a bucket of copies never emits all its pairs. Every candidate is checked on the
-words themselves. Classes are the connected components of the pairs that pass; the class id is the smallest
+members of a bucket are compared with its first member; in buckets whose members are not of one class by then,
+those outside the largest class with drawn members of it; and what is still apart with every member of another
+class, but for pairs that the triangle inequality rules out. So no candidate pair is left open,
+yet a bucket of copies never emits all its pairs. Every candidate is checked on the words themselves. Classes are the connected components of the pairs that pass; the class id is the smallest
 doc_id in it.
 
 With ``BANDS`` bands of ``ROWS`` components a pair at the limit of 0.8 is missed with a chance of about 6e-7.
@@ -37,6 +37,7 @@ from millrace.session import fresh_dir
 SHINGLE = 5
 LIKENESS = 0.8
 BANDS, ROWS = 36, 5
+ROUNDS = 2  # of comparisons with drawn members, before all that is left is compared
 BLOCK = 1 << 16  # points made at once where few processes go on
 
 
@@ -146,28 +147,26 @@ def sketch(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int =
     return map_texts(docs, ["rid", "text"], run, "rid long, n_runs long, same string, bands array<long>")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, likeness: float, size: int = SHINGLE) -> DataFrame:
-    """The pairs ``a, b`` whose texts really are alike."""
+def compare(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """``a, b, likeness`` of pairs of texts, from their words."""
     left = texts.select(F.col("rid").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("rid").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.join(left, "a").join(right, "b")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         n = batch.num_rows
-        keep = np.zeros(n, bool)
-        if n:
-            (ha, ta), (hb, tb) = (runs(*utf8(batch.column(i)), size) for i in (2, 3))
-            h, t, count = weighted(np.concatenate([ha, hb]), np.concatenate([2 * ta, 2 * tb + 1]))
-            pair, side = t >> 1, t & 1
-            order = np.lexsort((side, h, pair))
-            h, pair, side, count = h[order], pair[order], side[order], count[order]
-            both = (pair[1:] == pair[:-1]) & (h[1:] == h[:-1])
-            shared = np.bincount(pair[1:][both], np.minimum(count[1:], count[:-1])[both], n)
-            total = np.bincount(pair, count, n)
-            keep = shared >= likeness * (total - shared) - 1e-9
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
-
-    return map_texts(joined, ["a", "b", "text_a", "text_b"], run, "a long, b long")
+        (ha, ta), (hb, tb) = (runs(*utf8(batch.column(i)), size) for i in (2, 3))
+        h, t, count = weighted(np.concatenate([ha, hb]), np.concatenate([2 * ta, 2 * tb + 1]))
+        pair, side = t >> 1, t & 1
+        order = np.lexsort((side, h, pair))
+        h, pair, count = h[order], pair[order], count[order]
+        both = (pair[1:] == pair[:-1]) & (h[1:] == h[:-1])
+        shared = np.bincount(pair[1:][both], np.minimum(count[1:], count[:-1])[both], n)
+        total = np.bincount(pair, count, n)
+        likeness = shared / np.maximum(total - shared, 1)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(likeness)], ["a", "b", "likeness"])
+
+    return map_texts(joined, ["a", "b", "text_a", "text_b"], run, "a long, b long, likeness double")
 
 
 def components(spark: SparkSession, nodes: DataFrame, edges: DataFrame, base: str) -> DataFrame:
@@ -230,26 +229,54 @@ def classes(rows: DataFrame, likeness: float, size: int, base: str) -> DataFrame
         """Texts of very unlike length cannot be alike enough."""
         return F.least(m, n) >= F.greatest(m, n) * (likeness - 1e-9)
 
+    def leaders(nodes: DataFrame, salt: int) -> DataFrame:
+        """A member of the largest class of each bucket that holds more than one class, drawn by ``salt``."""
+        member = slots.join(nodes, "rid")
+        drawn = F.min_by(F.struct("rid", "n_runs"), F.xxhash64("rid", "bucket", F.lit(salt))).alias("lead")
+        per = member.groupBy("bucket", "root").agg(F.count("*").alias("n"), drawn)
+        main = F.max_by(F.struct(F.col("root").alias("main"), "lead"), F.struct("n", "root")).alias("m")
+        per = per.groupBy("bucket").agg(main, F.count("*").alias("kinds")).where("kinds > 1")
+        return member.join(per.select("bucket", "m.main", F.col("m.lead").alias("drawn")), "bucket")
+
+    # All members of a bucket against its first one; its likeness to them also rules out pairs below.
     lead = F.col("lead")
-    first = slots.where((F.col("rid") != lead["rid"]) & comparable(F.col("n_runs"), lead["n_runs"]))
+    first = slots.where(F.col("rid") != lead["rid"])
     first = kept(first.select(lead["rid"].alias("a"), F.col("rid").alias("b")).distinct(), "pairs0")
-    passed = kept(verify(first, texts, likeness, size), "passed0")
+    tried = kept(compare(first, texts, size), "tried0")
+    close = F.col("likeness") >= likeness - 1e-9
+    passed = tried.where(close).select("a", "b")
     nodes = slots.select("rid").distinct().select("rid", F.col("rid").alias("root"))
     nodes = components(spark, nodes, passed, f"{base}/round0")
 
+    # Members outside the largest class of their bucket against other members of it.
+    done = first
+    for salt in range(1, ROUNDS + 1):
+        drawn = F.col("drawn")
+        rest = leaders(nodes, salt).where((F.col("root") != F.col("main")) & comparable(F.col("n_runs"), drawn["n_runs"]))
+        rest = rest.select(F.least("rid", drawn["rid"]).alias("a"), F.greatest("rid", drawn["rid"]).alias("b")).distinct()
+        rest = kept(rest.join(done, ["a", "b"], "left_anti"), f"pairs{salt}")
+        more = kept(compare(rest, texts, size).where(close).select("a", "b"), f"passed{salt}")
+        done, passed = done.unionByName(rest), passed.unionByName(more)
+        nodes = components(spark, nodes, passed, f"{base}/round{salt}")
+
     # Whatever still meets in a bucket without being of one class: the members outside the largest
-    # class of the bucket against all of another class.
-    member = kept(slots.join(nodes, "rid").select("bucket", "rid", "n_runs", "root"), "members")
-    per = member.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    per = per.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("kinds"))
-    member = member.join(per.where("kinds > 1").select("bucket", "main"), "bucket")
-    x = member.where("root != main").select("bucket", *(F.col(c).alias(f"x_{c}") for c in ("rid", "n_runs", "root")))
-    y = member.select("bucket", *(F.col(c).alias(f"y_{c}") for c in ("rid", "n_runs", "root")))
-    rest = x.join(y, "bucket").where((F.col("x_root") != F.col("y_root")) & comparable(F.col("x_n_runs"), F.col("y_n_runs")))
+    # class against all of another class. One minus the likeness is a distance, so two texts whose likeness to
+    # the first member differs by more than the limit allows cannot be alike.
+    member = leaders(nodes, 0).select("bucket", "rid", "n_runs", "root", "main", lead["rid"].alias("a"))
+    member = member.join(tried.select("a", F.col("b").alias("rid"), "likeness"), ["a", "rid"], "left")
+    member = kept(member.withColumn("likeness", F.coalesce("likeness", F.lit(1.0))), "members")
+    part = lambda side: [F.col(c).alias(f"{side}_{c}") for c in ("rid", "n_runs", "root", "likeness")]
+    x = member.where("root != main").select("bucket", *part("x"))
+    y = member.select("bucket", *part("y"))
+    rest = x.join(y, "bucket").where(
+        (F.col("x_root") != F.col("y_root"))
+        & comparable(F.col("x_n_runs"), F.col("y_n_runs"))
+        & (F.abs(F.col("x_likeness") - F.col("y_likeness")) <= 1 - likeness + 1e-9)
+    )
     rest = rest.select(F.least("x_rid", "y_rid").alias("a"), F.greatest("x_rid", "y_rid").alias("b")).distinct()
-    rest = kept(rest.join(first, ["a", "b"], "left_anti"), "pairs1")
-    passed = kept(passed.unionByName(verify(rest, texts, likeness, size)), "passed1")
-    nodes = components(spark, nodes, passed, f"{base}/round1")
+    rest = kept(rest.join(done, ["a", "b"], "left_anti"), "pairs")
+    passed = passed.unionByName(kept(compare(rest, texts, size).where(close).select("a", "b"), "passed"))
+    nodes = components(spark, nodes, passed, f"{base}/last")
 
     ends = passed.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
     out = folded.join(nodes.select(F.col("rid").alias("rep"), "root"), "rep", "left").join(ends, "rep", "left")

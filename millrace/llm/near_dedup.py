@@ -13,8 +13,8 @@ latest component, so a text costs little more than one point for each of its run
 Candidates share all components of a band. First equal multisets are folded into one representative; then the
 members of a bucket are compared with its first member; in buckets whose members are not of one class by then,
 those outside the largest class with drawn members of it; and what is still apart with every member of another
-class, but for pairs that the triangle inequality rules out. So no candidate pair is left open,
-yet a bucket of copies never emits all its pairs. Every candidate is checked on the words themselves. Classes are the connected components of the pairs that pass; the class id is the smallest
+class, block by block within a task, which emits only pairs that pass. So no candidate pair is left
+open, yet a bucket of copies never emits all its pairs. Every candidate is checked on the words themselves. Classes are the connected components of the pairs that pass; the class id is the smallest
 doc_id in it.
 
 With ``BANDS`` bands of ``ROWS`` components a pair at the limit of 0.8 is missed with a chance of about 6e-7.
@@ -27,6 +27,7 @@ and get equal results. A class without any id has a null class id. Extra columns
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,8 @@ SHINGLE = 5
 LIKENESS = 0.8
 BANDS, ROWS = 36, 5
 ROUNDS = 2  # of comparisons with drawn members, before all that is left is compared
+BLOCK_TEXTS = 256  # texts on either side that are compared at once
+BLOCK_MARKS = 4_096
 BLOCK = 1 << 16  # points made at once where few processes go on
 
 
@@ -169,6 +172,42 @@ def compare(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFram
     return map_texts(joined, ["a", "b", "text_a", "text_b"], run, "a long, b long, likeness double")
 
 
+def _block(likeness: float, size: int):
+    """The pairs of one block that pass: those that ask against all of it that are of another class."""
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        asks, rid, root = block["asks"].to_numpy(), block["rid"].to_numpy(), block["root"].to_numpy()
+        h, t, count = weighted(*runs(*utf8(pa.array(block["text"], pa.string())), size))
+        # A run that occurs c times is c marks, so the smaller number of times is a product of marks.
+        level = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        mark = mix(np.repeat(h, count) + level.astype(np.uint64))
+        text = np.repeat(t, count)
+        total = np.bincount(text, minlength=len(block))
+        _, mark, times = np.unique(mark, return_inverse=True, return_counts=True)
+        number = np.cumsum(times > 1) - 1
+        shared = times[mark] > 1
+        text, mark = text[shared], number[mark[shared]]
+        order = np.argsort(mark, kind="stable")
+        text, mark = text[order], mark[order]
+        x, y = np.flatnonzero(asks), np.flatnonzero(~asks)
+        place = np.zeros(len(block), np.int64)
+        place[x], place[y] = np.arange(len(x)), np.arange(len(y))
+        both = np.zeros((len(x), len(y)), np.float32)
+        for a in range(0, int(mark.max(initial=-1)) + 1, BLOCK_MARKS):
+            own = slice(*np.searchsorted(mark, [a, a + BLOCK_MARKS]))
+            of, column = text[own], mark[own] - a
+            left, right = np.zeros((len(x), BLOCK_MARKS), np.float32), np.zeros((len(y), BLOCK_MARKS), np.float32)
+            left[place[of[asks[of]]], column[asks[of]]] = 1
+            right[place[of[~asks[of]]], column[~asks[of]]] = 1
+            both += left @ right.T
+        union = total[x][:, None] + total[y][None, :] - both
+        i, j = np.nonzero((both >= likeness * union - 1e-6) & (root[x][:, None] != root[y][None, :]))
+        a, b = rid[x[i]], rid[y[j]]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return run
+
+
 def components(spark: SparkSession, nodes: DataFrame, edges: DataFrame, base: str) -> DataFrame:
     """``rid, root``: the smallest rid that each node is connected to; ``nodes`` has ``rid, root`` so far.
 
@@ -234,17 +273,21 @@ def classes(rows: DataFrame, likeness: float, size: int, base: str) -> DataFrame
         member = slots.join(nodes, "rid")
         drawn = F.min_by(F.struct("rid", "n_runs"), F.xxhash64("rid", "bucket", F.lit(salt))).alias("lead")
         per = member.groupBy("bucket", "root").agg(F.count("*").alias("n"), drawn)
-        main = F.max_by(F.struct(F.col("root").alias("main"), "lead"), F.struct("n", "root")).alias("m")
-        per = per.groupBy("bucket").agg(main, F.count("*").alias("kinds")).where("kinds > 1")
-        return member.join(per.select("bucket", "m.main", F.col("m.lead").alias("drawn")), "bucket")
+        largest = F.struct(F.col("root").alias("main"), "lead", F.col("n").alias("main_n"))
+        per = per.groupBy("bucket").agg(
+            F.max_by(largest, F.struct("n", "root")).alias("m"), F.count("*").alias("kinds"), F.sum("n").alias("total")
+        )
+        per = per.where("kinds > 1").select(
+            "bucket", "m.main", F.col("m.lead").alias("drawn"), "total", (F.col("total") - F.col("m.main_n")).alias("others")
+        )
+        return member.join(per, "bucket")
 
-    # All members of a bucket against its first one; its likeness to them also rules out pairs below.
+    # All members of a bucket against its first one.
     lead = F.col("lead")
-    first = slots.where(F.col("rid") != lead["rid"])
+    first = slots.where((F.col("rid") != lead["rid"]) & comparable(F.col("n_runs"), lead["n_runs"]))
     first = kept(first.select(lead["rid"].alias("a"), F.col("rid").alias("b")).distinct(), "pairs0")
-    tried = kept(compare(first, texts, size), "tried0")
     close = F.col("likeness") >= likeness - 1e-9
-    passed = tried.where(close).select("a", "b")
+    passed = kept(compare(first, texts, size).where(close).select("a", "b"), "passed0")
     nodes = slots.select("rid").distinct().select("rid", F.col("rid").alias("root"))
     nodes = components(spark, nodes, passed, f"{base}/round0")
 
@@ -260,22 +303,17 @@ def classes(rows: DataFrame, likeness: float, size: int, base: str) -> DataFrame
         nodes = components(spark, nodes, passed, f"{base}/round{salt}")
 
     # Whatever still meets in a bucket without being of one class: the members outside the largest
-    # class against all of another class. One minus the likeness is a distance, so two texts whose likeness to
-    # the first member differs by more than the limit allows cannot be alike.
-    member = leaders(nodes, 0).select("bucket", "rid", "n_runs", "root", "main", lead["rid"].alias("a"))
-    member = member.join(tried.select("a", F.col("b").alias("rid"), "likeness"), ["a", "rid"], "left")
-    member = kept(member.withColumn("likeness", F.coalesce("likeness", F.lit(1.0))), "members")
-    part = lambda side: [F.col(c).alias(f"{side}_{c}") for c in ("rid", "n_runs", "root", "likeness")]
-    x = member.where("root != main").select("bucket", *part("x"))
-    y = member.select("bucket", *part("y"))
-    rest = x.join(y, "bucket").where(
-        (F.col("x_root") != F.col("y_root"))
-        & comparable(F.col("x_n_runs"), F.col("y_n_runs"))
-        & (F.abs(F.col("x_likeness") - F.col("y_likeness")) <= 1 - likeness + 1e-9)
-    )
-    rest = rest.select(F.least("x_rid", "y_rid").alias("a"), F.greatest("x_rid", "y_rid").alias("b")).distinct()
-    rest = kept(rest.join(done, ["a", "b"], "left_anti"), "pairs")
-    passed = passed.unionByName(kept(compare(rest, texts, size).where(close).select("a", "b"), "passed"))
+    # class against all of another class, block by block, so that only pairs that pass leave a task.
+    member = kept(leaders(nodes, 0).select("bucket", "rid", "root", "main", "total", "others"), "members")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK_TEXTS).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("rid", "bucket"), blocks(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    x = member.where("root != main").withColumn("i", own("others")).withColumn("j", every("total"))
+    y = member.withColumn("j", own("total")).withColumn("i", every("others"))
+    dealt = x.withColumn("asks", F.lit(True)).unionByName(y.withColumn("asks", F.lit(False)))
+    dealt = dealt.select("bucket", "i", "j", "rid", "root", "asks").join(texts, "rid")
+    block = dealt.groupBy("bucket", "i", "j").applyInPandas(_block(likeness, size), "a long, b long")
+    passed = passed.unionByName(kept(block.distinct().join(passed, ["a", "b"], "left_anti"), "passed"))
     nodes = components(spark, nodes, passed, f"{base}/last")
 
     ends = passed.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))

@@ -9,7 +9,17 @@ from __future__ import annotations
 from functools import lru_cache
 
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType, VariantType
+from pyspark.sql.types import (
+    ArrayType,
+    DataType,
+    DecimalType,
+    MapType,
+    StringType,
+    StructType,
+    TimestampNTZType,
+    TimestampType,
+    VariantType,
+)
 
 
 def quoted(name: str) -> str:
@@ -37,6 +47,23 @@ def unquoted_text(sql: str, data_type: DataType) -> str:
     return f"cast({sql} as string)"
 
 
+# Text that can be a number at all, and text with a date in it; the casts take blanks around them.
+_NUMBER = r"^[\\s\\p{Cntrl}]*[+-]?(\\p{Nd}+\\.?\\p{Nd}*|\\.\\p{Nd}+)([eE][+-]?\\p{Nd}+)?[\\s\\p{Cntrl}]*$"
+_DATE = r"^[\\s\\p{Cntrl}]*[+-]?[0-9]{4}"
+
+
 def cast_or_null(sql: str, have: DataType, want: DataType) -> str:
-    """Cast that turns an unusable value into NULL; no cast at all between equal types."""
-    return sql if have == want else f"try_cast({sql} as {want.simpleString()})"
+    """Cast that turns an unusable value into NULL; no cast at all between equal types.
+
+    Text is looked at before it is cast to a decimal, since a failing cast pays for an
+    exception. A time of day without a date is no timestamp, though the cast alone would
+    give it that of today.
+    """
+    if have == want:
+        return sql
+    cast = f"try_cast({sql} as {want.simpleString()})"
+    if isinstance(have, StringType) and isinstance(want, DecimalType):
+        return f"if({sql} rlike '{_NUMBER}', {cast}, null)"
+    if isinstance(have, StringType) and isinstance(want, (TimestampType, TimestampNTZType)):
+        return f"if({sql} rlike '{_DATE}', {cast}, null)"
+    return cast

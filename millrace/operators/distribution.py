@@ -10,8 +10,6 @@ from millrace.functions.columns import named
 
 ROW = "__row"
 SALT = "__salt"
-# How many tasks, and so files, a key may take where adaptive execution is off.
-SALTS = 32
 
 
 def spread(df: DataFrame, n: int | None = None) -> DataFrame:
@@ -34,16 +32,18 @@ def deal_scan(scan: DataFrame) -> DataFrame:
     return numbered.hint("rebalance", named(ROW)).drop(ROW)
 
 
-def cluster(df: DataFrame, by: Sequence[str]) -> DataFrame:
+def cluster(df: DataFrame, by: Sequence[str], salts: int | None = None) -> DataFrame:
     """Rows of one key together, so that a partitioned write makes few files per directory.
 
     The rebalance hint lets adaptive execution merge small keys into one task and split
     a hot key over many, which a plain hash repartition does not. In a session without
     adaptive execution, a key is salted with the partition its row comes from: that is
     the same when a task is rerun, and it splits a hot key even if all its rows are alike.
+    ``salts`` is the number of tasks a key may take then, by default that of shuffle partitions.
     """
     keys = [named(c) for c in by]
     if df.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true":
         return df.hint("rebalance", *keys)
-    salted = df.withColumn(SALT, F.spark_partition_id() % SALTS)
+    salts = salts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = df.withColumn(SALT, F.spark_partition_id() % salts)
     return salted.repartition(*keys, named(SALT)).drop(SALT)

@@ -58,11 +58,15 @@ def relationalize(
     ``key_cols`` must identify a record and be non-NULL: one column becomes the ``id``
     as it is, several become a struct. Without them, records are numbered and written
     once to ``staging`` so that root and children agree however often, and on whichever
-    executors, they are computed.
+    executors, they are computed. With ``key_cols``, giving ``staging`` saves parsing the
+    records again for every table.
     """
     if key_cols:
         keys = [named(k) for k in key_cols]
         key = keys[0] if len(keys) == 1 else F.struct(*keys)
+        if staging:
+            df.write.mode("overwrite").parquet(staging)
+            df = df.sparkSession.read.parquet(staging)
         records = flatten(df)
     else:
         staging = staging or fresh_dir(df.sparkSession, "relationalize")

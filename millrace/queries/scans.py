@@ -48,6 +48,21 @@ def json_scan_rechunked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_json(spark, orders_json(spark, sf_dir), schema, rechunk_over=0)
 
 
+@query("json_scan_partitioned", "SELECT * FROM (VALUES (0), (1)) n(rechunked), (SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders)")
+def json_scan_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders below ``o_orderstatus=…``: the directory's column survives cutting the files."""
+
+    def write(path: str) -> None:
+        keyed = orders_text(spark, sf_dir).write.partitionBy("o_orderstatus")
+        keyed.option("compression", "gzip").json(path)
+
+    path = derived(spark, sf_dir, "orders-json-keyed", write)
+    schema = "o_orderkey long, o_totalprice double"
+    scans = [read_json(spark, path, schema, rechunk_over=limit) for limit in (None, 0)]
+    first, second = (df.withColumn("rechunked", F.lit(i)) for i, df in enumerate(scans))
+    return first.unionByName(second)
+
+
 @query("json_scan_inferred", "SELECT o_orderkey::VARCHAR AS o_orderkey, o_orderstatus, o_orderpriority FROM orders")
 def json_scan_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No schema given: the columns are found in the files, every leaf as text."""

@@ -199,3 +199,22 @@ def landing_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     land(spark, old, raw, "csv")
     land(spark, new, raw, "csv")
     return spark.read.option("header", True).schema(supplier.schema).csv(raw)
+
+
+@query("landing_partitioned", """
+    SELECT fmt, s_suppkey::VARCHAR AS s_suppkey, s_name, concat('0', s_nationkey) AS nation
+    FROM supplier, (VALUES ('csv'), ('json')) f(fmt)
+""")
+def landing_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extracts below ``nation=…``, whose values have leading zeros, landed as CSV and as JSON."""
+    nation = F.concat(F.lit("0"), F.col("s_nationkey").cast("string")).alias("nation")
+    supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string"), "s_name", nation)
+    out = None
+    for fmt in ("csv", "json"):
+        write = lambda p, fmt=fmt: supplier.write.partitionBy("nation").option("header", True).format(fmt).save(p)
+        raw = fresh_dir(spark, "raw")
+        land(spark, derived(spark, sf_dir, f"supplier-{fmt}-keyed", write), raw, fmt)
+        rows = spark.read.option("header", True).schema(supplier.schema).format(fmt).load(raw)
+        rows = rows.withColumn("fmt", F.lit(fmt))
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -11,6 +11,7 @@ from contextlib import contextmanager
 from pyspark.sql import SparkSession
 
 _local_dirs: dict[str, str] = {}
+_scratch: list[list[str]] = []
 
 
 def local_session(app: str = "millrace", cpus: int | str = 8, **conf: str) -> SparkSession:
@@ -48,7 +49,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that nothing has used before; it is not created."""
-    return f"{shared_dir(spark)}/millrace/{label}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/millrace/{label}-{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append(folder)
+    return folder
+
+
+def hadoop_path(spark: SparkSession, path: str) -> tuple:
+    """The file system of a path, and the path in its terms."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove, at the end of a job that failed or not, the fresh folders that were made within."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for folder in _scratch.pop():
+            fs, path = hadoop_path(spark, folder)
+            fs.delete(path, True)
 
 
 @contextmanager

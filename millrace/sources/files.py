@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 import fnmatch
+import json
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from millrace.operators.distribution import deal_scan
 from millrace.session import fresh_dir
 
-# Compressed bytes that one task parses in a few seconds; rewriting smaller files costs more.
-SMALL_FILE = 8 << 20
 
 # Standard CSV quoting: a quote inside a quoted value is doubled, and blanks belong to the value.
 # Spark takes CSV columns by position; a file whose header says otherwise is to be an error.
@@ -32,12 +31,9 @@ def _skip_files(df: DataFrame, exclude: Sequence[str]) -> DataFrame:
     return reduce(lambda kept, glob: kept.filter(~name.rlike(f"^{fnmatch.translate(glob)}")), exclude, df)
 
 
-def _wanted_paths(spark: SparkSession, path: str, exclude: Sequence[str], recursive: bool) -> str | list[str]:
-    """The files to read when their names, not their rows, must be filtered before the scan."""
-    if not exclude:
-        return path
-    files = spark.read.option("recursiveFileLookup", recursive).format("binaryFile").load(path)
-    return [row.path for row in _skip_files(files, exclude).select("path").toLocalIterator()]
+def partition_columns(spark: SparkSession, path: str) -> list[str]:
+    """The keys of ``key=value`` directories below a path, outermost first."""
+    return [c for c in spark.read.text(path).columns if c != "value"]
 
 
 def read_json(
@@ -62,16 +58,18 @@ def read_json(
     A line that is no JSON gives a row of NULLs; ``bad_record`` adds a column for its text,
     and ``fail_fast`` lets the first such line stop the job. Only one task can read a gzip
     file: those of more than ``rechunk_over`` bytes are first rewritten, line by line, as
-    small files in the shared folder, so that many tasks parse them. These three need a
-    schema and one object per line.
+    small files in the shared folder, below the same ``key=value`` directories, so that many
+    tasks parse them; the rows are the same for any limit. These three need a schema and one
+    object per line.
     """
     files = spark.read.option("recursiveFileLookup", recursive)
     if schema is None or multiline:
         if bad_record or fail_fast or rechunk_over is not None:
             raise ValueError("read_json: bad records and rechunking need a schema and one object per line")
         files = files.option("multiLine", multiline).option("primitivesAsString", schema is None)
-        paths = _wanted_paths(spark, path, exclude, recursive)
-        return (files.schema(schema) if schema is not None else files).json(paths)
+        if schema is None:
+            schema = _inferred(files, path, exclude, recursive, multiline)
+        return _skip_files(files.schema(schema).json(path), exclude)
 
     if bad_record:
         parsed = StructType.fromDDL(schema) if isinstance(schema, str) else schema
@@ -82,39 +80,85 @@ def read_json(
         "columnNameOfCorruptRecord": bad_record or "",
     }
 
-    def scan(folder: str) -> DataFrame:
-        return spark.read.options(**options).schema(schema).json(folder)
+    def scan(folder: str, columns: StructType | str) -> DataFrame:
+        return spark.read.options(**options).schema(columns).json(folder)
 
-    records = _skip_files(scan(path), exclude)
+    records = _skip_files(scan(path, schema), exclude)
     if rechunk_over is None:
         return records
     large = (F.col("_metadata.file_size") > rechunk_over) & F.lower("_metadata.file_name").endswith(".gz")
-    lines = _skip_files(files.text(path), exclude).filter(large).select("value")
+    # The directories of the chunks are read with the types that the whole folder has.
+    by = [] if recursive else partition_columns(spark, path)
+    whole = records.schema
+    text = StructType([StructField("value", StringType()), *[whole[c] for c in by]])
+    lines = _skip_files(files.schema(text).text(path), exclude).filter(large).select("value", *by)
     chunks = fresh_dir(spark, "chunks")
-    deal_scan(lines).write.option("compression", "gzip").text(chunks)
-    return records.filter(~large).union(scan(chunks))
+    writer = deal_scan(lines).write.option("compression", "gzip")
+    (writer.partitionBy(*by) if by else writer).text(chunks)
+    return records.filter(~large).unionByName(scan(chunks, whole))
 
 
-def oversized_gzip(spark: SparkSession, path: str, recursive: bool = False, small: int = SMALL_FILE) -> int | None:
+def _inferred(
+    reader: DataFrameReader, path: str, exclude: Sequence[str], recursive: bool, multiline: bool
+) -> StructType:
+    """The schema of the files that are not excluded, partition directories included."""
+    if not exclude:
+        return reader.json(path).schema
+    spark = reader._spark
+    if multiline:
+        files = spark.read.option("recursiveFileLookup", recursive).format("binaryFile").load(path)
+        texts = _skip_files(files, exclude).select(F.col("content").cast("string").alias("value"))
+    else:
+        files = spark.read.option("recursiveFileLookup", recursive).text(path)
+        texts = _skip_files(files, exclude).select("value")
+    # The JVM reader takes a dataset of text, which Python's lacks.
+    lines = getattr(texts._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    seen = spark._jsparkSession.read().option("primitivesAsString", True).json(lines).schema()
+    found = StructType.fromJson(json.loads(seen.json()))
+    by = [] if recursive else partition_columns(spark, path)
+    directories = spark.read.text(path).schema if by else None
+    return StructType([f for f in found.fields if f.name not in by] + [directories[c] for c in by])
+
+
+def oversized_gzip(spark: SparkSession, path: str, recursive: bool = False, limit: int | None = None) -> int | None:
     """The size beyond which a gzip file would hold up the scan, if there is such a file.
 
-    That is twice an even share of all bytes per core. Reads file sizes only.
+    By default that is the size at which Spark splits files that can be split
+    (``spark.sql.files.maxPartitionBytes``). Reads file sizes only.
     """
+    if limit is None:
+        size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        limit = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(size)
     files = spark.read.option("recursiveFileLookup", recursive).format("binaryFile").load(path)
     gzip_length = F.when(F.lower("_metadata.file_name").endswith(".gz"), F.col("length"))
-    largest, total = files.agg(F.max(gzip_length), F.sum("length")).first()
-    limit = max(small, 2 * (total or 0) // spark.sparkContext.defaultParallelism)
+    largest = files.agg(F.max(gzip_length)).first()[0]
     return limit if (largest or 0) > limit else None
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: StructType | str | None = None, **options: str | bool
+    spark: SparkSession,
+    path: str,
+    schema: StructType | str | None = None,
+    *,
+    bad_record: str | None = None,
+    fail_fast: bool = False,
+    **options: str | bool,
 ) -> DataFrame:
     """CSV files with a header line; without a schema, types are inferred in an extra pass.
 
     ``inferSchema=False`` takes all columns as text instead. Values that contain line
-    breaks need ``multiLine=True``; a file is then read by one task.
+    breaks need ``multiLine=True``; a file is then read by one task. A row with more or
+    fewer values than columns is malformed: ``bad_record`` adds a column for its text
+    (that needs a schema), and ``fail_fast`` lets the first such row stop the job.
     """
+    if bad_record:
+        if schema is None:
+            raise ValueError("read_csv: bad records need a schema")
+        parsed = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        schema = StructType(parsed.fields + [StructField(bad_record, StringType())])
+        options = {"columnNameOfCorruptRecord": bad_record, **options}
+    if fail_fast:
+        options = {"mode": "FAILFAST", **options}
     reader = spark.read.options(**{**CSV_OPTIONS, "inferSchema": schema is None, **options})
     return (reader.schema(schema) if schema is not None else reader).csv(path)
 

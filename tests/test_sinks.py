@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace import cluster, land, load_jdbc, write_parquet, write_partitioned
 from millrace.queries.sinks import DERBY, warehouse
+from millrace.sinks.files import StreamedFolder
 from millrace.sinks.warehouse import LoadMismatch
 
 
@@ -108,6 +109,7 @@ class Stutter:
 
     def __init__(self, df, wrong):
         self.df, self.sparkSession, self.wrong = df, df.sparkSession, wrong
+        self.columns = df.columns
 
     @property
     def write(self):
@@ -126,6 +128,55 @@ def test_warehouse_load_that_does_not_add_up_starts_over(spark):
         load_jdbc(Stutter(spark.range(9), 5), url, "t", properties=DERBY)
 
 
+def test_warehouse_load_that_fails_leaves_the_old_rows(spark):
+    url = warehouse(spark, "t").url
+    load_jdbc(spark.range(4), url, "t", properties=DERBY)
+    broken = spark.range(3).select(F.raise_error(F.lit("broken")).cast("long").alias("id"))
+    for df, error in ((Stutter(spark.range(9), 5), LoadMismatch), (broken, Exception)):
+        with pytest.raises(error):
+            load_jdbc(df, url, "t", properties=DERBY)
+        assert spark.read.jdbc(url, "t", properties=DERBY).count() == 4
+
+
+def test_no_append_beside_a_stream(spark, tmp_path):
+    (tmp_path / "t" / "_spark_metadata").mkdir(parents=True)
+    with pytest.raises(StreamedFolder):
+        write_partitioned(days(spark), str(tmp_path / "t"), ["day"])
+    with pytest.raises(StreamedFolder):
+        write_parquet(days(spark), str(tmp_path / "t"), mode="append")
+
+
+def test_landing_refuses_ragged_rows(spark, lines, tmp_path):
+    dst = str(tmp_path / "raw")
+    land(spark, lines("good", "a.csv", "a,b", "1,2"), dst, "csv")
+    with pytest.raises(Exception, match="MALFORMED"):
+        land(spark, lines("bad", "a.csv", "a,b", "1,2,3"), dst, "csv")
+    assert spark.read.option("header", True).csv(dst).count() == 1
+
+
+def test_landing_of_a_truncated_file_leaves_the_old_ones(spark, lines, tmp_path):
+    dst = str(tmp_path / "raw")
+    land(spark, lines("good", "a.json.gz", '{"a": 1}'), dst, "json")
+    src = Path(lines("bad", "a.json.gz", *['{"a": %d}' % i for i in range(1000)])) / "a.json.gz"
+    src.write_bytes(src.read_bytes()[:-200])
+    with pytest.raises(Exception):
+        land(spark, str(src.parent), dst, "json")
+    assert spark.read.text(dst).count() == 1
+
+
+@pytest.mark.parametrize("fmt, name, text", [("csv", "a.csv", ("a,b", "01,2")), ("json", "a.json", ('{"a": "01"}',))])
+def test_landing_keeps_directories_and_subfolders(spark, lines, tmp_path, fmt, name, text):
+    (tmp_path / "keyed").mkdir()
+    lines("keyed/code=007", name, *text)
+    dst = str(tmp_path / "raw")
+    land(spark, str(tmp_path / "keyed"), dst, fmt)
+    assert [p.name for p in Path(dst).glob("code=*")] == ["code=007"]
+    src = lines("plain", name, *text)
+    lines("plain/more", name, *text)
+    land(spark, src, dst, fmt)
+    assert spark.read.option("header", True).format(fmt).load(dst).count() == 2
+
+
 def test_landing_replaces_and_keeps_values(spark, lines, tmp_path):
     src = lines("src", "a.csv", "k,v", '007," x ""y"", "', "2,")
     dst = str(tmp_path / "raw")

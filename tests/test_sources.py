@@ -85,15 +85,15 @@ def test_one_large_gzip_file_is_noticed(spark, lines):
     path = lines("in", "big.json.gz", *random_text(500))
     for i in range(3):
         lines("in", f"small{i}.json.gz", "x")
-    limit = oversized_gzip(spark, path, small=10_000)
+    limit = oversized_gzip(spark, path, limit=10_000)
     assert 8_000 < limit < 35_000
     assert oversized_gzip(spark, path) is None
     lines("in", "plain.json", *random_text(5_000))
-    assert oversized_gzip(spark, path, small=10_000) is None
+    assert oversized_gzip(spark, path, limit=10_000) == limit
     even = lines("even", "0.json.gz", *random_text(500))
     for i in range(1, 16):
         lines("even", f"{i}.json.gz", *random_text(500))
-    assert oversized_gzip(spark, even, small=10_000) is None
+    assert oversized_gzip(spark, even, limit=10_000) == limit
 
 
 def test_only_large_gzip_files_are_cut(spark, lines):

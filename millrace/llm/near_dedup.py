@@ -151,14 +151,14 @@ def sketch(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int =
 
 
 def compare(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """``a, b, likeness`` of pairs of texts, from their words."""
+    """``pairs`` (``a, b`` and their classes ``ra, rb``) with the ``likeness`` of the two texts, from their words."""
     left = texts.select(F.col("rid").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("rid").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.join(left, "a").join(right, "b")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         n = batch.num_rows
-        (ha, ta), (hb, tb) = (runs(*utf8(batch.column(i)), size) for i in (2, 3))
+        (ha, ta), (hb, tb) = (runs(*utf8(batch.column(i)), size) for i in (4, 5))
         h, t, count = weighted(np.concatenate([ha, hb]), np.concatenate([2 * ta, 2 * tb + 1]))
         pair, side = t >> 1, t & 1
         order = np.lexsort((side, h, pair))
@@ -167,9 +167,10 @@ def compare(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFram
         shared = np.bincount(pair[1:][both], np.minimum(count[1:], count[:-1])[both], n)
         total = np.bincount(pair, count, n)
         likeness = shared / np.maximum(total - shared, 1)
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(likeness)], ["a", "b", "likeness"])
+        return pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(likeness)], ["a", "b", "ra", "rb", "likeness"])
 
-    return map_texts(joined, ["a", "b", "text_a", "text_b"], run, "a long, b long, likeness double")
+    columns = ["a", "b", "ra", "rb", "text_a", "text_b"]
+    return map_texts(joined, columns, run, "a long, b long, ra long, rb long, likeness double")
 
 
 def _block(likeness: float, size: int):
@@ -202,46 +203,46 @@ def _block(likeness: float, size: int):
             both += left @ right.T
         union = total[x][:, None] + total[y][None, :] - both
         i, j = np.nonzero((both >= likeness * union - 1e-6) & (root[x][:, None] != root[y][None, :]))
-        a, b = rid[x[i]], rid[y[j]]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        a, b, ra, rb = rid[x[i]], rid[y[j]], root[x[i]], root[y[j]]
+        ends = {"a": np.minimum(a, b), "b": np.maximum(a, b), "ra": np.minimum(ra, rb), "rb": np.maximum(ra, rb)}
+        return pd.DataFrame(ends)
 
     return run
 
 
-def components(spark: SparkSession, nodes: DataFrame, edges: DataFrame, base: str) -> DataFrame:
-    """``rid, root``: the smallest rid that each node is connected to; ``nodes`` has ``rid, root`` so far.
+def merge(nodes: DataFrame, links: DataFrame, base: str) -> DataFrame:
+    """``rid, root`` of ``nodes`` after the classes that ``links`` (``ra, rb``) name are put together.
 
-    Each round hooks roots onto smaller neighbouring roots and then shortens the paths.
+    The root of a class is the smallest rid in it. Each round hooks roots onto their smallest neighbour, shortens the
+    paths, and goes on with the links that are left between the new roots.
     """
+    spark = nodes.sparkSession
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{base}/{name}")
+        return spark.read.parquet(f"{base}/{name}")
+
     step = 0
-    while True:
-        a = nodes.select(F.col("rid").alias("a"), F.col("root").alias("ra"))
-        b = nodes.select(F.col("rid").alias("b"), F.col("root").alias("rb"))
-        across = edges.join(a, "a").join(b, "b").where("ra != rb")
-        hooks = (
-            across.select(F.greatest("ra", "rb").alias("root"), F.least("ra", "rb").alias("onto"))
-            .groupBy("root")
-            .agg(F.min("onto").alias("onto"))
-        )
-        hooks.write.parquet(f"{base}/hooks{step}")
-        hooks = spark.read.parquet(f"{base}/hooks{step}")
-        if hooks.isEmpty():
-            return nodes
+    while not links.isEmpty():
+        hooks = links.groupBy(F.greatest("ra", "rb").alias("root")).agg(F.min(F.least("ra", "rb")).alias("onto"))
+        hooks = kept(hooks, f"hooks{step}")
         # Follow the hooks to their ends; a chain halves with every jump.
         jump = 0
         while True:
             nxt = hooks.select(F.col("root").alias("onto"), F.col("onto").alias("further"))
-            longer = hooks.join(nxt, "onto", "left").select("root", F.coalesce("further", "onto").alias("onto"), "further")
-            longer.write.parquet(f"{base}/jump{step}_{jump}")
-            longer = spark.read.parquet(f"{base}/jump{step}_{jump}")
-            hooks = longer.drop("further")
-            jump += 1
-            if longer.where("further is not null").isEmpty():
+            if hooks.join(nxt, "onto", "left_semi").isEmpty():
                 break
-        moved = nodes.join(hooks, "root", "left").select("rid", F.coalesce("onto", "root").alias("root"))
-        moved.write.parquet(f"{base}/nodes{step}")
-        nodes = spark.read.parquet(f"{base}/nodes{step}")
+            longer = hooks.join(nxt, "onto", "left").select("root", F.coalesce("further", "onto").alias("onto"))
+            hooks = kept(longer, f"jump{step}_{jump}")
+            jump += 1
+        nodes = kept(nodes.join(hooks, "root", "left").select("rid", F.coalesce("onto", "root").alias("root")), f"nodes{step}")
+        for end in ("ra", "rb"):
+            links = links.join(hooks.withColumnRenamed("root", end), end, "left")
+            links = links.withColumn(end, F.coalesce("onto", end)).drop("onto")
+        left = links.where("ra != rb").select(F.least("ra", "rb").alias("ra"), F.greatest("ra", "rb").alias("rb"))
+        links = kept(left.distinct(), f"links{step}")
         step += 1
+    return nodes
 
 
 def classes(rows: DataFrame, likeness: float, size: int, base: str) -> DataFrame:
@@ -268,9 +269,9 @@ def classes(rows: DataFrame, likeness: float, size: int, base: str) -> DataFrame
         """Texts of very unlike length cannot be alike enough."""
         return F.least(m, n) >= F.greatest(m, n) * (likeness - 1e-9)
 
-    def leaders(nodes: DataFrame, salt: int) -> DataFrame:
-        """A member of the largest class of each bucket that holds more than one class, drawn by ``salt``."""
-        member = slots.join(nodes, "rid")
+    def leaders(members: DataFrame, nodes: DataFrame, salt: int) -> DataFrame:
+        """The members of buckets that hold more than one class, each with a member of the largest class drawn by ``salt``."""
+        member = members.join(nodes, "rid")
         drawn = F.min_by(F.struct("rid", "n_runs"), F.xxhash64("rid", "bucket", F.lit(salt))).alias("lead")
         per = member.groupBy("bucket", "root").agg(F.count("*").alias("n"), drawn)
         largest = F.struct(F.col("root").alias("main"), "lead", F.col("n").alias("main_n"))
@@ -280,31 +281,44 @@ def classes(rows: DataFrame, likeness: float, size: int, base: str) -> DataFrame
         per = per.where("kinds > 1").select(
             "bucket", "m.main", F.col("m.lead").alias("drawn"), "total", (F.col("total") - F.col("m.main_n")).alias("others")
         )
-        return member.join(per, "bucket")
+        return kept(member.join(per, "bucket"), f"members{salt}")
+
+    ends = ["a", "b", "ra", "rb"]
+
+    def checked(pairs: DataFrame, salt: int) -> DataFrame:
+        """The pairs that pass."""
+        pairs = kept(pairs, f"pairs{salt}")
+        return kept(compare(pairs, texts, size).where(F.col("likeness") >= likeness - 1e-9).select(ends), f"passed{salt}")
 
     # All members of a bucket against its first one.
     lead = F.col("lead")
     first = slots.where((F.col("rid") != lead["rid"]) & comparable(F.col("n_runs"), lead["n_runs"]))
-    first = kept(first.select(lead["rid"].alias("a"), F.col("rid").alias("b")).distinct(), "pairs0")
-    close = F.col("likeness") >= likeness - 1e-9
-    passed = kept(compare(first, texts, size).where(close).select("a", "b"), "passed0")
+    first = first.select(lead["rid"].alias("a"), F.col("rid").alias("b")).distinct()
+    passed = checked(first.select("a", "b", F.col("a").alias("ra"), F.col("b").alias("rb")), 0)
     nodes = slots.select("rid").distinct().select("rid", F.col("rid").alias("root"))
-    nodes = components(spark, nodes, passed, f"{base}/round0")
+    nodes = merge(nodes, passed.select("ra", "rb"), f"{base}/round0")
 
-    # Members outside the largest class of their bucket against other members of it.
-    done = first
+    # Members outside the largest class of their bucket against other members of it. Texts of two classes have not
+    # passed before, and a bucket that holds one class only is done with.
+    members = slots.select("bucket", "rid", "n_runs")
     for salt in range(1, ROUNDS + 1):
         drawn = F.col("drawn")
-        rest = leaders(nodes, salt).where((F.col("root") != F.col("main")) & comparable(F.col("n_runs"), drawn["n_runs"]))
-        rest = rest.select(F.least("rid", drawn["rid"]).alias("a"), F.greatest("rid", drawn["rid"]).alias("b")).distinct()
-        rest = kept(rest.join(done, ["a", "b"], "left_anti"), f"pairs{salt}")
-        more = kept(compare(rest, texts, size).where(close).select("a", "b"), f"passed{salt}")
-        done, passed = done.unionByName(rest), passed.unionByName(more)
-        nodes = components(spark, nodes, passed, f"{base}/round{salt}")
+        member = leaders(members, nodes, salt)
+        members = member.select("bucket", "rid", "n_runs")
+        rest = member.where((F.col("root") != F.col("main")) & comparable(F.col("n_runs"), drawn["n_runs"]))
+        rest = rest.select(
+            F.least("rid", drawn["rid"]).alias("a"),
+            F.greatest("rid", drawn["rid"]).alias("b"),
+            F.least("root", "main").alias("ra"),
+            F.greatest("root", "main").alias("rb"),
+        )
+        more = checked(rest.distinct(), salt)
+        passed = passed.unionByName(more)
+        nodes = merge(nodes, more.select("ra", "rb"), f"{base}/round{salt}")
 
     # Whatever still meets in a bucket without being of one class: the members outside the largest
     # class against all of another class, block by block, so that only pairs that pass leave a task.
-    member = kept(leaders(nodes, 0).select("bucket", "rid", "root", "main", "total", "others"), "members")
+    member = leaders(members, nodes, ROUNDS + 1).select("bucket", "rid", "root", "main", "total", "others")
     blocks = lambda n: F.ceil(F.col(n) / BLOCK_TEXTS).cast("int")
     own = lambda n: F.pmod(F.xxhash64("rid", "bucket"), blocks(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
@@ -312,12 +326,13 @@ def classes(rows: DataFrame, likeness: float, size: int, base: str) -> DataFrame
     y = member.withColumn("j", own("total")).withColumn("i", every("others"))
     dealt = x.withColumn("asks", F.lit(True)).unionByName(y.withColumn("asks", F.lit(False)))
     dealt = dealt.select("bucket", "i", "j", "rid", "root", "asks").join(texts, "rid")
-    block = dealt.groupBy("bucket", "i", "j").applyInPandas(_block(likeness, size), "a long, b long")
-    passed = passed.unionByName(kept(block.distinct().join(passed, ["a", "b"], "left_anti"), "passed"))
-    nodes = components(spark, nodes, passed, f"{base}/last")
+    block = dealt.groupBy("bucket", "i", "j").applyInPandas(_block(likeness, size), "a long, b long, ra long, rb long")
+    more = kept(block.distinct(), "passed")
+    passed = passed.unionByName(more)
+    nodes = merge(nodes, more.select("ra", "rb"), f"{base}/last")
 
-    ends = passed.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
-    out = folded.join(nodes.select(F.col("rid").alias("rep"), "root"), "rep", "left").join(ends, "rep", "left")
+    links = passed.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
+    out = folded.join(nodes.select(F.col("rid").alias("rep"), "root"), "rep", "left").join(links, "rep", "left")
     return out.select("rid", F.coalesce("root", "rep").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
 
 

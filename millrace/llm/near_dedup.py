@@ -258,10 +258,13 @@ def classes(rows: DataFrame, likeness: float, size: int, base: str) -> DataFrame
     same = sketches.groupBy("same").agg(F.min("rid").alias("rep"))
     folded = kept(sketches.select("rid", "same").join(same, "same").select("rid", "rep").distinct(), "folded")
     reps = folded.select(F.col("rep").alias("rid")).distinct()
-    distinct = sketches.where("n_runs > 0").join(reps, "rid", "left_semi")
+    distinct = sketches.where("n_runs > 0").join(reps, "rid", "left_semi").dropDuplicates(["rid"])
     slots = distinct.select("rid", "n_runs", F.explode("bands").alias("bucket"))
-    shared = slots.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("rid", "n_runs")).alias("lead"))
-    slots = kept(slots.join(shared.where("n > 1").select("bucket", "lead"), "bucket").distinct(), "slots")
+    digests = [F.bit_xor(F.xxhash64("rid", F.lit(k))).alias(f"set{k}") for k in (1, 2)]
+    shared = slots.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("rid", "n_runs")).alias("lead"), *digests)
+    # Of buckets that hold the same members one is enough.
+    shared = shared.where("n > 1").groupBy("n", "set1", "set2").agg(F.min(F.struct("bucket", "lead")).alias("one"))
+    slots = kept(slots.join(shared.select("one.*"), "bucket"), "slots")
     texts = rows.join(slots.select("rid").distinct(), "rid", "left_semi").dropDuplicates(["rid"])
     texts = kept(texts, "texts")
 
@@ -278,7 +281,8 @@ def classes(rows: DataFrame, likeness: float, size: int, base: str) -> DataFrame
         per = per.groupBy("bucket").agg(
             F.max_by(largest, F.struct("n", "root")).alias("m"), F.count("*").alias("kinds"), F.sum("n").alias("total")
         )
-        per = per.where("kinds > 1").select(
+        # Two members have been compared, or are too unlike in length.
+        per = per.where("kinds > 1 and total > 2").select(
             "bucket", "m.main", F.col("m.lead").alias("drawn"), "total", (F.col("total") - F.col("m.main_n")).alias("others")
         )
         return kept(member.join(per, "bucket"), f"members{salt}")

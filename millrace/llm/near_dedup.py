@@ -41,7 +41,7 @@ BANDS, ROWS = 36, 5
 ROUNDS = 2  # of comparisons with drawn members, before all that is left is compared
 BLOCK_TEXTS = 256  # texts on either side that are compared at once
 BLOCK_MARKS = 4_096
-BLOCK = 1 << 16  # points made at once where few processes go on
+BLOCK = 1 << 15  # points made at once where few processes go on
 
 
 def runs(raw: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -89,32 +89,27 @@ def signatures(h: np.ndarray, t: np.ndarray, count: np.ndarray, texts: int, size
 
     best = np.full(texts * size, np.inf)
     name = np.zeros(texts * size, np.uint64)
-    time = np.zeros(len(seed))
+    latest = np.full(texts, np.inf)
+    time, pace = np.zeros(len(seed)), -1.0 / width
     active, made = np.arange(len(seed)), 0
     while len(active):
         block = max(1, min(64, BLOCK // len(active)))
         counter = np.arange(made + 1, made + block + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         made += block
         point = mix(seed[active][:, None] + counter)
-        when = time[active][:, None] + np.cumsum(-np.log(_uniform(point)) / width[active][:, None], axis=1)
-        time[active] = when[:, -1]
+        when = time[active][:, None] + np.cumsum(np.log(_uniform(point)) * pace[active][:, None], axis=1)
+        time[active] = end = when[:, -1]
         # Once a text has a point in every component, later points than the latest of these are idle.
-        latest = best.reshape(texts, size).max(1)[text[active]]
-        draw = mix(point ^ np.uint64(0x5851F42D4C957F2D))
-        use = (when < latest[:, None]) & (_uniform(draw) < covered[active][:, None])
-        of = np.nonzero(use)[0]
-        when, draw = when[use], draw[use]
-        slot = text[active][of] * size + (mix(draw) % np.uint64(size)).astype(np.int64)
-        order = np.lexsort((when, slot))
-        slot, when, draw = slot[order], when[order], draw[order]
-        lead = np.ones(len(slot), bool)
-        lead[1:] = slot[1:] != slot[:-1]
-        slot, when, draw = slot[lead], when[lead], draw[lead]
-        better = when < best[slot]
-        best[slot[better]] = when[better]
-        name[slot[better]] = draw[better]
-        latest = best.reshape(texts, size).max(1)[text[active]]
-        active = active[time[active] < latest]
+        timely = np.nonzero(when < latest[text[active]][:, None])
+        of, when, draw = active[timely[0]], when[timely], mix(point[timely] ^ np.uint64(0x5851F42D4C957F2D))
+        slot = text[of] * size + (mix(draw) % np.uint64(size)).astype(np.int64)
+        use = (when < best[slot]) & (_uniform(draw) < covered[of])
+        slot, when, draw = slot[use], when[use], draw[use]
+        np.minimum.at(best, slot, when)
+        lead = when == best[slot]
+        name[slot[lead]] = draw[lead]
+        latest = best.reshape(texts, size).max(1)
+        active = active[end < latest[text[active]]]
     return name.reshape(texts, size)
 
 

@@ -41,6 +41,7 @@ BANDS, ROWS = 36, 5
 ROUNDS = 2  # of comparisons with drawn members, before all that is left is compared
 BLOCK_TEXTS = 256  # texts on either side that are compared at once
 BLOCK_MARKS = 4_096
+MARK_WORDS = 1 << 18  # rows of the broadcast marks, at most: 4 MB
 BLOCK = 1 << 15  # points made at once where few processes go on
 
 
@@ -205,6 +206,18 @@ def _block(likeness: float, size: int):
     return run
 
 
+def marked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose rid is not in ``wanted``; never without one that is.
+
+    Each wanted rid sets one bit of a table of ``MARK_WORDS`` rows, whatever the input; it is broadcast, so texts that
+    nobody asks for are not shuffled. With more rids than the table has bits (16 million) it lets most rows pass.
+    """
+    word, bit = f"rid & {MARK_WORDS - 1}L", "shiftleft(1L, cast(shiftrightunsigned(rid, 58) as int))"
+    marks = wanted.groupBy(F.expr(word).alias("word")).agg(F.expr(f"bit_or({bit})").alias("marks"))
+    found = rows.withColumn("word", F.expr(word)).join(F.broadcast(marks), "word")
+    return found.where(f"marks & {bit} != 0").drop("word", "marks")
+
+
 def merge(nodes: DataFrame, links: DataFrame, base: str) -> DataFrame:
     """``rid, root`` of ``nodes`` after the classes that ``links`` (``ra, rb``) name are put together.
 
@@ -260,7 +273,8 @@ def classes(rows: DataFrame, likeness: float, size: int, base: str) -> DataFrame
     # Of buckets that hold the same members one is enough.
     shared = shared.where("n > 1").groupBy("n", "set1", "set2").agg(F.min(F.struct("bucket", "lead")).alias("one"))
     slots = kept(slots.join(shared.select("one.*"), "bucket"), "slots")
-    texts = rows.join(slots.select("rid").distinct(), "rid", "left_semi").dropDuplicates(["rid"])
+    wanted = slots.select("rid").distinct()
+    texts = marked(rows, wanted).join(wanted, "rid", "left_semi").dropDuplicates(["rid"])
     texts = kept(texts, "texts")
 
     def comparable(m, n):

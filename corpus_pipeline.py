@@ -39,7 +39,7 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with digests of the ids and of the text decoded from them."""
-    return bpe_chunks.encode_decode(docs, BYTE_BPE).drop("decoded")
+    return bpe_chunks.encode_decode(docs, BYTE_BPE, outputs=("ids",))
 
 
 STAGES = [

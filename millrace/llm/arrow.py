@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 4 << 20  # text handled at once; bounds the memory of the number arrays
+SLICE_BYTES = 2 << 20  # text handled at once; bounds the memory of the number arrays
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _shipped: set[str] = set()
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
@@ -33,11 +33,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_texts(
-    docs: DataFrame, columns: list, per_slice: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str
+    docs: DataFrame,
+    columns: list,
+    per_slice: Callable[[pa.RecordBatch], pa.RecordBatch],
+    schema: str,
+    at_end: Callable[[], None] = lambda: None,
 ) -> DataFrame:
     """``per_slice`` over slices of a bounded number of text bytes; the text is the last of ``columns``.
 
-    A null text arrives as an empty one.
+    A null text arrives as an empty one. ``at_end`` is called when a task has no more rows.
     """
     ship(docs.sparkSession)
     names = [f"c{i}" for i in range(len(columns))]
@@ -46,6 +50,7 @@ def map_texts(
         for batch in batches:
             for part in slices(batch):
                 yield per_slice(part)
+        at_end()
 
     source = docs.select(*[F.col(c).alias(n) if isinstance(c, str) else c.alias(n) for c, n in zip(columns, names)])
     text = names[-1]

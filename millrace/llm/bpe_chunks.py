@@ -24,7 +24,7 @@ from millrace.llm.tokens import Memo, encode_parts, split, tokenizer
 
 WINDOW = 48  # bytes the rolling hash looks at
 MASK = (1 << 12) - 1  # a chunk ends where these bits of the hash are 0: every 4096 bytes on average
-CHUNK_BYTES = 24 << 20  # text of the chunks a worker remembers
+CHUNK_BYTES = 4 << 20  # text of the chunks a worker remembers
 
 
 class Codec:
@@ -43,6 +43,13 @@ class Codec:
         texts = self.library.decode_batch([i.tolist() for i in ids], skip_special_tokens=False)
         return [(i.tobytes(), t) for i, t in zip(ids, texts)]
 
+    def rest(self) -> None:
+        """Give memory back between tasks, for other operators in the same worker; frequent parts stay known."""
+        self.chunks.clear()
+        self.joins.clear()
+        self.parts.old.clear()
+        self.held = 0
+
     def _encode(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -151,9 +158,9 @@ def codec(path: str) -> Codec:
 
 
 def encode_decode(
-    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", outputs: bool = True
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", outputs: tuple[str, ...] = ("ids", "decoded")
 ) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256``, and with ``outputs`` also ``ids`` and ``decoded``."""
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256``, and the ``outputs`` asked for: ``ids``, ``decoded``."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = codec(path).run(batch.column(1).to_pylist())
@@ -165,15 +172,16 @@ def encode_decode(
             pa.array([hashlib.sha256(f[1].encode()).hexdigest() for f in found], pa.string()),
         ]
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-        if outputs:
+        if "ids" in outputs:
             ends = np.cumsum([0, *[len(i) // 4 for i in ids]])
             flat = np.frombuffer(b"".join(ids), "<i4")
-            columns += [
-                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32())),
-                pa.array([f[1] for f in found], pa.string()),
-            ]
-            names += ["ids", "decoded"]
+            columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32())))
+            names.append("ids")
+        if "decoded" in outputs:
+            columns.append(pa.array([f[1] for f in found], pa.string()))
+            names.append("decoded")
         return pa.RecordBatch.from_arrays(columns, names)
 
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return map_texts(docs, [id_col, text_col], run, schema + (", ids array<int>, decoded string" if outputs else ""))
+    schema += ", ids array<int>" * ("ids" in outputs) + ", decoded string" * ("decoded" in outputs)
+    return map_texts(docs, [id_col, text_col], run, schema, lambda: codec(path).rest())

@@ -122,7 +122,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_chunks.encode_decode(table(spark, sf_dir, "documents"), BYTE_BPE, outputs=False)
+    return bpe_chunks.encode_decode(table(spark, sf_dir, "documents"), BYTE_BPE, outputs=())
 
 
 @query()

@@ -429,3 +429,21 @@ def test_surrogates_stay_distinct_when_they_collide(spark, monkeypatch, tmp_path
     values = spark.createDataFrame([("secret", v) for v in "abcdefgh"], "kind string, value string")
     got = {r.value: r.surrogate for r in pii.assign(values, b"k", str(tmp_path)).collect()}
     assert set(got) == set("abcdefgh") and len(set(got.values())) == 8 and not set(got) & set(got.values())
+
+
+def test_marks_never_drop_a_wanted_row(spark):
+    rows = spark.range(20_000).select(F.xxhash64("id").alias("rid"), "id")
+    wanted = rows.where("id % 100 = 0").select("rid")
+    left = near_dedup.marked(rows, wanted)
+    assert left.columns == rows.columns
+    assert left.join(wanted, "rid", "left_semi").count() == 200
+    assert left.count() < 400
+    assert near_dedup.marked(rows, wanted.limit(0)).count() == 0
+
+
+def test_codec_gives_the_same_after_it_rested():
+    codec = bpe_chunks.Codec(Tokenizer.from_file(PATH))
+    texts = ["one two three " * 2000, "", "four  five"]
+    first = codec.run(texts)
+    codec.rest()
+    assert not codec.chunks and codec.run(texts) == first

@@ -1,9 +1,10 @@
 """Benchmark passages in documents, by SimHash of item-sized windows; DataFrame functions only.
 
 Words are runs of letters and digits, in lower case; a shingle is ``SHINGLE`` of them. An item of n words is compared with
-windows of n words. A window can only be alike enough if it shares a shingle with an item, so windows are
-laid wherever a document holds a shingle of an item: as the item would lie around it (moved inwards at the ends of
-the document). Equal windows are folded into one.
+windows of n words. A window that is alike enough shares a certain number of shingles with the item, in any
+order. Shingles of items are therefore found first, and windows laid at every start from which a window holds that many
+of them. Equal windows are folded into one. Among windows that are equally alike, one that holds a shared shingle where
+the item has it (moved inwards at the ends of the document) comes first, and then the foremost.
 
 Each window and each item gets a SimHash, the bitwise majority over its shingles, which count as often as they
 occur. The 64 bits are cut into ``RADIUS + 1`` blocks: fingerprints that differ in at most ``RADIUS`` bits agree in a
@@ -82,6 +83,26 @@ def likeness(a: Column, b: Column) -> Column:
     return shared / (F.size(a) + F.size(b) - shared)
 
 
+def _needed(n: Column, held: Column, least: float) -> Column:
+    """How many of the ``n`` shingles of an item a window of ``held`` shingles shares at least, to be alike enough."""
+    return F.greatest(F.lit(1), F.ceil((n + held) * F.lit(least / (1 + least)) - F.lit(1e-9)).cast("int"))
+
+
+def _starts(n: Column, places: Column, total: Column, least: float) -> Column:
+    """Every start from which ``n`` of ``total`` shingles hold enough of ``places``, which ascend; each start once."""
+    needed, last = _needed(n, F.least(n, total), least), F.greatest(total - n, F.lit(0))
+
+    def run(i: Column) -> Column:
+        # Windows with the i-th place and those behind it, without the windows that the place before has as well.
+        low = F.greatest(F.get(places, i + needed - 1) - n + 1, F.lit(0))
+        low = F.greatest(low, F.least(F.coalesce(F.get(places, i - 1), F.lit(-1)), last) + 1)
+        high = F.least(F.get(places, i), last)
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    firsts = F.sequence(F.lit(0), F.size(places) - needed)
+    return F.when(F.size(places) >= needed, F.flatten(F.transform(firsts, run))).otherwise(F.array().cast("array<int>"))
+
+
 def _bounded(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast what is known to be small."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
@@ -104,34 +125,32 @@ def find_passages(
         raise ValueError("a radius is from 0 to 63 bits")
     known = items.select("item_id", _shingles(F.col("text"), size).alias("own")).where(F.size("own") > 0)
     known = known.select("item_id", "own", F.size("own").alias("n"), simhash(F.col("own")).alias("print"))
-    seeds = known.select("n", F.posexplode("own").alias("at", "shingle")).distinct()
+    seeds = known.select("n", F.explode("own").alias("shingle")).distinct()
     n_seeds = seeds.count()
 
     named = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     spread = named.select("doc_id", "h", F.posexplode(_shingles(F.col("text"), size)).alias("place", "shingle"))
     hits = spread.join(_bounded(seeds, n_seeds), "shingle")
-    starts = hits.select("doc_id", "h", F.greatest(F.col("place") - F.col("at"), F.lit(0)).alias("start"), "n")
-    starts = starts.groupBy(F.col("doc_id").alias("of_doc"), F.col("h").alias("of_h")).agg(
-        F.collect_set(F.struct("start", "n")).alias("windows")
+    places = hits.groupBy(F.col("doc_id").alias("of_doc"), F.col("h").alias("of_h"), "n").agg(
+        F.sort_array(F.collect_set("place")).alias("places")
     )
+    # The shortest window that can be alike enough has n * least shingles, all of them shared.
+    places = places.where(F.size("places") >= F.ceil(F.col("n") * F.lit(least) - F.lit(1e-9)))
+    places = places.groupBy("of_doc", "of_h").agg(F.collect_list(F.struct("n", "places")).alias("sizes"))
 
     # The shingles of a window are a part of those of its document.
     same = F.col("of_doc").eqNullSafe(F.col("doc_id")) & (F.col("of_h") == F.col("h"))
-    held = named.join(starts, same).select("doc_id", "h", "windows", _shingles(F.col("text"), size).alias("own"))
-    held = held.distinct().select(
+    held = named.join(places, same).select("doc_id", "h", "sizes", _shingles(F.col("text"), size).alias("own"))
+    held = held.distinct().select("doc_id", "h", "own", F.explode("sizes").alias("w")).select("doc_id", "h", "own", "w.*")
+    held = held.select("doc_id", "h", "own", "n", F.explode(_starts(F.col("n"), F.col("places"), F.size("own"), least)).alias("start"))
+    held = held.select(
         "doc_id",
         "h",
-        F.explode(
-            F.transform(
-                "windows",
-                lambda w: F.struct(
-                    F.greatest(F.least(w["start"], F.size("own") - w["n"]), F.lit(0)).alias("start"), w["n"].alias("n")
-                ),
-            )
-        ).alias("w"),
-        "own",
+        "start",
+        "n",
+        (F.col("start") + F.col("n") >= F.size("own")).alias("at_end"),
+        F.expr("slice(own, start + 1, n)").alias("bag"),
     )
-    held = held.select("doc_id", "h", "w.start", "w.n", F.expr("slice(own, w.start + 1, w.n)").alias("bag")).distinct()
 
     # One fingerprint for all equal windows.
     bags = held.groupBy("n", "bag").agg(F.count("*").alias("times")).select("n", "bag", simhash(F.col("bag")).alias("print"))
@@ -146,8 +165,22 @@ def find_passages(
     )
     alike = near.join(_bounded(known.select("item_id", "own"), n_seeds), "item_id")
     alike = alike.withColumn("likeness", likeness(F.col("own"), F.col("bag"))).where(F.col("likeness") >= least)
-    found = held.join(alike.select("bag", "n", "item_id", "likeness"), ["n", "bag"])
-    best = F.max(F.struct("likeness", (-F.col("start")).alias("back"), "n")).alias("best")
+    # Does a shingle of the window stand in the item at the same place, further behind, or further in front?
+    shared = lambda part: F.exists(
+        F.sequence(F.lit(0), F.size("bag") - 1), lambda i: F.array_contains(part(i), F.get(F.col("bag"), i))
+    )
+    alike = alike.select(
+        "bag",
+        "n",
+        "item_id",
+        "likeness",
+        shared(lambda i: F.slice("own", i + 1, 1)).alias("even"),
+        shared(lambda i: F.slice("own", i + 2, F.size("own"))).alias("behind"),
+        shared(lambda i: F.slice("own", 1, i)).alias("in_front"),
+    )
+    found = held.join(alike, ["n", "bag"])
+    aligned = F.col("even") | (F.col("start") == 0) & F.col("behind") | F.col("at_end") & F.col("in_front")
+    best = F.max(F.struct("likeness", aligned.alias("aligned"), (-F.col("start")).alias("back"), "n")).alias("best")
     return (
         found.groupBy("doc_id", "h", "item_id")
         .agg(best)

@@ -249,6 +249,28 @@ def test_decontamination(spark, odd, empty):
     assert decontaminate.find_passages(empty, bench).count() == 0
 
 
+def test_decontamination_finds_windows_that_no_shingle_aligns(spark):
+    """The halves of an item swapped, or three parts of it in another order, within other words."""
+    item = [f"w{i}" for i in range(90)]
+    around = [f"x{i}" for i in range(100)]
+    docs = [
+        around + item[45:] + item[:45] + around,
+        item[45:] + item[:45],
+        item[45:] + item[:45] + around,
+        around + item[60:] + item[30:60] + item[:30],
+        around + item[:40] + around + item[40:],
+    ]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    got = {r.doc_id: (r.start, r.likeness) for r in decontaminate.find_passages(df, bench).collect()}
+    want = {}
+    for i, doc in enumerate(docs):
+        best = max((alike(shingles(doc[a : a + 90]), shingles(item)), -a) for a in range(len(doc) - 89))
+        if best[0] >= 0.8:
+            want[i] = (-best[1], best[0])
+    assert set(want) == {0, 1, 2, 3} and got == {i: (a, pytest.approx(v)) for i, (a, v) in want.items()}
+
+
 def test_blocks_guarantee_the_radius(spark):
     pairs = spark.range(500).select(F.xxhash64("id").alias("a"), F.xxhash64("id", F.lit(1)).alias("noise"), "id")
     flips = F.shiftrightunsigned("noise", 33).bitwiseAND(F.xxhash64("id", F.lit(2)))

@@ -10,16 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from millrace.llm import bpe_chunks, decontaminate, near_dedup, pii, toxicity  # noqa: E402
-from millrace.llm.queries import BYTE_BPE, PII_KEY, fold, table  # noqa: E402
+from millrace.llm.queries import BYTE_BPE, LIMIT, PII_KEY, fold, table  # noqa: E402
 from millrace.session import fresh_dir  # noqa: E402
 
-REJECT = 0.5  # toxicity score from which a document goes
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below ``REJECT``; learnt from the labelled documents outside the held-out fold."""
+    """Documents that op6 does not call toxic; learnt from the labelled documents outside the held-out fold."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold(4) != 2)
-    return toxicity.drop_toxic(docs, model, REJECT)
+    return toxicity.drop_toxic(docs, model, LIMIT)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

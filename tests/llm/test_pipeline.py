@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from millrace.llm import queries
+from millrace.llm import queries, toxicity
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -23,6 +23,18 @@ def test_stages_keep_columns_and_take_effect(spark):
     assert last.count() == counts[-1] and "ids" in last.columns
 
 
+def test_first_stage_drops_what_the_operator_calls_toxic(spark, monkeypatch):
+    """Also documents with a score from the operator's threshold up to 0.5."""
+    docs = spark.createDataFrame([(i, w) for i, w in enumerate(["", "vile", "vile vile vile"])], "doc_id long, text string")
+    monkeypatch.setattr(toxicity, "fit", lambda *a: toxicity.Model({b"vile": 1.0}, 1.0, 1.0, (-1.5, 1.0, 0, 0, 0)))
+    scores = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.fit()).collect()}
+    assert any(queries.LIMIT <= s < 0.5 for s in scores.values())
+    labels = spark.createDataFrame([(0, 0)], "doc_id long, toxic int")
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *a: labels)
+    kept = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, SMALL).collect()}
+    assert kept == {i for i, s in scores.items() if s < queries.LIMIT}
+
+
 def test_stages_take_empty_tables_and_clashing_columns(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").withColumnRenamed("source", "rid")
     for _, stage in corpus_pipeline.STAGES:

@@ -153,29 +153,29 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = MAX_R
     weights = {bytes(r["word"]): r["weight"] for r in rows}
     model = Model(weights, _rate([r["clean"] / n0 for r in rows], list(weights.values())))
 
+    held = sample.where("fold = 0").withColumn("label", F.col("label").cast("int"))
+
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = [(label, *_evidence(model, text)) for label, text in zip(*(c.to_pylist() for c in batch.columns))]
+        out = [_evidence(model, text)[:2] for text in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays(
-            [
-                pa.array([o[0] for o in out], pa.int32()),
-                pa.array([o[1] for o in out], pa.int64()),
-                pa.array([o[2] for o in out], pa.float64()),
-                pa.array([[list(map(float, p)) for p in o[3]][:200] for o in out], pa.list_(pa.list_(pa.float64()))),
-            ],
-            ["label", "n", "best", "parts"],
+            [batch.column(0), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.float64())],
+            ["label", "n", "best"],
         )
 
-    held = map_texts(
-        sample.where("fold = 0").withColumn("label", F.col("label").cast("int")),
-        ["label", "text"],
-        measure,
-        "label int, n long, best double, parts array<array<double>>",
-    ).collect()  # bounded by max_rows
-    clean_rows = [r for r in held if r["label"] == 0 and r["n"]]
+    # Both collected tables are bounded by max_rows.
+    rows = map_texts(held, ["label", "text"], measure, "label int, n long, best double").collect()
+    clean_rows = [r for r in rows if r["label"] == 0 and r["n"]]
     k = len(clean_rows) / max(sum(r["n"] * math.exp(-model.rate * r["best"]) for r in clean_rows), 1e-9)
-    model = Model(weights, model.rate, max(k, 1e-9))
-    features = [_features(model, r["n"], r["best"], [tuple(p) for p in r["parts"]])[0] for r in held]
-    return Model(weights, model.rate, model.k, _curve(np.array(features), np.array([r["label"] for r in held], float)))
+    known = Model(weights, model.rate, max(k, 1e-9))
+
+    def describe(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = [_features(known, *_evidence(known, text))[0] for text in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], ["label", "x"])
+
+    # A second pass, now that K is known: the features of a text come from all its segments, as when it is scored.
+    rows = map_texts(held, ["label", "text"], describe, "label int, x array<double>").collect()
+    curve = _curve(np.array([r["x"] for r in rows]), np.array([r["label"] for r in rows], float))
+    return Model(weights, known.rate, known.k, curve)
 
 
 def _rate(shares: list[float], weights: list[float]) -> float:

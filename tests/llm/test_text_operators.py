@@ -359,6 +359,23 @@ def test_attention_weights_sum_to_one(spark):
     assert np.bincount(owner, attention) == pytest.approx([1, 1, 1])
 
 
+def test_toxicity_is_fitted_on_all_segments(spark, monkeypatch):
+    """The features the curve is fitted on are those that scoring computes, in texts with many segments."""
+    clean, rows = [f"w{j}" for j in range(200)], []
+    for i in range(400):
+        toxic = int(i % 4 == 0)
+        rows.append((i, " ".join(clean + toxic * 300 * (["vile"] * 6 + clean[:40])), toxic))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    seen, curve = [], toxicity._curve
+    monkeypatch.setattr(toxicity, "_curve", lambda x, y: seen.append((x, y)) or curve(x, y))
+    model = toxicity.fit(docs, labels, F.lit(True))
+    (x, y), (n, best, parts) = seen[0], toxicity._evidence(model, rows[0][1])
+    want, significant = toxicity._features(model, n, best, parts)
+    assert len(significant) == 300
+    assert (y > 0).any() and x[y > 0] == pytest.approx(np.array([want] * int(y.sum())))
+
+
 def test_segments_are_the_maximal_ones():
     draw = random.Random(6)
     for _ in range(200):

@@ -3,14 +3,17 @@
 A text becomes its lower-case words joined by single spaces. Four fixed phrases are counted where their
 words stand one after the other. Notices are found with up to ``k`` edits: a notice is split into
 ``k + 1`` parts, one of which must stand unchanged in any place within ``k`` edits; an automaton finds all
-such parts in one pass, and around each the regex library's bounded-error matching verifies the notice
-and gives its span and number of edits.
+such parts in one pass, and around each, by itself, the regex library's bounded-error matching verifies the notice
+and gives its span and number of edits. Of notices that overlap the likest is kept, and what is left free of the
+other's surroundings is searched again.
 
 Null and empty texts have no words and no labels. Repeated rows stay, extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import re
 
 import ahocorasick
@@ -69,32 +72,39 @@ class Scanner:
 
     def notices(self, text: str) -> list[tuple[str, int, int, int, float]]:
         """Label, start, end, edits and likeness of each notice in a text of normalised words."""
-        windows: dict[int, list[list[int]]] = {}
+        queue: list[tuple] = []
+        tried: set[tuple[int, int, int]] = set()
+
+        def search(number: int, a: int, b: int) -> None:
+            label, notice, k, pattern = self.patterns[number]
+            if b - a < len(notice) - k or (number, a, b) in tried:
+                return
+            tried.add((number, a, b))
+            if match := pattern.search(text, a, b):
+                edits = sum(match.fuzzy_counts)
+                heapq.heappush(queue, (edits / len(notice) - 1, label, *match.span(), edits, number, a, b))
+
         for end, (length, where) in self.automaton.iter(text):
             for number, place in where:
                 _, notice, k, _ = self.patterns[number]
                 start = end + 1 - length - place
-                a, b = max(0, start - k), min(len(text), start + len(notice) + k)
-                own = windows.setdefault(number, [])
-                # Seeds of one place share a window.
-                if own and a <= own[-1][1] and b >= own[-1][0]:
-                    own[-1][0], own[-1][1] = min(a, own[-1][0]), max(b, own[-1][1])
-                else:
-                    own.append([a, b])
-        found = {}
-        for number, own in windows.items():
-            label, notice, _, pattern = self.patterns[number]
-            for a, b in own:
-                while match := pattern.search(text, a, b):
-                    edits = sum(match.fuzzy_counts)
-                    found[(label, *match.span())] = (edits, 1 - edits / len(notice))
-                    a = max(match.end(), match.start() + 1)
+                # Too short for two notices, so the best match hides none beside it.
+                search(number, max(0, start - k), min(len(text), start + len(notice) + k))
         # Notices that differ by a digit match in one place; the one with fewest edits is meant.
-        kept: list[tuple[str, int, int, int, float]] = []
-        for (label, start, end), (edits, likeness) in sorted(found.items(), key=lambda f: (-f[1][1], f[0])):
-            if all(end <= k[1] or start >= k[2] for k in kept):
-                kept.append((label, start, end, edits, likeness))
-        return sorted(kept, key=lambda k: (k[1], k[0]))
+        kept: list[tuple[int, int, str, int, float]] = []
+        while queue:
+            less, label, start, end, edits, number, a, b = heapq.heappop(queue)
+            at = bisect.bisect(kept, (start, end))
+            if (at == 0 or kept[at - 1][1] <= start) and (at == len(kept) or kept[at][0] >= end):
+                kept.insert(at, (start, end, label, edits, -less))
+                continue
+            at = max(0, bisect.bisect(kept, (a,)) - 1)
+            while at < len(kept) and kept[at][0] < b:
+                search(number, a, kept[at][0])
+                a = max(a, kept[at][1])
+                at += 1
+            search(number, a, b)
+        return [(label, start, end, edits, likeness) for start, end, label, edits, likeness in kept]
 
 
 _scanner: list[Scanner] = []

@@ -432,6 +432,25 @@ def test_seeds_find_every_notice():
             assert (brute is not None) == bool(scanner.notices(text))
 
 
+def test_notices_that_stand_back_to_back():
+    """An edited notice is found beside a better one, also where the two only differ by a digit or share letters."""
+    gpl = "licensed under the gnu general public license version"
+    edited = "lisenced undr the gnu general public license version 3"
+    cases = {
+        f"{edited} {gpl} 2": [("gpl-3.0", 0), ("gpl-2.0", len(edited) + 1)],
+        f"{gpl} 2 {edited}": [("gpl-2.0", 0), ("gpl-3.0", len(gpl) + 3)],
+        f"{edited} {gpl} 3 {edited}": [("gpl-3.0", 0), ("gpl-3.0", len(edited) + 1), ("gpl-3.0", len(edited) + len(gpl) + 4)],
+        " ".join([edited, f"{gpl} 2"] * 50): [("gpl-3.0", None), ("gpl-2.0", None)] * 50,
+    }
+    for text, want in cases.items():
+        got = [(n[0], n[1]) for n in licenses.Scanner().notices(text)]
+        assert [(label, at if w is not None else None) for (label, at), (_, w) in zip(got, want)] == want
+        assert len(got) == len(want)
+    got = licenses.Scanner().notices(f"{gpl} {gpl} 2")
+    assert [n[0] for n in got][1:] == ["gpl-2.0"] and got[0][0].startswith("gpl") and got[0][1] == 0
+    assert got[0][2] <= got[1][1] and got[1][3] == 0
+
+
 def test_surrogates(spark, odd, empty):
     texts = [
         "mail anna.b@mail1.example.com or ANNA.B@mail1.example.com, call +1 (017) 555-7713",

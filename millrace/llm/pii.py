@@ -1,9 +1,10 @@
 """Personal data, replaced by surrogates.
 
 Detected: e-mail addresses, telephone and card numbers, IP addresses, social security numbers, secrets that are
-assigned to a name such as ``token``, and names after a form of address. Mentions of one entity that only differ in
+assigned to a name such as ``token``, and names after a form of address, with the bare mentions of these names in
+the same text. Mentions of one entity that only differ in
 punctuation, spaces or case are brought to one value. The surrogate of a value comes from a keyed hash
-(HMAC-SHA256), keeps its type, length, script and, for names, gender, and is written like
+(HMAC-SHA256), keeps its type, length, script and, for names, the gender that most of its mentions tell, and is written like
 the mention: same separators, same case; card numbers that pass the Luhn check still do.
 
 Equal values get equal surrogates in the whole corpus, and different values different ones: in rounds, surrogates
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 from ipaddress import ip_address
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,6 +85,10 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if c.isdigit())
 
 
+def _name(mention: str) -> str:
+    return " ".join(re.split(r"[ -]", mention.casefold()))
+
+
 def detect(text: str) -> list[tuple[str, str, int, int]]:
     """Kind, value, first character and end of each mention; mentions do not overlap."""
     found: list[tuple[str, str, int, int]] = []
@@ -99,9 +104,15 @@ def detect(text: str) -> list[tuple[str, str, int, int]]:
         found += [("card", _digits(m[0]), *m.span()) for m in _CARD.finditer(text)]
         found += [("phone", _digits(m[0]), *m.span()) for m in _PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15]
     if any(title in text for title in _TITLES):
-        for m in _NAME.finditer(text):
-            gender = _TITLES[m[1]]
-            found.append((f"name-{gender}", " ".join(re.split(r"[ -]", m[2].casefold())), *m.span(2)))
+        titled = list(_NAME.finditer(text))
+        found += [(f"name-{_TITLES[m[1]]}", _name(m[2]), *m.span(2)) for m in titled]
+        if titled:
+            # The same names without a form of address; a longer name is sought before one that it holds.
+            known = {_name(m[2]): re.split(r"[ -]", m[2]) for m in titled}
+            forms = sorted({"[ -]".join(map(re.escape, words)) for words in known.values()}, key=len, reverse=True)
+            for m in re.finditer(rf"(?<!\w)(?:{'|'.join(forms)})(?!\w)", text, re.IGNORECASE):
+                if _name(m[0]) in known and not any(w[0].islower() for w in re.split(r"[ -]", m[0])):
+                    found.append(("name-n", _name(m[0]), *m.span()))
     # The kinds above stand in order of how sure they are.
     kept: list[tuple[int, int, str, str]] = []
     for kind, value, start, stop in found:
@@ -236,14 +247,20 @@ def _detected(docs: DataFrame, text_col: str, with_data: bool) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def _group(kind: str) -> Column:
+    """All names are one group, whatever their gender: equal names are one person, and no two share a surrogate."""
+    return F.when(F.col(kind).startswith("name"), F.lit("name")).otherwise(F.col(kind))
+
+
 def assign(entities: DataFrame, key: bytes, base: str) -> DataFrame:
-    """``kind, value, surrogate``: one to one, and no surrogate is a value. ``entities`` are distinct."""
+    """``kind, value, surrogate``: one to one among all names and within any other kind, and no surrogate is a value.
+
+    ``entities`` are distinct, and a name has one kind.
+    """
     spark = entities.sparkSession
     pending, done, step = entities, None, 0
-    real = entities.select("kind", F.col("value").alias("surrogate"))
+    real = entities.select(_group("kind").alias("group"), F.col("value").alias("surrogate"))
     while not pending.isEmpty():
-        if step == ATTEMPTS:
-            raise RuntimeError("there are too few surrogates of some kind for so many values")
 
         def run(batches: Iterator[pa.RecordBatch], attempt: int = step) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -254,15 +271,18 @@ def assign(entities: DataFrame, key: bytes, base: str) -> DataFrame:
         tried = pending.select("kind", "value").mapInArrow(run, "kind string, value string, surrogate string")
         tried.write.parquet(f"{base}/tried{step}")
         tried = spark.read.parquet(f"{base}/tried{step}")
-        free = tried.join(real, ["kind", "surrogate"], "left_anti")
+        free = tried.withColumn("group", _group("kind")).join(real, ["group", "surrogate"], "left_anti")
         if done is not None:
-            free = free.join(done.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
-        free = free.groupBy("kind", "surrogate").agg(F.min("value").alias("value")).select("kind", "value", "surrogate")
+            free = free.join(done.select(_group("kind").alias("group"), "surrogate"), ["group", "surrogate"], "left_anti")
+        free = free.groupBy("group", "surrogate").agg(F.min(F.struct("value", "kind")).alias("first"))
+        free = free.select("first.kind", "first.value", "surrogate")
         free.write.parquet(f"{base}/free{step}")
         free = spark.read.parquet(f"{base}/free{step}")
         done = free if done is None else done.unionByName(free)
         pending = tried.select("kind", "value").join(free.select("kind", "value"), ["kind", "value"], "left_anti")
         step += 1
+        if step == ATTEMPTS and not pending.isEmpty():
+            raise RuntimeError("there are too few surrogates of some kind for so many values")
     return entities.withColumn("surrogate", F.lit("")).limit(0) if done is None else done
 
 
@@ -279,9 +299,14 @@ def _replace(docs: DataFrame, key: bytes, text_col: str, counted: bool) -> tuple
     found.write.parquet(f"{base}/found")
     found = spark.read.parquet(f"{base}/found")
     mentions = found.select("__row", F.explode("__spans").alias("m")).select("__row", "m.*")
-    mentions.select("kind", "value").distinct().write.parquet(f"{base}/entities")
+    mentions = mentions.withColumn("group", _group("kind"))
+    tells = lambda gender: F.count(F.when(F.col("kind") == f"name-{gender}", 1))
+    entities = mentions.groupBy("group", "value").agg((tells("m") - tells("f")).alias("more"))
+    gender = F.when(F.col("more") > 0, F.lit("name-m")).when(F.col("more") < 0, F.lit("name-f")).otherwise(F.lit("name-n"))
+    entities = entities.select(F.when(F.col("group") == "name", gender).otherwise(F.col("group")).alias("kind"), "value")
+    entities.write.parquet(f"{base}/entities")
     names = assign(spark.read.parquet(f"{base}/entities"), key, base)
-    new = mentions.join(names, ["kind", "value"])
+    new = mentions.join(names.select(_group("kind").alias("group"), "value", "surrogate"), ["group", "value"])
     new = new.groupBy("__row").agg(F.collect_list(F.struct("kind", "start", "stop", "surrogate")).alias("__new"))
     place = docs.columns.index(text_col)
     schema = docs.schema

@@ -489,6 +489,28 @@ def test_surrogates_stay_distinct_when_they_collide(spark, monkeypatch, tmp_path
     assert set(got) == set("abcdefgh") and len(set(got.values())) == 8 and not set(got) & set(got.values())
 
 
+def test_one_name_has_one_surrogate_with_any_title(spark, monkeypatch, tmp_path):
+    texts = [
+        "Dr Anna Smith met Mr Boris Brown. Later Anna Smith and ANNA SMITH left; Anna Smithson and brown paper stayed.",
+        "Mrs Anna Smith and Prof Anna-Smith",
+        "Anna Smith without a form of address in this text",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    new, names = pii.replace_personal_data(df, b"key")
+    found = {r.value: (r.kind, r.surrogate) for r in names.collect()}
+    assert names.count() == 2 and found["anna smith"][0] == "name-f" and found["boris brown"][0] == "name-m"
+    out = {r.doc_id: r.text for r in new.collect()}
+    own = " ".join(w.capitalize() for w in found["anna smith"][1].split(" "))
+    assert out[0].count(own) == 2 and own.upper() in out[0] and "Anna Smith " not in out[0] and "ANNA" not in out[0]
+    assert "Anna Smithson and brown paper" in out[0] and out[1] == f"Mrs {own} and Prof {own.replace(' ', '-')}"
+    assert out[2] == texts[2]
+    monkeypatch.setattr(pii, "surrogate", lambda key, kind, value, attempt: "a b" if attempt < 2 else f"{value}{attempt}")
+    kinds = [("name-m", "c d"), ("name-f", "e f"), ("name-n", "a b"), ("name-f", "g h")]
+    values = spark.createDataFrame(kinds, "kind string, value string")
+    got = {r.value: r.surrogate for r in pii.assign(values, b"k", str(tmp_path)).collect()}
+    assert len(set(got.values())) == 4 and not set(got) & set(got.values())
+
+
 def test_marks_never_drop_a_wanted_row(spark):
     rows = spark.range(20_000).select(F.xxhash64("id").alias("rid"), "id")
     wanted = rows.where("id % 100 = 0").select("rid")

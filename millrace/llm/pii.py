@@ -9,8 +9,10 @@ the mention: same separators, same case; card numbers that pass the Luhn check s
 
 Equal values get equal surrogates in the whole corpus, and different values different ones: in rounds, surrogates
 that are also a real value of the corpus, that are taken, or that two values share (the smaller value keeps it)
-are refused, and the values left without one try the next keyed hash. ``ATTEMPTS`` rounds without success
-mean that a kind has too few surrogates, which is an error.
+are refused, and the values left without one try the next keyed hash. After ``ATTEMPTS`` rounds the n-th value
+of those left in a block (surrogates of one form) gets the n-th free surrogate of the block, listed in pieces that grow;
+behind its end the list goes on with a wider block: more letters or syllables, the private addresses of
+10.0.0.0/8 and then public ones, a free first digit. Only where a whole format is used up there is an error.
 
 Rows without personal data, and all other columns, stay as they are; a null text stays null. Repeated rows are
 replaced alike.
@@ -22,11 +24,13 @@ import bisect
 import hashlib
 import hmac
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from ipaddress import ip_address
+from itertools import chain, count
+from math import prod
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,8 +75,10 @@ _LETTERS = [
 ]
 _LETTER = {c: letters for letters in _LETTERS for c in letters}
 
-ATTEMPTS = 64  # keyed hashes that are tried for a value
-MARKS_FROM = 8
+ATTEMPTS = 8  # keyed hashes that are tried for a value, before free surrogates are listed
+MARKS_FROM = 4
+LISTED = 256  # free surrogates sought in a block at first; each further piece is four times as long
+PIECE = 4096  # surrogates listed by one row
 SPANS = "array<struct<kind:string,value:string,start:int,stop:int>>"
 
 
@@ -208,6 +214,78 @@ def _name_like(gender: str, value: str, draw: _Draw, attempt: int) -> str:
     return " ".join([given[draw.below(len(given))].lower(), *(family() for _ in words[1:])])
 
 
+def _choices(text: str, marks: bool = False) -> list[Sequence[str]]:
+    """What each character may become, as in ``_like``."""
+    out: list[Sequence[str]] = []
+    for c in text:
+        if marks and not c.isalnum():
+            c = "a"
+        if c.isdigit() and c.isascii():
+            out.append("0123456789")
+        elif c.lower() in _LETTER:
+            letters = _LETTER[c.lower()]
+            out.append([x.upper() if c.isupper() and len(x.upper()) == 1 else x for x in letters])
+        elif "㐀" <= c <= "鿿":
+            out.append([chr(0x4E00 + i) for i in range(0x5000)])
+        else:
+            out.append([c])
+    return out
+
+
+def _blocks(key: bytes, kind: str, value: str) -> Iterator[list[Sequence[str]]]:
+    """The surrogates that a value may get, as choices for each part; each block is wider than the one before."""
+    if kind == "email":
+        local, _, domain = value.rpartition("@")
+        *labels, top = domain.split(".")
+        tail = [f"@{_like('.'.join(labels), _Draw(key, 'domain', domain))}.{top}"]
+        for more in count():
+            yield [*_choices(local), *[_LETTERS[0]] * more, tail]
+    elif kind == "secret":
+        hexes = next((h for h in ("0123456789abcdef", "0123456789ABCDEF") if set(value) <= set(h)), None)
+        for more in count():
+            yield [hexes] * (len(value) + more) if hexes else [*_choices(value, True), *[_LETTERS[0]] * more]
+    elif kind == "ip":
+        part = [f".{i}" for i in range(256)]
+        if ip_address(value).is_private:
+            keep = 2 if value.split(".")[0] in ("169", "172", "192") else 1
+            yield [[".".join(value.split(".")[:keep])], *[part] * (4 - keep)]
+            yield [["10"], *[part] * 3]
+        yield [[str(i) for i in range(1, 224)], *[part] * 3]
+    elif kind in ("card", "phone", "ssn"):
+        # The last digit of a card that passes the check is found from the others.
+        rest = ["0123456789"] * (len(value) - 1 - (kind == "card" and _luhn(value)))
+        yield [value[0], *rest]
+        yield ["123456789", *rest]
+    else:
+        script = "cyrillic" if re.search("[а-яё]", value) else "latin"
+        words = len(value.split(" "))
+        genders = "mf" if kind[-1] == "n" else kind[-1]
+        given = [g.lower() for x in genders for g in _GIVEN[(script, x)]]
+        syllables = [o.lower() + r for o in _ONSETS[script] for r in _RHYMES[script]]
+        for more in count():
+            family = [syllables] * (2 + more)
+            yield family if words == 1 else [given, *chain(*[[[" "], *family]] * (words - 1))]
+
+
+def listed(key: bytes, kind: str, value: str, first: int, stop: int) -> Iterator[str]:
+    """The surrogates from number ``first`` up to ``stop`` of the list of the block that ``value`` is in."""
+    for block in _blocks(key, kind, value):
+        size = prod(map(len, block))
+        for n in range(first, min(stop, size)):
+            out = []
+            for options in reversed(block):
+                n, at = divmod(n, len(options))
+                out.append(options[at])
+            new = "".join(reversed(out))
+            if kind == "card" and len(new) < len(value):
+                new = next(d for d in (new + str(i) for i in range(10)) if _luhn(d))
+            if kind != "ip" or ip_address(new).is_global or len(block[0]) == 1:
+                yield new
+        first, stop = max(0, first - size), stop - size
+        if stop <= 0:
+            return
+
+
 def write_like(kind: str, mention: str, value: str) -> str:
     """The surrogate ``value`` in the form of the mention: its separators, its case."""
     if kind in ("phone", "card", "ssn"):
@@ -258,7 +336,7 @@ def assign(entities: DataFrame, key: bytes, base: str) -> DataFrame:
     ``entities`` are distinct, and a name has one kind.
     """
     spark = entities.sparkSession
-    pending, done, step = entities, None, 0
+    pending, done, step, piece, before = entities, None, 0, 0, None
     real = entities.select(_group("kind").alias("group"), F.col("value").alias("surrogate"))
     while not pending.isEmpty():
 
@@ -268,12 +346,17 @@ def assign(entities: DataFrame, key: bytes, base: str) -> DataFrame:
                 new = [surrogate(key, k, v, attempt) for k, v in zip(kinds, values)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string())], ["kind", "value", "surrogate"])
 
-        tried = pending.select("kind", "value").mapInArrow(run, "kind string, value string, surrogate string")
+        used = real if done is None else real.unionByName(done.select(_group("kind").alias("group"), "surrogate"))
+        if step < ATTEMPTS:
+            tried = pending.select("kind", "value").mapInArrow(run, "kind string, value string, surrogate string")
+        else:
+            first = LISTED * (4**piece - 1) // 3
+            tried = _nth_free(pending.select("kind", "value"), used, key, f"{base}/listed{step}", first, first + LISTED * 4**piece)
+            piece += 1
         tried.write.parquet(f"{base}/tried{step}")
         tried = spark.read.parquet(f"{base}/tried{step}")
-        free = tried.withColumn("group", _group("kind")).join(real, ["group", "surrogate"], "left_anti")
-        if done is not None:
-            free = free.join(done.select(_group("kind").alias("group"), "surrogate"), ["group", "surrogate"], "left_anti")
+        free = tried.where("surrogate is not null").withColumn("group", _group("kind"))
+        free = free.join(used, ["group", "surrogate"], "left_anti")
         free = free.groupBy("group", "surrogate").agg(F.min(F.struct("value", "kind")).alias("first"))
         free = free.select("first.kind", "first.value", "surrogate")
         free.write.parquet(f"{base}/free{step}")
@@ -281,11 +364,77 @@ def assign(entities: DataFrame, key: bytes, base: str) -> DataFrame:
         done = free if done is None else done.unionByName(free)
         pending = tried.select("kind", "value").join(free.select("kind", "value"), ["kind", "value"], "left_anti")
         step += 1
-        if step == ATTEMPTS and not pending.isEmpty():
-            raise RuntimeError("there are too few surrogates of some kind for so many values")
+        if piece and not tried.where("ended").isEmpty():
+            # A list was read to its end: what another block took away meanwhile is sought from the start again.
+            left = pending.count()
+            if left == before:
+                raise RuntimeError("there are too few surrogates of some kind for so many values")
+            before, piece = left, 0
     return entities.withColumn("surrogate", F.lit("")).limit(0) if done is None else done
 
 
+def _nth_free(pending: DataFrame, used: DataFrame, key: bytes, base: str, first: int, stop: int) -> DataFrame:
+    """``kind, value, surrogate, ended``: the n-th value left in a block gets the n-th free one of a piece of its list.
+
+    ``surrogate`` is null where there is none; ``ended`` where the list has no more behind the piece.
+    """
+    spark = pending.sparkSession
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = list(zip(*(c.to_pylist() for c in batch.columns)))
+            block = [hashlib.md5(repr((k, next(_blocks(key, k, v)))).encode()).hexdigest() for k, v in rows]
+            order = [hmac.new(key, v.encode(), hashlib.sha256).hexdigest() for _, v in rows]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(block), pa.array(order)], ["kind", "value", "block", "order"])
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, kind, value, low in zip(*(c.to_pylist() for c in batch.columns)):
+                new = pa.array(list(listed(key, kind, value, low, min(low + PIECE, stop))), pa.string())
+                columns = [pa.array([x] * len(new), pa.string()) for x in (block, kind)]
+                columns += [new, pa.array(range(low, low + len(new)), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["block", "kind", "surrogate", "order"])
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks, kinds, values = (c.to_pylist() for c in batch.columns)
+            sizes = [
+                sum(prod(map(len, b)) for b in _blocks(key, k, v)) if k in ("ip", "card", "phone", "ssn") else stop + 1
+                for k, v in zip(kinds, values)
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n <= stop for n in sizes])], ["block", "ended"])
+
+    pending.mapInArrow(place, "kind string, value string, block string, order string").write.parquet(f"{base}/placed")
+    placed = spark.read.parquet(f"{base}/placed")
+    blocks = placed.groupBy("block").agg(F.min(F.struct("kind", "value")).alias("v")).select("block", "v.kind", "v.value")
+    lows = F.sequence(F.lit(first), F.lit(stop - 1), F.lit(PIECE))
+    rows = blocks.select("block", "kind", "value", F.explode(lows).alias("low")).repartition("block", "low")
+    new = rows.mapInArrow(members, "block string, kind string, surrogate string, order long")
+    # A narrow block can be a part of a wider one: the first place counts.
+    new = new.groupBy("block", "kind", "surrogate").agg(F.min("order").alias("order"))
+    new = new.withColumn("group", _group("kind")).join(used, ["group", "surrogate"], "left_anti")
+    new = _ranked(new.select("block", "surrogate", "order"), f"{base}/free")
+    ended = blocks.mapInArrow(ends, "block string, ended boolean")
+    return (
+        _ranked(placed, f"{base}/left")
+        .join(new.drop("order"), ["block", "rank"], "left")
+        .join(ended, "block")
+        .select("kind", "value", "surrogate", "ended")
+    )
+
+
+def _ranked(rows: DataFrame, path: str) -> DataFrame:
+    """``rows`` with their ``rank`` by ``order`` in their ``block``, also where one block is in many tasks."""
+    rows = rows.repartitionByRange("block", "order").sortWithinPartitions("block", "order")
+    rows.withColumn("__at", F.monotonically_increasing_id()).write.parquet(path)
+    rows = rows.sparkSession.read.parquet(path).withColumn("__part", F.shiftright("__at", 33))
+    parts = rows.groupBy("block", "__part").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    over = Window.partitionBy("block").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("__less", F.coalesce(F.sum("__n").over(over), F.lit(0)))
+    rows = rows.join(parts, ["block", "__part"])
+    return rows.withColumn("rank", F.col("__at") - F.col("__first") + F.col("__less")).drop("__at", "__part", "__first", "__n", "__less")
+
+
 def replace_personal_data(docs: DataFrame, key: bytes, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """``docs`` with surrogates in the text, and ``kind, value, surrogate`` of all entities."""
     return _replace(docs, key, text_col, counted=False)

@@ -511,6 +511,18 @@ def test_one_name_has_one_surrogate_with_any_title(spark, monkeypatch, tmp_path)
     assert len(set(got.values())) == 4 and not set(got) & set(got.values())
 
 
+def test_surrogates_of_dense_kinds(spark, tmp_path):
+    """More private addresses than half their block, and every local part of one letter."""
+    rows = [("ip", f"192.168.{i // 256}.{i % 256}") for i in range(33_000)]
+    rows += [("email", f"{c}@mail.example.com") for c in "abcdefghijklmnopqrstuvwxyz"]
+    values = spark.createDataFrame(rows, "kind string, value string")
+    got = {r.value: r.surrogate for r in pii.assign(values, b"k", str(tmp_path)).collect()}
+    assert set(got) == {v for _, v in rows} and len(set(got.values())) == len(rows) and not set(got) & set(got.values())
+    addresses = [s for v, s in got.items() if v.startswith("192.")]
+    assert sum(s.startswith("192.168.") for s in addresses) == 65_536 - 33_000
+    assert all(s.startswith(("192.168.", "10.")) for s in addresses)
+
+
 def test_marks_never_drop_a_wanted_row(spark):
     rows = spark.range(20_000).select(F.xxhash64("id").alias("rid"), "id")
     wanted = rows.where("id % 100 = 0").select("rid")

@@ -1,15 +1,18 @@
 """Every registered query against its SQL oracle on the smallest tables."""
 
-import re
+import shutil
+import subprocess
+import sys
 from pathlib import Path
 
 import pytest
 from oracle import connect, differences
 
 import __spark_entry__ as contract
+from millrace.queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLE = contract.queries(), contract.oracle_sql()
+ROOT = Path(contract.__file__).resolve().parent
 
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
 
@@ -21,7 +24,22 @@ def con():
 
 def test_every_query_has_an_oracle():
     assert QUERIES.keys() == ORACLE.keys()
-    assert not [n for n in QUERIES if re.match(r"op\d|.*pipeline", n)]
+    assert QUERIES.keys() <= contract.queries().keys()
+
+
+@pytest.mark.parametrize("left", ["nothing", "bytecode", "pipeline", "library"])
+def test_entry_without_the_training_text_operators(tmp_path, left):
+    """Their folders and the pipeline can be deleted, in part as well, and a library of theirs can be missing."""
+    copy = tmp_path / "copy"
+    gone = [] if left == "library" else ["llm", "__pycache__"]
+    gone += [] if left in ("pipeline", "library") else ["corpus_pipeline.py"]
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", *gone))
+    if left == "bytecode":
+        (copy / "millrace/llm/__pycache__").mkdir(parents=True)
+    code = "import sys; sys.modules['public_tokenizers'] = None\n" if left == "library" else ""
+    code += "import __spark_entry__ as e; print(*sorted(e.queries()))"
+    ran = subprocess.run([sys.executable, "-B", "-c", code], cwd=copy, capture_output=True, text=True, check=True)
+    assert ran.stdout.split() == sorted(QUERIES)
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

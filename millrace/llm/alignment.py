@@ -34,8 +34,8 @@ from millrace.llm.tokens import _AFTER_GAP, _SPACE, encode_parts
 from millrace.session import fresh_dir
 
 SENT_PAIRS = 1_000_000  # pair counts that are sent to all tasks: 24 MB at most
-STORE_PARTS = 200_000  # parts whose alignment a worker remembers
-STORE_BYTES = 32 << 20  # and their text and links, about
+STORE_PARTS = 300_000  # parts whose alignment a worker remembers
+STORE_BYTES = 48 << 20  # and their text and links, about
 _SHIFT = 20  # a pair is one number: the first id, and the second one in this many bits
 
 LINKED = (
@@ -58,20 +58,18 @@ def byte_values() -> dict[str, int]:
 
 def common_slices(a_ends: list[int], b_ends: list[int]) -> list[tuple[int, int, int, int]]:
     """The slices of either list between the ends that both lists have."""
-    a_index = {end: i + 1 for i, end in enumerate(a_ends)}
-    b_index = {end: i + 1 for i, end in enumerate(b_ends)}
-    out, a, b = [], 0, 0
-    for end in sorted(a_index.keys() & b_index.keys()):
-        out.append((a, a_index[end], b, b_index[end]))
-        a, b = a_index[end], b_index[end]
-    return out
+    a_index = dict(zip(a_ends, range(1, len(a_ends) + 1)))
+    b_index = dict(zip(b_ends, range(1, len(b_ends) + 1)))
+    common = sorted(a_index.keys() & b_index.keys())
+    a_stops, b_stops = [a_index[end] for end in common], [b_index[end] for end in common]
+    return list(zip([0, *a_stops], a_stops, [0, *b_stops], b_stops))
 
 
 class Aligner:
     """Both tokenizers, and the alignments of the parts seen lately.
 
     The parts known have numbers; for each there are its numbers of tokens, groups and links (``counts``; the first is
-    -1 for a part that cannot be given back), its groups as text, and its links in one long array.
+    -1 for a part that cannot be given back), its groups as text, how often it was used, and its links in one long array.
     """
 
     def __init__(self, a_path: str, b_path: str):
@@ -96,6 +94,7 @@ class Aligner:
         self.b_bytes = [
             bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)
         ]
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in own]) for own in (self.a_bytes, self.b_bytes))
         # The model puts a space before a text, but not before an empty one.
         self.blank = self.b.encode("x ")[len(self.b.encode("x")) :]
         self._forget()
@@ -106,43 +105,85 @@ class Aligner:
         self.counts = np.zeros((0, 4), np.int64)
         self.first = np.zeros(1, np.int64)
         self.links = np.zeros(0, np.int64)
+        self.used = np.zeros(0, np.int64)
         self.held = 0
 
-    def align(self, a_ids: list[int], b_ids: list[int], data: bytes) -> tuple[list[int], str, list[int]] | None:
-        """Numbers, groups as text, and links; None where the tokens do not give the bytes back."""
-        a_bytes, b_bytes = [self.a_bytes[i] for i in a_ids], [self.b_bytes[i] for i in b_ids]
-        if b"".join(a_bytes) != data or b"".join(b_bytes) != data:
-            return None
-        if len(a_ids) == 1 and len(b_ids) == 1:
-            return [1, 1, 1, 1], f"{a_ids[0]}|{b_ids[0]}", [a_ids[0] << _SHIFT | b_ids[0]]
-        groups, links = [], []
-        for a, a_end, b, b_end in common_slices(list(accumulate(map(len, a_bytes))), list(accumulate(map(len, b_bytes)))):
-            left, right = a_ids[a:a_end], b_ids[b:b_end]
-            groups.append(f"{','.join(map(str, left))}|{','.join(map(str, right))}")
-            links += [x << _SHIFT | y for x in left for y in right]
-        return [len(a_ids), len(b_ids), len(groups), len(links)], ";".join(groups), links
+    def _keep_frequent(self) -> None:
+        """Make room: of the parts that were used more than once, the most used ones stay, half of the store at most."""
+        order = np.argsort(-self.used, kind="stable")[: STORE_PARTS // 2]
+        keep = np.sort(order[self.used[order] > 1])
+        names = list(self.known)
+        texts, counts, first, links, used = self.texts, self.counts, self.first, self.links, self.used
+        self._forget()
+        n = counts[keep, 3]
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[keep], n)
+        self.known = {names[i]: j for j, i in enumerate(keep.tolist())}
+        self.texts = [texts[i] for i in keep.tolist()]
+        self.counts, self.links, self.used = counts[keep], links[place], used[keep] // 2
+        self.first = np.concatenate([[0], np.cumsum(n)])
+        self.held = sum(map(len, self.known)) + sum(map(len, self.texts)) + 8 * len(self.links)
+        if self.held > STORE_BYTES // 2:
+            self._forget()
+
+    def align(self, parts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """Of each part its numbers of tokens, groups and links and its groups as text, and the links of all.
+
+        The parts stand one after the other, each with its space, as one text; so one pair of dictionaries serves all.
+        """
+        a = encode_parts(self.a, parts)
+        b = [own if part else self.blank for part, own in zip(parts, self.b.encode(parts, num_threads=1))]
+        data = [f" {part}".encode() for part in parts]
+        numbers, texts = np.zeros((len(parts), 4), np.int64), [""] * len(parts)
+        numbers[:, 0] = -1
+        a_join, b_join = self.a_bytes.__getitem__, self.b_bytes.__getitem__
+        good = [
+            i
+            for i, (x, y, z) in enumerate(zip(a, b, data))
+            if b"".join(map(b_join, y)) == z and b"".join(map(a_join, x.tolist())) == z
+        ]
+        if not good:
+            return numbers, texts, np.zeros(0, np.int64)
+        a_ids = np.concatenate([a[i] for i in good]).astype(np.int64)
+        b_ids = np.array([x for i in good for x in b[i]], np.int64)
+        ends = np.cumsum([len(data[i]) for i in good])
+        a_ends = np.cumsum(self.a_sizes[a_ids])
+        slices = np.array(common_slices(a_ends.tolist(), np.cumsum(self.b_sizes[b_ids]).tolist()), np.int64)
+        at, a_stop, bt, b_stop = slices.T
+        wide_a, wide_b = a_stop - at, b_stop - bt
+        # The ends of parts are common ends, so every group lies within one part.
+        stops = np.searchsorted(a_ends[a_stop - 1], ends, "right")
+        a_text, b_text = list(map(str, a_ids.tolist())), list(map(str, b_ids.tolist()))
+        plain = ((wide_a == 1) & (wide_b == 1)).tolist()
+        groups = [
+            f"{a_text[w]}|{b_text[y]}" if one else f"{','.join(a_text[w:x])}|{','.join(b_text[y:z])}"
+            for (w, x, y, z), one in zip(slices.tolist(), plain)
+        ]
+        n = wide_a * wide_b
+        group = np.repeat(np.arange(len(n)), n)
+        within = np.arange(len(group)) - np.repeat(np.cumsum(n) - n, n)
+        left, right = np.divmod(within, wide_b[group])
+        links = a_ids[at[group] + left] << _SHIFT | b_ids[bt[group] + right]
+        bounds = [0, *stops.tolist()]
+        sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[bounds])
+        numbers[good] = np.stack([sums(wide_a), sums(wide_b), np.diff(bounds), sums(n)], 1)
+        for i, x, y in zip(good, bounds, bounds[1:]):
+            texts[i] = ";".join(groups[x:y])
+        return numbers, texts, links
 
     def learn(self, parts: set[str]) -> None:
         if len(self.texts) > STORE_PARTS or self.held > STORE_BYTES:
-            self._forget()
+            self._keep_frequent()
         new = list(parts.difference(self.known))
         if not new:
             return
-        a = encode_parts(self.a, new)
-        b = self.b.encode(new, num_threads=1)
-        counts, links = [], []
-        for part, a_ids, b_ids in zip(new, a, b):
-            found = self.align(a_ids.tolist(), b_ids if part else self.blank, f" {part}".encode())
-            number, text, own = found or ([-1, 0, 0, 0], "", [])
-            self.known[part] = len(self.texts)
-            self.texts.append(text)
-            counts.append(number)
-            links += own
-            self.held += len(part) + len(text) + 8 * len(own)
-        counts = np.array(counts, np.int64)
+        counts, texts, links = self.align(new)
+        self.known.update(zip(new, range(len(self.texts), len(self.texts) + len(new))))
+        self.texts += texts
+        self.held += sum(map(len, new)) + sum(map(len, texts)) + 8 * len(links)
         self.counts = np.concatenate([self.counts, counts])
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(counts[:, 3])])
-        self.links = np.concatenate([self.links, np.array(links, np.int64)])
+        self.links = np.concatenate([self.links, links])
+        self.used = np.concatenate([self.used, np.zeros(len(new), np.int64)])
 
     def run(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Per text its numbers and digest, and its links: text, pair and how often."""
@@ -150,6 +191,7 @@ class Aligner:
         self.learn(set().union(*cut))
         at = np.fromiter((self.known[p] for parts in cut for p in parts), np.int64)
         text = np.repeat(np.arange(len(cut)), [len(parts) for parts in cut])
+        self.used += np.bincount(at, minlength=len(self.used))
         bad = np.zeros(len(cut), bool)
         bad[text[self.counts[at, 0] < 0]] = True
         keep = ~bad[text]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -9,6 +11,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +44,8 @@ def map_texts(
 ) -> DataFrame:
     """``per_slice`` over slices of a bounded number of text bytes; the text is the last of ``columns``.
 
-    A null text arrives as an empty one. ``at_end`` is called when a task has no more rows.
+    A null text arrives as an empty one. ``at_end`` is called when a task has no more rows; then the worker's free
+    memory goes back to the machine, since idle workers stand beside those of the next stage.
     """
     ship(docs.sparkSession)
     names = [f"c{i}" for i in range(len(columns))]
@@ -51,12 +55,22 @@ def map_texts(
             for part in slices(batch):
                 yield per_slice(part)
         at_end()
+        release()
 
     source = docs.select(*[F.col(c).alias(n) if isinstance(c, str) else c.alias(n) for c, n in zip(columns, names)])
     text = names[-1]
     return source.withColumn(text, F.coalesce(F.col(text).cast("string"), F.lit(""))).mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Give memory that is free back to the machine, as far as the allocators can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch, by the size of its last column, into runs of rows; a row is never cut."""
     if not batch.num_rows:
@@ -107,7 +121,10 @@ def prefix_hash(raw: np.ndarray) -> np.ndarray:
 
 
 def range_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of the bytes from each start up to each end, the same wherever they stand."""
+    """A hash of the bytes from each start up to each end, the same wherever they stand.
+
+    Long ranges with unlike bytes can be made to collide, so it is for boundaries and features, not for equality.
+    """
     return (sums[ends] - sums[starts]) * _power("down", len(sums))[starts]
 
 
@@ -126,6 +143,21 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
+def split_words(column: pa.Array) -> tuple[list[bytes], np.ndarray]:
+    """The words ``[^\\x20\\x09-\\x0D]+`` of all texts, and the first word of each text (plus the end)."""
+    raw, offsets = utf8(column)
+    data, found, heads = raw.tobytes(), [], [0]
+    for a, b in zip(offsets.tolist(), offsets[1:].tolist()):
+        found += data[a:b].split()
+        heads.append(len(found))
+    return found, np.array(heads)
+
+
+def hash_words(found: list[bytes]) -> np.ndarray:
+    """A hash of each word that does not rest on sums of its bytes, so no pattern of letters makes words collide."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
+
+
 def gram_hash(word_hash: np.ndarray, size: int) -> np.ndarray:
     """A hash of each run of ``size`` words, by the index of its first word."""
     n = len(word_hash) - size + 1

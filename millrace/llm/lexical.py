@@ -191,6 +191,7 @@ def rank(
     item_id: str = "item_id",
     item_text: str = "text",
     block_bytes: int = BLOCK_BYTES,
+    run_docs: int = RUN_DOCS,
 ) -> DataFrame:
     """``item_id, rank, doc_id, score``: the ``k`` documents with the highest scores above 0 for each item."""
     spark = docs.sparkSession
@@ -205,7 +206,9 @@ def rank(
     block_of = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))
     for b in range(n_blocks):
         block = rows.where(block_of == b).orderBy("item_id", "text").select("item_id", "text").collect()
-        found = _block(docs, block, k, id_col, text_col, f"{base}/{b}")
+        if not block and b:
+            continue
+        found = _block(docs, block, k, id_col, text_col, f"{base}/{b}", run_docs)
         names = [(i, (b << 32) + i, r.item_id) for i, r in enumerate(block)]
         names = spark.createDataFrame(names, StructType([*NUMBERED, rows.schema["item_id"]]))
         found.join(F.broadcast(names), "place").drop("place").write.mode("append").parquet(f"{base}/found")
@@ -214,7 +217,7 @@ def rank(
     return ranked.select("item_id", "rank", "doc_id", "score")
 
 
-def _block(docs: DataFrame, block: list, k: int, id_col: str, text_col: str, base: str) -> DataFrame:
+def _block(docs: DataFrame, block: list, k: int, id_col: str, text_col: str, base: str, run_docs: int) -> DataFrame:
     """The best documents of each task for the items of one block."""
     spark = docs.sparkSession
     item_terms = [sorted(set(terms(r.text.encode()))) for r in block]
@@ -260,7 +263,7 @@ def _block(docs: DataFrame, block: list, k: int, id_col: str, text_col: str, bas
             counts = batch.column(2).value_lengths().to_numpy()
             starts = np.concatenate([[0], np.cumsum(counts)])
             while at < batch.num_rows:
-                room = RUN_DOCS - len(ids), RUN_TERMS - sum(map(len, term))
+                room = run_docs - len(ids), RUN_TERMS - sum(map(len, term))
                 stop = min(at + room[0], int(np.searchsorted(starts, starts[at] + max(0, room[1]), "right")) - 1)
                 stop = max(stop, at + (not ids))
                 if stop > at:

@@ -10,11 +10,12 @@ first point it gets. Two texts agree in a component with a chance equal to their
 Jaccard similarity. Points are made in rounds, and only for runs whose process can still beat the
 latest component, so a text costs little more than one point for each of its runs.
 
-Candidates share all components of a band. First equal multisets are folded into one representative; then the
+Candidates share all components of a band. First texts of the same words are folded into one representative; then the
 members of a bucket are compared with its first member; in buckets whose members are not of one class by then,
 those outside the largest class with drawn members of it; and what is still apart with every member of another
 class, block by block within a task, which emits only pairs that pass. So no candidate pair is left
-open, yet a bucket of copies never emits all its pairs. Every candidate is checked on the words themselves. Classes are the connected components of the pairs that pass; the class id is the smallest
+open, yet a bucket of copies never emits all its pairs. Every candidate is checked on
+the words themselves, by numbers that only equal runs share; equal texts are folded by a cryptographic digest. Classes are the connected components of the pairs that pass; the class id is the smallest
 doc_id in it.
 
 With ``BANDS`` bands of ``ROWS`` components a pair at the limit of 0.8 is missed with a chance of about 6e-7.
@@ -26,13 +27,15 @@ and get equal results. A class without any id has a null class id. Extra columns
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.arrow import gram_hash, map_texts, mix, prefix_hash, range_hash, run_hash, utf8, words
+from millrace.llm.arrow import gram_hash, hash_words, map_texts, mix, release, run_hash, split_words
 from millrace.session import fresh_dir
 
 SHINGLE = 5
@@ -45,23 +48,59 @@ MARK_WORDS = 1 << 18  # rows of the broadcast marks, at most: 4 MB
 BLOCK = 1 << 15  # points made at once where few processes go on
 
 
-def runs(raw: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each run of words, and the text it belongs to, text by text."""
-    starts, ends, heads = words(raw, offsets)
-    hashed = mix(range_hash(prefix_hash(raw), starts, ends))
+def _laid(heads: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The text and the first word of each run, and whether it has ``size`` words or is a short text."""
     n = np.diff(heads)
     counts = np.where(n >= size, n - size + 1, (n > 0).astype(np.int64))
     text = np.repeat(np.arange(len(n)), counts)
     first = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts) + heads[:-1][text]
+    return text, first, n[text] >= size
+
+
+def runs(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each run of words, and the text it belongs to, text by text."""
+    return _runs(*split_words(column), size)
+
+
+def _runs(found: list[bytes], heads: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    hashed = hash_words(found)
+    text, first, whole = _laid(heads, size)
     out = np.empty(len(text), np.uint64)
-    whole = n[text] >= size
-    grams = gram_hash(hashed, size)
-    out[whole] = grams[first[whole]]
+    out[whole] = gram_hash(hashed, size)[first[whole]]
     short = ~whole
-    out[short] = run_hash(hashed, first[short], n[text[short]])
+    out[short] = run_hash(hashed, first[short], np.diff(heads)[text[short]])
     return out, text
 
 
+def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number for each pair of numbers, the same for equal pairs only."""
+    return np.unique(a * (b.max(initial=0) + 1) + b, return_inverse=True)[1]
+
+
+def numbered_runs(columns: list[pa.Array], size: int = SHINGLE) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Like ``runs`` for each column, but with numbers that are equal just where the words are; nothing is hashed."""
+    split = [split_words(c) for c in columns]
+    names: dict[bytes, int] = {}
+    ids = np.array([names.setdefault(w, len(names)) for found, _ in split for w in found], np.int64)
+    rank, length = ids, 1
+    while 2 * length <= size and len(rank) > length:
+        rank, length = _pairs(rank[:-length], rank[length:]), 2 * length
+    if length < size and len(ids) >= size:
+        rank = _pairs(rank[: len(ids) - size + 1], rank[size - length : len(ids) - length + 1])
+    shorts: dict[tuple, int] = {}
+    out, base = [], 0
+    for found, heads in split:
+        text, first, whole = _laid(heads, size)
+        number = np.empty(len(text), np.int64)
+        number[whole] = rank[base + first[whole]]
+        for i in np.flatnonzero(~whole).tolist():
+            words = tuple(found[heads[text[i]] : heads[text[i] + 1]])
+            number[i] = len(ids) + shorts.setdefault(words, len(shorts))
+        out.append((number, text))
+        base += len(found)
+    return out
+
+
 def weighted(hashed: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct runs of each text in order of text and hash: hash, text, number of times."""
     order = np.lexsort((hashed, text))
@@ -115,35 +154,32 @@ def signatures(h: np.ndarray, t: np.ndarray, count: np.ndarray, texts: int, size
 
 
 def sketch(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``rid, n_runs, same, bands``: a digest of the multiset and the band hashes of each text."""
+    """``rid, n_runs, same, bands``: a cryptographic digest of the words and the band hashes of each text."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         n = batch.num_rows
-        hashed, text = runs(*utf8(batch.column(1)), size)
+        words, heads = split_words(batch.column(1))
+        hashed, text = _runs(words, heads, size)
         h, t, count = weighted(hashed, text)
         found = signatures(h, t, count, n, bands * rows).reshape(n, bands, rows)
         key = np.zeros((n, bands), np.uint64)
         for j in range(rows):
             key = mix(key * np.uint64(0x9E3779B97F4A7C15) + found[:, :, j])
         key ^= mix(np.arange(1, bands + 1, dtype=np.uint64))
-        totals = np.bincount(text, minlength=n)
-        digest = [np.zeros(n, np.uint64) for _ in range(2)]
-        if len(h):
-            for k, salt in enumerate((0x1B873593, 0xCC9E2D51)):
-                # A sum over distinct runs does not depend on their order.
-                np.add.at(digest[k], t, mix(mix(h ^ np.uint64(salt)) + count.astype(np.uint64)))
+        ends = zip(heads.tolist(), heads[1:].tolist())
+        same = [hashlib.blake2b(b" ".join(words[a:b]), digest_size=16).digest() for a, b in ends]
         flat = pa.array(key.view(np.int64).ravel())
         return pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
-                pa.array(totals, pa.int64()),
-                pa.array([f"{a:016x}{b:016x}" for a, b in zip(*digest)], pa.string()),
+                pa.array(np.bincount(text, minlength=n), pa.int64()),
+                pa.array(same, pa.binary()),
                 pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * bands, pa.int32()), flat),
             ],
             ["rid", "n_runs", "same", "bands"],
         )
 
-    return map_texts(docs, ["rid", "text"], run, "rid long, n_runs long, same string, bands array<long>")
+    return map_texts(docs, ["rid", "text"], run, "rid long, n_runs long, same binary, bands array<long>")
 
 
 def compare(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -154,7 +190,7 @@ def compare(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFram
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         n = batch.num_rows
-        (ha, ta), (hb, tb) = (runs(*utf8(batch.column(i)), size) for i in (4, 5))
+        (ha, ta), (hb, tb) = numbered_runs([batch.column(4), batch.column(5)], size)
         h, t, count = weighted(np.concatenate([ha, hb]), np.concatenate([2 * ta, 2 * tb + 1]))
         pair, side = t >> 1, t & 1
         order = np.lexsort((side, h, pair))
@@ -174,10 +210,10 @@ def _block(likeness: float, size: int):
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
         asks, rid, root = block["asks"].to_numpy(), block["rid"].to_numpy(), block["root"].to_numpy()
-        h, t, count = weighted(*runs(*utf8(pa.array(block["text"], pa.string())), size))
+        h, t, count = weighted(*numbered_runs([pa.array(block["text"], pa.string())], size)[0])
         # A run that occurs c times is c marks, so the smaller number of times is a product of marks.
         level = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        mark = mix(np.repeat(h, count) + level.astype(np.uint64))
+        mark = _pairs(np.repeat(h, count), level)
         text = np.repeat(t, count)
         total = np.bincount(text, minlength=len(block))
         _, mark, times = np.unique(mark, return_inverse=True, return_counts=True)
@@ -201,18 +237,19 @@ def _block(likeness: float, size: int):
         i, j = np.nonzero((both >= likeness * union - 1e-6) & (root[x][:, None] != root[y][None, :]))
         a, b, ra, rb = rid[x[i]], rid[y[j]], root[x[i]], root[y[j]]
         ends = {"a": np.minimum(a, b), "b": np.maximum(a, b), "ra": np.minimum(ra, rb), "rb": np.maximum(ra, rb)}
+        release()
         return pd.DataFrame(ends)
 
     return run
 
 
-def marked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``rows`` without most of those whose rid is not in ``wanted``; never without one that is.
+def marked(rows: DataFrame, wanted: DataFrame, column: str = "rid") -> DataFrame:
+    """``rows`` without most of those whose ``column`` is not in ``wanted``; never without one that is.
 
-    Each wanted rid sets one bit of a table of ``MARK_WORDS`` rows, whatever the input; it is broadcast, so texts that
-    nobody asks for are not shuffled. With more rids than the table has bits (16 million) it lets most rows pass.
+    Each wanted number sets one bit of a table of ``MARK_WORDS`` rows, whatever the input; it is broadcast, so rows that
+    nobody asks for are not shuffled. With more numbers than the table has bits (16 million) it lets most rows pass.
     """
-    word, bit = f"rid & {MARK_WORDS - 1}L", "shiftleft(1L, cast(shiftrightunsigned(rid, 58) as int))"
+    word, bit = f"{column} & {MARK_WORDS - 1}L", f"shiftleft(1L, cast(shiftrightunsigned({column}, 58) as int))"
     marks = wanted.groupBy(F.expr(word).alias("word")).agg(F.expr(f"bit_or({bit})").alias("marks"))
     found = rows.withColumn("word", F.expr(word)).join(F.broadcast(marks), "word")
     return found.where(f"marks & {bit} != 0").drop("word", "marks")
@@ -262,17 +299,24 @@ def classes(rows: DataFrame, likeness: float, size: int, base: str) -> DataFrame
         return spark.read.parquet(f"{base}/{name}")
 
     sketches = kept(sketch(rows, size), "sketches")
-    # Equal multisets first: one representative stands for all of them.
+    # Equal texts first: one representative stands for all of them.
     same = sketches.groupBy("same").agg(F.min("rid").alias("rep"))
     folded = kept(sketches.select("rid", "same").join(same, "same").select("rid", "rep").distinct(), "folded")
     reps = folded.select(F.col("rep").alias("rid")).distinct()
-    distinct = sketches.where("n_runs > 0").join(reps, "rid", "left_semi").dropDuplicates(["rid"])
+    distinct = kept(sketches.where("n_runs > 0").join(reps, "rid", "left_semi").dropDuplicates(["rid"]), "distinct")
+    # Nearly all buckets have one member: which have more is counted by bucket alone, the members of the rest stay where
+    # they are but for those whose mark collides, and these fall out of the next count.
     slots = distinct.select("rid", "n_runs", F.explode("bands").alias("bucket"))
+    twice = slots.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    slots = kept(marked(slots, twice, "bucket"), "candidates")
     digests = [F.bit_xor(F.xxhash64("rid", F.lit(k))).alias(f"set{k}") for k in (1, 2)]
-    shared = slots.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("rid", "n_runs")).alias("lead"), *digests)
-    # Of buckets that hold the same members one is enough.
-    shared = shared.where("n > 1").groupBy("n", "set1", "set2").agg(F.min(F.struct("bucket", "lead")).alias("one"))
-    slots = kept(slots.join(shared.select("one.*"), "bucket"), "slots")
+    shared = slots.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rid").alias("lead"), *digests).where("n > 1")
+    # Of buckets that hold the same members one is enough; equal sets have equal leads.
+    shared = shared.groupBy("n", "lead", "set1", "set2").agg(F.min("bucket").alias("bucket")).select("bucket", "lead")
+    sizes = distinct.select(F.col("rid").alias("lead"), F.col("n_runs").alias("lead_runs"))
+    shared = kept(shared.join(sizes, "lead"), "shared")
+    lead = F.struct(F.col("lead").alias("rid"), F.col("lead_runs").alias("n_runs")).alias("lead")
+    slots = kept(slots.join(shared, "bucket").select("bucket", "rid", "n_runs", lead), "slots")
     wanted = slots.select("rid").distinct()
     texts = marked(rows, wanted).join(wanted, "rid", "left_semi").dropDuplicates(["rid"])
     texts = kept(texts, "texts")

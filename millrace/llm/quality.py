@@ -3,9 +3,10 @@
 A document is a bag of passages of ``PASSAGE`` words. A passage is described by the hashed byte
 trigrams in it and by shares of letters, digits, marks and repetitions; one layer encodes that into ``h``. The bag
 is the weighted mean of its passages with gated attention ``softmax(w . (tanh(V h) * sigmoid(U h)))``, and a logistic
-unit scores it. Everything is learnt from document labels alone, on at most ``max_rows`` labelled rows
-(a hash of the id picks them) and, while learning, at most ``MAX_PASSAGES`` evenly spaced passages of a text.
-Scoring takes every passage of every text.
+unit scores it. Everything is learnt from document labels alone, on at most about ``max_rows`` labelled documents
+(a hash of the id picks them; of rows that share an id one is taken), from all passages of their texts. Learning is spread: groups of about
+``GROUP_ROWS`` bags go through ``LOCAL_STEPS`` steps of gradient descent each in a task of its own, the parameters are averaged,
+and this is repeated ``ROUNDS`` times; the driver sees parameters only.
 
 Null and empty texts are one passage without words. Rows without a label are not learnt from; of an id
 labelled more than once the highest label counts. Without both classes the score is the share of label 1.
@@ -16,18 +17,20 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.arrow import map_texts, prefix_hash, range_hash, utf8, words
+from millrace.session import fresh_dir
 
 PASSAGE = 64  # words
 BUCKETS = 96
 HIDDEN, GATE = 24, 12
 MAX_ROWS = 4_000
-MAX_PASSAGES = 32
-STEPS = 200
+GROUP_ROWS = 500
+ROUNDS, LOCAL_STEPS = 8, 25
 _KINDS = np.zeros(256, np.int8)  # kind of each byte
 _KINDS[ord("a") : ord("z") + 1] = 1
 _KINDS[ord("A") : ord("Z") + 1] = 2
@@ -121,37 +124,36 @@ def _forward(p: dict[str, np.ndarray], x: np.ndarray, first: np.ndarray, owner:
     return h, t, s, a, z, 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def learn(x: np.ndarray, owner: np.ndarray, y: np.ndarray, steps: int = STEPS, seed: int = 7) -> Model:
-    """Fit by Adam on all bags; ``owner`` ascends from 0 and every bag has a passage."""
-    prior = float(y.mean()) if len(y) else 0.5
-    if not len(y) or y.min() == y.max():
-        return Model({}, np.zeros(DIM), np.ones(DIM), prior)
-    mean, scale = x.mean(0), x.std(0) + 0.05
-    x = (x - mean) / scale
+def gradient(p: dict[str, np.ndarray], x: np.ndarray, owner: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean cross-entropy of the bags; ``owner`` ascends from 0 and every bag has a passage."""
     first = np.searchsorted(owner, np.arange(len(y)))
-    p = _start(np.random.default_rng(seed))
-    p["d"][0] = np.log(prior / (1 - prior))
+    h, t, s, a, z, out = _forward(p, x, first, owner)
+    up = (out - y) / len(y)
+    g = {"c": z.T @ up, "d": np.array([up.sum()])}
+    dz = up[:, None] * p["c"]
+    da = (dz[owner] * h).sum(1)
+    de = a * (da - np.add.reduceat(a * da, first)[owner])
+    dt, ds = de[:, None] * p["w"] * s, de[:, None] * p["w"] * t
+    g["w"] = (t * s).T @ de
+    dt, ds = dt * (1 - t * t), ds * s * (1 - s)
+    g["V"], g["U"] = h.T @ dt, h.T @ ds
+    dh = (a[:, None] * dz[owner] + dt @ p["V"].T + ds @ p["U"].T) * (1 - h * h)
+    g["W"], g["b"] = x.T @ dh, dh.sum(0)
+    return g
+
+
+def descend(p: dict[str, np.ndarray], x: np.ndarray, owner: np.ndarray, y: np.ndarray, steps: int) -> dict[str, np.ndarray]:
+    """Parameters after ``steps`` steps of Adam on all bags."""
     m = {k: np.zeros_like(v) for k, v in p.items()}
     v = {k: np.zeros_like(w) for k, w in p.items()}
     for step in range(1, steps + 1):
-        h, t, s, a, z, out = _forward(p, x, first, owner)
-        up = (out - y) / len(y)
-        g = {"c": z.T @ up, "d": np.array([up.sum()])}
-        dz = up[:, None] * p["c"]
-        da = (dz[owner] * h).sum(1)
-        de = a * (da - np.add.reduceat(a * da, first)[owner])
-        dt, ds = de[:, None] * p["w"] * s, de[:, None] * p["w"] * t
-        g["w"] = (t * s).T @ de
-        dt, ds = dt * (1 - t * t), ds * s * (1 - s)
-        g["V"], g["U"] = h.T @ dt, h.T @ ds
-        dh = (a[:, None] * dz[owner] + dt @ p["V"].T + ds @ p["U"].T) * (1 - h * h)
-        g["W"], g["b"] = x.T @ dh, dh.sum(0)
+        g = gradient(p, x, owner, y)
         for k in p:
             g[k] = g[k] + 1e-4 * p[k]
             m[k] = 0.9 * m[k] + 0.1 * g[k]
             v[k] = 0.999 * v[k] + 0.001 * g[k] ** 2
-            p[k] = p[k] - 0.02 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-    return Model(p, mean, scale, prior)
+        p = {k: p[k] - 0.02 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8) for k in p}
+    return p
 
 
 def predict(model: Model, x: np.ndarray, owner: np.ndarray, bags: int) -> tuple[np.ndarray, np.ndarray]:
@@ -163,8 +165,8 @@ def predict(model: Model, x: np.ndarray, owner: np.ndarray, bags: int) -> tuple[
     return out[5], out[3]
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, max_rows: int = MAX_ROWS) -> Model:
-    """Learn from the rows of ``labels`` (doc_id, quality) for which ``learn_from`` holds."""
+def described(docs: DataFrame, labels: DataFrame, learn_from: Column, max_rows: int) -> DataFrame:
+    """``part, name, label, x``: the features of all passages of each sampled document, and the group it is learnt in."""
     known = (
         labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & learn_from)
         .groupBy("doc_id")
@@ -174,24 +176,71 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, max_rows: int =
     pick = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000))
     known = known.where(pick < int(1_000_000 * min(1.0, max_rows / max(n, 1))))
     # The sample is bounded by max_rows: a few dozen KB.
-    sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
+    sample = sample.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    parts = max(1, -(-min(n, max_rows) // GROUP_ROWS))
+    name = F.xxhash64("doc_id", F.lit(11))
+    sample = sample.select(F.pmod(name, F.lit(parts)).cast("int").alias("part"), name.alias("name"), F.col("label").cast("int"), "text")
 
     def describe(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x, owner = passages(*utf8(batch.column(1)))
+        x, owner = passages(*utf8(batch.column(3)))
         bounds = np.searchsorted(owner, np.arange(batch.num_rows + 1))
-        rows = []
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            rows.append(np.unique(np.linspace(a, b - 1, min(b - a, MAX_PASSAGES)).astype(int)))
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([x[r].astype(np.float16).tobytes() for r in rows], pa.binary())], ["label", "x"]
-        )
+        bags = pa.array([x[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], bags], ["part", "name", "label", "x"])
+
+    return map_texts(sample, ["part", "name", "label", "text"], describe, "part int, name long, label int, x binary")
+
+
+def _bags(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Passages, the bag of each, and labels, in an order that does not depend on how the rows arrived."""
+    part = part.sort_values(["name", "label"])
+    bags = [np.frombuffer(x, np.float32).reshape(-1, DIM) for x in part["x"]]
+    return np.vstack(bags), np.repeat(np.arange(len(bags)), [len(b) for b in bags]), (part["label"] > 0).to_numpy(float)
+
 
-    found = map_texts(sample.withColumn("label", F.col("label").cast("int")), ["label", "text"], describe, "label int, x binary")
-    rows = found.orderBy("x").collect()  # max_rows texts of MAX_PASSAGES passages each, at most
-    bags = [np.frombuffer(r["x"], np.float16).reshape(-1, DIM).astype(np.float32) for r in rows]
-    x = np.vstack(bags) if bags else np.zeros((0, DIM), np.float32)
-    owner = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    return learn(x, owner, np.array([r["label"] > 0 for r in rows], float))
+def _flat(p: dict[str, np.ndarray]) -> bytes:
+    return np.concatenate([p[k].ravel() for k in sorted(p)]).tobytes()
+
+
+def _unflat(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    ends = np.cumsum([like[k].size for k in sorted(like)])
+    return {k: part.reshape(like[k].shape) for k, part in zip(sorted(like), np.split(flat, ends[:-1]))}
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, max_rows: int = MAX_ROWS, seed: int = 7) -> Model:
+    """Learn from the rows of ``labels`` (doc_id, quality) for which ``learn_from`` holds."""
+    spark = docs.sparkSession
+    path = fresh_dir(spark, "quality")
+    described(docs, labels, learn_from, max_rows).write.parquet(path)
+    sample = spark.read.parquet(path)
+
+    def measure(part: pd.DataFrame) -> pd.DataFrame:
+        x, _, y = _bags(part)
+        x = x.astype(np.float64)
+        row = part["part"].iloc[0], len(x), len(y), y.sum(), x.sum(0).tobytes(), np.square(x).sum(0).tobytes()
+        return pd.DataFrame([row], columns=["part", "passages", "bags", "positive", "sums", "squares"])
+
+    schema = "part int, passages long, bags long, positive double, sums binary, squares binary"
+    groups = sorted(sample.groupBy("part").applyInPandas(measure, schema).collect())  # a row for each group
+    n, bags, positive = (sum(r[i] for r in groups) for i in (1, 2, 3))
+    prior = positive / bags if bags else 0.5
+    if not bags or positive in (0, bags):
+        return Model({}, np.zeros(DIM), np.ones(DIM), prior)
+    mean, square = (sum(np.frombuffer(r[i]) for r in groups) / n for i in (4, 5))
+    scale = np.sqrt(np.maximum(square - mean * mean, 0)) + 0.05
+    p = _start(np.random.default_rng(seed))
+    p["d"][0] = np.log(prior / (1 - prior))
+
+    for _ in range(ROUNDS):
+
+        def improve(part: pd.DataFrame, p=p) -> pd.DataFrame:
+            x, owner, y = _bags(part)
+            found = descend(p, (x - mean) / scale, owner, y, LOCAL_STEPS)
+            return pd.DataFrame([(part["part"].iloc[0], len(y), _flat(found))], columns=["part", "bags", "params"])
+
+        found = sorted(sample.groupBy("part").applyInPandas(improve, "part int, bags long, params binary").collect())
+        p = _unflat(sum(np.frombuffer(r.params) * (r.bags / bags) for r in found), p)
+    return Model(p, mean, scale, prior)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -17,6 +17,9 @@ An anchor with more than ``HOT`` different segments is not put into one shard. I
 segments of one window each, with the hash of the window as their anchor, so they spread
 over all shards, and equal ones fold into one row before they get there.
 
+Segments and windows are folded by a cryptographic digest of their words, and shards compare the words themselves; the
+hashes of words only choose anchors. So different texts are never taken for equal.
+
 Null and empty texts have no words. Texts shorter than a window keep all words. Repeated rows are repeated
 texts, and each gets a row of its own; ``doc_id`` may be null or repeated. Extra columns are ignored.
 """
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.arrow import gram_hash, map_texts, mix, prefix_hash, range_hash, run_hash, ship, slices, utf8, words
+from millrace.llm.arrow import gram_hash, hash_words, map_texts, release, ship, slices, split_words, utf8, words
 from millrace.session import fresh_dir
 
 WINDOW = 35
@@ -87,19 +90,19 @@ def anchors(word_hash: np.ndarray, heads: np.ndarray, window: int, anchor: int)
     return text[at], first[at], n_windows + window - 1, low[at], hits > 1
 
 
-def _hashed(column: pa.Array) -> tuple[np.ndarray, ...]:
-    raw, offsets = utf8(column)
-    starts, ends, heads = words(raw, offsets)
-    return raw, starts, ends, heads, mix(range_hash(prefix_hash(raw), starts, ends))
+def digest(found: list[bytes]) -> bytes:
+    """Names a run of words: runs with equal digests are taken for equal, so it is a cryptographic one."""
+    return hashlib.blake2b(b" ".join(found), digest_size=16).digest()
 
 
 def find_segments(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     """``doc_id, h, first, n, anchor, digest, recurs`` of the segments of all texts."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        _, _, _, heads, hashed = _hashed(batch.column(2))
-        text, first, n, low, recurs = anchors(hashed, heads, window, anchor)
-        digest = run_hash(hashed, heads[:-1][text] + first, n)
+        found, heads = split_words(batch.column(2))
+        text, first, n, low, recurs = anchors(hash_words(found), heads, window, anchor)
+        at = heads[:-1][text] + first
+        digests = [digest(found[a:b]) for a, b in zip(at.tolist(), (at + n).tolist())]
         return pa.RecordBatch.from_arrays(
             [
                 batch.column(0).take(pa.array(text)),
@@ -107,14 +110,14 @@ def find_segments(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                 pa.array(first.astype(np.int32)),
                 pa.array(n.astype(np.int32)),
                 pa.array(low.view(np.int64)),
-                pa.array(digest.view(np.int64)),
+                pa.array(digests, pa.binary()),
                 pa.array(recurs),
             ],
             [*KEY, "first", "n", "anchor", "digest", "recurs"],
         )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, h long, first int, n int, anchor long, digest long, recurs boolean"
+    schema = f"doc_id {kind}, h long, first int, n int, anchor long, digest binary, recurs boolean"
     return map_texts(docs, [*KEY, "text"], run, schema)
 
 
@@ -307,10 +310,10 @@ def _search(window: int):
     def run(shard: pd.DataFrame) -> pd.DataFrame:
         found = repeated_windows([bytes(t) for t in shard["words"]], shard["copies"].to_numpy(), window)
         rows = []
-        for anchor, digest, flags in zip(shard["anchor"].tolist(), shard["digest"].tolist(), found):
+        for anchor, name, flags in zip(shard["anchor"].tolist(), shard["digest"].tolist(), found):
             edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]])))
             for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
-                rows.append((anchor, digest, a, b - 1 + window))
+                rows.append((anchor, name, a, b - 1 + window))
         return pd.DataFrame(rows, columns=["anchor", "digest", "start", "stop"])
 
     return run
@@ -323,31 +326,34 @@ def _same(a: DataFrame, b: DataFrame):
 def _cut(rows: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     """The words of wanted segments; a segment of a hot anchor gives one row for each window, at its offset."""
     ship(rows.sparkSession)
-    schema = pa.schema(
-        [(c, pa.int64()) for c in ("anchor", "digest", "copies", "offset", "window")] + [("words", pa.binary())]
-    )
+    whole, name = pa.int64(), pa.binary()
+    kinds = {"anchor": whole, "digest": name, "copies": whole, "offset": whole, "window": name, "words": name}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                raw, starts, ends, heads, hashed = _hashed(part.column(1))
+                raw, offsets = utf8(part.column(1))
+                starts, ends, heads = words(raw, offsets)
                 data, out = raw.tobytes(), []
                 for head, own in zip(heads.tolist(), part.column(0).to_pylist()):
                     for s in own:
                         base, key = head + s["first"], (s["anchor"], s["digest"], s["copies"])
+                        text = data[starts[base] : ends[base + s["n"] - 1]]
                         if not s["hot"]:
-                            out.append((*key, 0, None, data[starts[base] : ends[base + s["n"] - 1]]))
+                            out.append((*key, 0, None, text))
                             continue
-                        at = base + np.arange(s["n"] - window + 1)
-                        whole = run_hash(hashed, at, np.full(len(at), window)).view(np.int64).tolist()
-                        for i, (a, w) in enumerate(zip(at.tolist(), whole)):
-                            out.append((*key, i, w, data[starts[a] : ends[a + window - 1]]))
-                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, o)) for o in out], schema)
+                        found = text.split()
+                        for i in range(len(found) - window + 1):
+                            single = found[i : i + window]
+                            out.append((*key, i, digest(single), b" ".join(single)))
+                columns = list(zip(*out)) if out else [()] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values())], list(kinds))
+        release()
 
     struct = F.struct("first", "n", "anchor", "digest", "copies", "hot")
     own = wanted.groupBy(*KEY).agg(F.collect_list(struct).alias("own"))
     joined = rows.join(own, _same(rows, own)).select(own["own"], rows["text"])
-    return joined.mapInArrow(run, "anchor long, digest long, copies long, offset long, window long, words binary")
+    return joined.mapInArrow(run, "anchor long, digest binary, copies long, offset long, window binary, words binary")
 
 
 def repeated_intervals(rows: DataFrame, window: int, anchor: int, base: str) -> DataFrame:
@@ -385,19 +391,20 @@ def repeated_intervals(rows: DataFrame, window: int, anchor: int, base: str) ->
         again = single.groupBy("window").agg(F.sum("copies").alias("copies"), F.min("words").alias("words"))
         plain = plain.unionByName(
             again.where("copies > 1").select(
-                F.col("window").alias("anchor"), F.col("window").alias("digest"), "copies", "words"
+                F.xxhash64("window").alias("anchor"), F.col("window").alias("digest"), "copies", "words"
             )
         )
     shards = max(1, -(-(total or 0) // SHARD_WORDS))
     found = kept(
         plain.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")).applyInPandas(
-            _search(window), "anchor long, digest long, start int, stop int"
+            _search(window), "anchor long, digest binary, start int, stop int"
         ),
         "found",
     )
     if any_hot:
         # A window found for its own sake is brought back to the segments that hold it.
-        back = single.join(found.where("anchor = digest").select(F.col("anchor").alias("window")).distinct(), "window")
+        again = found.where(F.col("anchor") == F.xxhash64("digest")).select(F.col("digest").alias("window")).distinct()
+        back = single.join(again, "window")
         back = back.select(
             "anchor", "digest", F.col("offset").cast("int").alias("start"), (F.col("offset") + window).cast("int").alias("stop")
         )

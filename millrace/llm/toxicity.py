@@ -7,8 +7,9 @@ is in a text of n words follows an extreme-value law, ``P(best >= s) = 1 - exp(-
 ``rate`` comes from the word scores of clean text, ``K`` from clean texts that had no part in the weights. A
 logistic curve over that evidence and over the number and sum of significant segments gives the score.
 
-The model is fitted on at most ``max_rows`` labelled rows (a hash of the id picks them) and has at most
-``max_words`` words. Null and empty texts have no segment and get the lowest evidence. Rows without a
+The model is fitted on at most about ``max_rows`` labelled documents (a hash of the id picks them; of rows that share an id
+one is taken), and has as many words as their toxic texts hold twice. Only words that speak clearly for toxicity keep their
+weight (``LEAST``); clean text is told by the loss alone, which all other words have in common. Null and empty texts have no segment and get the lowest evidence. Rows without a
 label are not learnt from; of an id labelled more than once the highest label counts. Without both classes among
 the labels every score is 0. Extra columns do not matter.
 """
@@ -28,7 +29,6 @@ from pyspark.sql import functions as F
 from millrace.llm.arrow import map_texts, ship, slices
 
 MAX_ROWS = 20_000
-MAX_WORDS = 50_000
 PRIOR = 20_000.0  # weight of the prior, in words
 LOSS = 0.3  # what a word without weight costs
 LEAST = 0.7  # smallest weight that is kept
@@ -118,17 +118,18 @@ def _labelled(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int)
     known = known.where(pick < int(1_000_000 * min(1.0, max_rows / max(n, 1))))
     known = known.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(99)), F.lit(4)))
     # The sample is bounded by max_rows: a few hundred KB.
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("label", "fold", "text")
+    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
+    return sample.groupBy("doc_id", "label", "fold").agg(F.min("text").alias("text")).select("label", "fold", "text")
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = MAX_ROWS) -> Model:
     """Learn from the rows of ``labels`` (doc_id, toxic) for which ``learn`` holds."""
     sample = _labelled(docs, labels, learn, max_rows)
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts = (Counter(), Counter())
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            counts[label > 0].update(set(word_list(text)))
+            counts[label > 0].update(word_list(text))
         every = list(counts[0] | counts[1])
         return pa.RecordBatch.from_arrays(
             [pa.array(every, pa.binary()), *(pa.array([c[w] for w in every], pa.int64()) for c in (counts[1], counts[0]))],
@@ -139,6 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = MAX_R
     by_word = counted.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).persist()
     n1, n0 = by_word.agg(F.sum("toxic"), F.sum("clean")).first()
     if not n1 or not n0:
+        by_word.unpersist()
         return Model()
     weight = log_odds(F.col("toxic"), F.col("clean"), float(n1), float(n0))
     rows = (
@@ -146,7 +148,6 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = MAX_R
         .select("word", "clean", weight.alias("weight"))
         .where(F.col("weight") >= LEAST)
         .orderBy(F.desc("weight"), "word")
-        .limit(max_words)
         .collect()
     )
     by_word.unpersist()

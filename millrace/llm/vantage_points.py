@@ -178,7 +178,13 @@ class Tree:
         return best
 
 
-def build_index(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", leaf: int = LEAF) -> DataFrame:
+def build_index(
+    df: DataFrame,
+    id_col: str = "vec_id",
+    vector_col: str = "embedding",
+    leaf: int = LEAF,
+    shard_bytes: int = SHARD_BYTES,
+) -> DataFrame:
     """One row per shard with its tree, written to the shared folder; each is of bounded size."""
     spark = df.sparkSession
     ship(spark)
@@ -205,7 +211,7 @@ def build_index(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
                 if held and dim != dims[at]:
                     yield shard()
                 dim = int(dims[at])
-                room = max(1, SHARD_BYTES // (8 * dim)) - sum(len(i) for i, _ in held)
+                room = max(1, shard_bytes // (8 * dim)) - sum(len(i) for i, _ in held)
                 stop = min(at + room, at + int(np.argmin(np.append(dims[at:], -1) == dim)))
                 held.append((ids[at:stop], flat[ends[at] : ends[stop]].reshape(-1, dim)))
                 if stop - at == room:
@@ -227,10 +233,11 @@ def search(
     relax: float = 1.0,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest rows found for each query, ties by the smaller id.
 
-    The queries go to all shards in blocks of about ``BLOCK_BYTES``, one pass over the index for each block; only one
+    The queries go to all shards in blocks of about ``block_bytes``, one pass over the index for each block; only one
     block is on the driver at a time. Each task gives the best of its shards.
     """
     if relax < 1:
@@ -242,7 +249,7 @@ def search(
     asked.write.parquet(f"{base}/queries")
     asked = spark.read.parquet(f"{base}/queries")
     total = asked.agg(F.coalesce(F.sum(F.size("vector") * 8 + 16), F.lit(0))).first()[0]
-    n_blocks = max(1, -(-total // BLOCK_BYTES))
+    n_blocks = max(1, -(-total // block_bytes))
     block_of = F.pmod(F.xxhash64("vec_id", "query_row", F.lit("block")), F.lit(n_blocks))
     for b in range(n_blocks):
         rows = asked.where(block_of == b).orderBy("vec_id", "query_row").collect()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.operators.dates import DATE_PARTS, add_date_parts
-from millrace.queries.registry import derived, new_database, query, table, time_text, wall_clock
+from millrace.queries.registry import derived, new_database, query, table, time_text
 from millrace.session import fresh_dir
 from millrace.sinks.files import write_parquet, write_partitioned
 from millrace.sources.catalog import (
@@ -20,8 +20,13 @@ from millrace.sources.catalog import (
 from millrace.sources.files import read_csv, read_json, read_parquet
 from millrace.streaming.incremental import ingest_incremental
 
-ORDERS = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate string"
-ORDERS_SQL = "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders"
+ORDERS = (
+    "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate string, o_orderpriority string"
+)
+ORDERS_SQL = (
+    "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,"
+    " strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f') AS o_orderdate, o_orderpriority FROM orders"
+)
 
 
 def orders_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,37 +42,39 @@ def orders_json(spark: SparkSession, sf_dir: str) -> str:
 
 @query("json_scan", ORDERS_SQL)
 def json_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = "o_orderkey long, o_orderstatus string, o_totalprice double"
-    return read_json(spark, orders_json(spark, sf_dir), schema)
+    return read_json(spark, orders_json(spark, sf_dir), ORDERS)
 
 
 @query("json_scan_rechunked", ORDERS_SQL)
 def json_scan_rechunked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same scan, with the gzip files cut into small ones first."""
-    schema = "o_orderkey long, o_orderstatus string, o_totalprice double"
-    return read_json(spark, orders_json(spark, sf_dir), schema, rechunk_over=0)
+    return read_json(spark, orders_json(spark, sf_dir), ORDERS, rechunk_over=0)
 
 
-@query("json_scan_partitioned", "SELECT * FROM (VALUES (0), (1)) n(rechunked), (SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders)")
+@query("json_scan_partitioned", f"""
+    SELECT rechunked, o.* EXCLUDE (o_orderstatus), o_orderstatus AS value FROM ({ORDERS_SQL}) o, (VALUES (0), (1)) n(rechunked)
+""")
 def json_scan_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders below ``o_orderstatus=…``: the directory's column survives cutting the files."""
+    """Orders below ``value=…``, which is also what Spark calls a line: the directory's column survives cutting the files."""
 
     def write(path: str) -> None:
-        keyed = orders_text(spark, sf_dir).write.partitionBy("o_orderstatus")
-        keyed.option("compression", "gzip").json(path)
+        keyed = orders_text(spark, sf_dir).withColumnRenamed("o_orderstatus", "value")
+        keyed.write.partitionBy("value").option("compression", "gzip").json(path)
 
     path = derived(spark, sf_dir, "orders-json-keyed", write)
-    schema = "o_orderkey long, o_totalprice double"
+    schema = ORDERS.replace("o_orderstatus string, ", "")
     scans = [read_json(spark, path, schema, rechunk_over=limit) for limit in (None, 0)]
     first, second = (df.withColumn("rechunked", F.lit(i)) for i, df in enumerate(scans))
     return first.unionByName(second)
 
 
-@query("json_scan_inferred", "SELECT o_orderkey::VARCHAR AS o_orderkey, o_orderstatus, o_orderpriority FROM orders")
+@query("json_scan_inferred", f"""
+    SELECT o.* REPLACE (o_orderkey::VARCHAR AS o_orderkey, o_custkey::VARCHAR AS o_custkey, o_totalprice::VARCHAR AS o_totalprice)
+    FROM ({ORDERS_SQL}) o
+""")
 def json_scan_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No schema given: the columns are found in the files, every leaf as text."""
-    orders = read_json(spark, orders_json(spark, sf_dir))
-    return orders.select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    return read_json(spark, orders_json(spark, sf_dir))
 
 
 @query("json_scan_exclude", ORDERS_SQL)
@@ -80,8 +87,7 @@ def json_scan_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
         orders.write.mode("append").json(path)
 
     path = derived(spark, sf_dir, "orders-json-twice", write)
-    schema = "o_orderkey long, o_orderstatus string, o_totalprice double"
-    return read_json(spark, path, schema, exclude=["_part*", "*.json"])
+    return read_json(spark, path, ORDERS, exclude=["_part*", "*.json"])
 
 
 @query("csv_scan", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
@@ -110,14 +116,13 @@ def catalog_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, db, "supplier")
 
 
-@query("catalog_scan_csv", "SELECT c_custkey, c_name, c_acctbal FROM customer")
+@query("catalog_scan_csv", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def catalog_scan_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw CSV files as a table, the way a crawler exposes them."""
     customer, db = table(spark, sf_dir, "customer"), new_database(spark)
     path = derived(spark, sf_dir, "customer-csv", lambda p: customer.write.option("header", True).csv(p))
     register_table(spark, db, "customer", path, "csv")
-    found = read_table(spark, db, "customer")
-    return found.select(F.col("c_custkey").cast("long"), "c_name", "c_acctbal")
+    return read_table(spark, db, "customer").withColumn("c_custkey", F.col("c_custkey").cast("long"))
 
 
 @query("partition_discovery", """
@@ -202,7 +207,7 @@ def table_deprecation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(found, "state string, deprecated boolean, listed boolean, n long")
 
 
-@query("incremental_ingest", "SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderdate FROM orders")
+@query("incremental_ingest", ORDERS_SQL)
 def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two deliveries and three runs: every order arrives once."""
     src, dst, log = (fresh_dir(spark, f"incremental-{part}") for part in ("src", "dst", "log"))
@@ -212,5 +217,4 @@ def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
         if delivery is not None:
             delivery.write.mode("append").option("compression", "gzip").json(src)
         ingest_incremental(spark, src, dst, ORDERS, log)
-    rows = spark.read.parquet(dst).select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate")
-    return wall_clock(rows, "o_orderdate")
+    return read_parquet(spark, dst)

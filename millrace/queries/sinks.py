@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from millrace.folders import current
 from millrace.operators.dates import DATE_PARTS, add_date_parts
 from millrace.operators.distribution import spread
 from millrace.operators.joins import equi_join
@@ -25,7 +26,7 @@ from millrace.session import fresh_dir
 from millrace.sinks.files import write_parquet, write_partitioned
 from millrace.sinks.landing import land
 from millrace.sources.catalog import register_table
-from millrace.sources.files import read_json
+from millrace.sources.files import read_csv, read_json, read_parquet
 
 DERBY = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
 
@@ -63,7 +64,7 @@ def join_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     events, path = table(spark, sf_dir, "events"), fresh_dir(spark, "events-copy")
     write_parquet(events, path)
-    read, written = count_records(events), count_records(spark.read.parquet(path))
+    read, written = count_records(events), count_records(read_parquet(spark, path))
     rows = metrics_row(spark, "copy", "events", read, READING).union(
         metrics_row(spark, "copy", "events", written, WRITING)
     )
@@ -113,38 +114,38 @@ def spread_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EVENT_DAYS_SQL = """
-    SELECT event_id, user_id, event_type, value,
+    SELECT event_id, user_id, event_type, value, props,
            year(ts)::INT AS year, month(ts)::INT AS month, day(ts)::INT AS day FROM events
 """
 
 
 def event_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return add_date_parts(table(spark, sf_dir, "events"), "ts").drop("ts", "props")
+    return add_date_parts(table(spark, sf_dir, "events"), "ts").drop("ts")
 
 
 @query("partitioned_write", EVENT_DAYS_SQL)
 def partitioned_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_dir(spark, "event-days")
     write_partitioned(event_days(spark, sf_dir), path, DATE_PARTS)
-    return spark.read.parquet(path)
+    return read_parquet(spark, path)
 
 
 @query("partitioned_write_null_key", """
-    SELECT event_id, CASE WHEN event_type <> 'error' THEN year(ts)::INT END AS year,
+    SELECT event_id, user_id, event_type, value, props, CASE WHEN event_type <> 'error' THEN year(ts)::INT END AS year,
            CASE WHEN event_type <> 'error' THEN month(ts)::INT END AS month,
            CASE WHEN event_type <> 'error' THEN day(ts)::INT END AS day FROM events
 """)
 def partitioned_write_null_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows without a date share the default partition, here a fifth of all."""
     path = fresh_dir(spark, "event-days-null")
-    dated = F.when(F.col("event_type") != "error", F.col("ts")).alias("ts")
-    events = table(spark, sf_dir, "events").select("event_id", dated)
+    dated = F.when(F.col("event_type") != "error", F.col("ts"))
+    events = table(spark, sf_dir, "events").withColumn("ts", dated)
     write_partitioned(add_date_parts(events, "ts").drop("ts"), path, DATE_PARTS)
-    return spark.read.parquet(path)
+    return read_parquet(spark, path)
 
 
 @query("partition_overwrite", """
-    SELECT event_id, user_id, event_type, CASE WHEN day(ts) = 15 THEN -value ELSE value END AS value,
+    SELECT event_id, user_id, event_type, CASE WHEN day(ts) = 15 THEN -value ELSE value END AS value, props,
            year(ts)::INT AS year, month(ts)::INT AS month, day(ts)::INT AS day FROM events
 """)
 def partition_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,7 +155,7 @@ def partition_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     redone = events.filter(F.col("day") == 15).withColumn("value", -F.col("value"))
     for _ in range(2):
         write_partitioned(redone, path, DATE_PARTS, mode="overwrite")
-    return spark.read.parquet(path)
+    return read_parquet(spark, path)
 
 
 PART_SQL = "SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part"
@@ -164,7 +165,7 @@ PART_SQL = "SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FRO
 def snappy_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_dir(spark, "part")
     write_parquet(table(spark, sf_dir, "part"), path)
-    return spark.read.parquet(path)
+    return read_parquet(spark, path)
 
 
 @query("replace_write", PART_SQL)
@@ -173,7 +174,7 @@ def replace_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_dir(spark, "part-twice")
     for _ in range(2):
         write_parquet(table(spark, sf_dir, "part"), path, mode="overwrite")
-    return spark.read.parquet(path)
+    return read_parquet(spark, path)
 
 
 @query("warehouse_load", "SELECT c_custkey, c_acctbal, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
@@ -198,23 +199,24 @@ def landing_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = fresh_dir(spark, "raw")
     land(spark, old, raw, "csv")
     land(spark, new, raw, "csv")
-    return spark.read.option("header", True).schema(supplier.schema).csv(raw)
+    return read_csv(spark, raw, supplier.schema)
 
 
 @query("landing_partitioned", """
-    SELECT fmt, s_suppkey::VARCHAR AS s_suppkey, s_name, concat('0', s_nationkey) AS nation
+    SELECT fmt, s_suppkey::VARCHAR AS s_suppkey, s_name, s_acctbal::VARCHAR AS s_acctbal, concat('0', s_nationkey) AS value
     FROM supplier, (VALUES ('csv'), ('json')) f(fmt)
 """)
 def landing_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Extracts below ``nation=…``, whose values have leading zeros, landed as CSV and as JSON."""
-    nation = F.concat(F.lit("0"), F.col("s_nationkey").cast("string")).alias("nation")
-    supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string"), "s_name", nation)
+    """Extracts below ``value=…``, what Spark calls a line as well, with leading zeros, landed as CSV and as JSON."""
+    nation = F.concat(F.lit("0"), F.col("s_nationkey").cast("string")).alias("value")
+    text = [F.col(c).cast("string") for c in ("s_suppkey", "s_name", "s_acctbal")]
+    supplier = table(spark, sf_dir, "supplier").select(*text, nation)
     out = None
     for fmt in ("csv", "json"):
-        write = lambda p, fmt=fmt: supplier.write.partitionBy("nation").option("header", True).format(fmt).save(p)
+        write = lambda p, fmt=fmt: supplier.write.partitionBy("value").option("header", True).format(fmt).save(p)
         raw = fresh_dir(spark, "raw")
         land(spark, derived(spark, sf_dir, f"supplier-{fmt}-keyed", write), raw, fmt)
-        rows = spark.read.option("header", True).schema(supplier.schema).format(fmt).load(raw)
+        rows = spark.read.option("header", True).schema(supplier.schema).format(fmt).load(current(spark, raw))
         rows = rows.withColumn("fmt", F.lit(fmt))
         out = rows if out is None else out.unionByName(rows)
     return out

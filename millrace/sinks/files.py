@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.folders import current, exists, publish
 from millrace.operators.distribution import cluster
-from millrace.session import hadoop_path
 
 MODES = ("append", "overwrite", "replace")
 
@@ -17,37 +16,9 @@ class StreamedFolder(ValueError):
     """Readers of the folder trust the log of a stream, and would not see what is appended beside it."""
 
 
-def replace_folder(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
-    """Let ``write`` fill a new folder, and only then put it in the place of ``path``.
-
-    Until the new folder is complete, the old one stays as it is; a failing write leaves
-    nothing behind. The swap is two renames in the folder around them.
-    """
-    place = path.rstrip("/")
-    fresh, old = f"{place}.new-{uuid.uuid4().hex}", f"{place}.old-{uuid.uuid4().hex}"
-    try:
-        write(fresh)
-    except BaseException:
-        fs, partial = hadoop_path(spark, fresh)
-        fs.delete(partial, True)
-        raise
-    fs, new = hadoop_path(spark, fresh)
-    (_, target), (_, aside) = hadoop_path(spark, place), hadoop_path(spark, old)
-    had = fs.exists(target)
-    if had and not fs.rename(target, aside):
-        raise OSError(f"{path} could not be moved aside")
-    if not fs.rename(new, target):
-        if had:
-            fs.rename(aside, target)
-        raise OSError(f"{fresh} could not be moved to {path}")
-    if had:
-        fs.delete(aside, True)
-
-
 def refuse_stream(spark: SparkSession, path: str) -> None:
     """A folder that a file stream writes to takes no other appends."""
-    fs, log = hadoop_path(spark, f"{path.rstrip('/')}/_spark_metadata")
-    if fs.exists(log):
+    if exists(spark, f"{path.rstrip('/')}/_spark_metadata"):
         raise StreamedFolder(f"{path} is written by a stream; appended files would not be read")
 
 
@@ -61,9 +32,9 @@ def write_partitioned(
     """Hive-style partition directories; a NULL key goes to the default partition.
 
     ``append`` only adds files, so a rerun duplicates rows. ``overwrite`` replaces the
-    directories that ``df`` has rows for and leaves the others alone; ``replace`` puts the
-    rows in the place of all of them, once they are written. Rows are brought together by
-    key, unless ``clustered`` says they are already.
+    directories that ``df`` has rows for and leaves the others alone; ``replace`` publishes the
+    rows in the place of all of them, once they are written (see :mod:`millrace.folders`). Rows
+    are brought together by key, unless ``clustered`` says they are already.
     """
     if mode not in MODES:
         raise ValueError(f"write_partitioned: mode {mode!r} is none of {', '.join(MODES)}")
@@ -75,22 +46,22 @@ def write_partitioned(
         writer.option("compression", "snappy").parquet(folder)
 
     if mode == "replace":
-        replace_folder(spark, path, write)
+        publish(spark, path, write)
         return
     refuse_stream(spark, path)
-    write(path)
+    write(current(spark, path))
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Snappy Parquet without partitions; by default it takes the place of what was at the path."""
+    """Snappy Parquet without partitions; by default it is published in the place of what the path stood for."""
     spark = df.sparkSession
 
     def write(folder: str) -> None:
         df.write.mode(mode).option("compression", "snappy").parquet(folder)
 
     if mode == "overwrite":
-        replace_folder(spark, path, write)
+        publish(spark, path, write)
         return
     if mode == "append":
         refuse_stream(spark, path)
-    write(path)
+    write(current(spark, path))

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import fnmatch
-import json
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, DataFrameReader, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from millrace.folders import current
+from millrace.functions.columns import named
 from millrace.operators.distribution import deal_scan
 from millrace.session import fresh_dir
 
@@ -25,6 +26,10 @@ CSV_OPTIONS = {
 }
 
 
+# The column of a line of text. Directories can have any key, ``value=`` as well, which is what Spark calls it.
+LINE = "__millrace_line"
+
+
 def _skip_files(df: DataFrame, exclude: Sequence[str]) -> DataFrame:
     """Rows of the files whose names match no glob; must come right after the scan."""
     name = F.col("_metadata.file_name")
@@ -33,7 +38,7 @@ def _skip_files(df: DataFrame, exclude: Sequence[str]) -> DataFrame:
 
 def partition_columns(spark: SparkSession, path: str) -> list[str]:
     """The keys of ``key=value`` directories below a path, outermost first."""
-    return [c for c in spark.read.text(path).columns if c != "value"]
+    return [c for c in spark.read.schema(f"{LINE} string").text(path).columns if c != LINE]
 
 
 def read_json(
@@ -62,13 +67,14 @@ def read_json(
     tasks parse them; the rows are the same for any limit. These three need a schema and one
     object per line.
     """
+    path = current(spark, path)
     files = spark.read.option("recursiveFileLookup", recursive)
     if schema is None or multiline:
         if bad_record or fail_fast or rechunk_over is not None:
             raise ValueError("read_json: bad records and rechunking need a schema and one object per line")
         files = files.option("multiLine", multiline).option("primitivesAsString", schema is None)
         if schema is None:
-            schema = _inferred(files, path, exclude, recursive, multiline)
+            schema = _inferred(spark, path, exclude, recursive, multiline)
         return _skip_files(files.schema(schema).json(path), exclude)
 
     if bad_record:
@@ -90,34 +96,26 @@ def read_json(
     # The directories of the chunks are read with the types that the whole folder has.
     by = [] if recursive else partition_columns(spark, path)
     whole = records.schema
-    text = StructType([StructField("value", StringType()), *[whole[c] for c in by]])
-    lines = _skip_files(files.schema(text).text(path), exclude).filter(large).select("value", *by)
+    text = StructType([StructField(LINE, StringType()), *[whole[c] for c in by]])
+    lines = _skip_files(files.schema(text).text(path), exclude).filter(large).select(LINE, *[named(c) for c in by])
     chunks = fresh_dir(spark, "chunks")
     writer = deal_scan(lines).write.option("compression", "gzip")
     (writer.partitionBy(*by) if by else writer).text(chunks)
     return records.filter(~large).unionByName(scan(chunks, whole))
 
 
-def _inferred(
-    reader: DataFrameReader, path: str, exclude: Sequence[str], recursive: bool, multiline: bool
-) -> StructType:
+def _inferred(spark: SparkSession, path: str, exclude: Sequence[str], recursive: bool, multiline: bool) -> StructType:
     """The schema of the files that are not excluded, partition directories included."""
+    files = spark.read.option("recursiveFileLookup", recursive)
+    reader = spark.read.options(recursiveFileLookup=recursive, multiLine=multiline, primitivesAsString=True)
     if not exclude:
         return reader.json(path).schema
-    spark = reader._spark
-    if multiline:
-        files = spark.read.option("recursiveFileLookup", recursive).format("binaryFile").load(path)
-        texts = _skip_files(files, exclude).select(F.col("content").cast("string").alias("value"))
-    else:
-        files = spark.read.option("recursiveFileLookup", recursive).text(path)
-        texts = _skip_files(files, exclude).select("value")
-    # The JVM reader takes a dataset of text, which Python's lacks.
-    lines = getattr(texts._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
-    seen = spark._jsparkSession.read().option("primitivesAsString", True).json(lines).schema()
-    found = StructType.fromJson(json.loads(seen.json()))
-    by = [] if recursive else partition_columns(spark, path)
-    directories = spark.read.text(path).schema if by else None
-    return StructType([f for f in found.fields if f.name not in by] + [directories[c] for c in by])
+    # Names only; the contents of the files are not read for this.
+    names = [r[0] for r in _skip_files(files.format("binaryFile").load(path), exclude).select("path").collect()]
+    if names:
+        return (reader if recursive else reader.option("basePath", path)).json(names).schema
+    whole = files.schema(f"{LINE} string").text(path).schema
+    return StructType([f for f in whole.fields if f.name != LINE])
 
 
 def oversized_gzip(spark: SparkSession, path: str, recursive: bool = False, limit: int | None = None) -> int | None:
@@ -129,7 +127,7 @@ def oversized_gzip(spark: SparkSession, path: str, recursive: bool = False, limi
     if limit is None:
         size = spark.conf.get("spark.sql.files.maxPartitionBytes")
         limit = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(size)
-    files = spark.read.option("recursiveFileLookup", recursive).format("binaryFile").load(path)
+    files = spark.read.option("recursiveFileLookup", recursive).format("binaryFile").load(current(spark, path))
     gzip_length = F.when(F.lower("_metadata.file_name").endswith(".gz"), F.col("length"))
     largest = files.agg(F.max(gzip_length)).first()[0]
     return limit if (largest or 0) > limit else None
@@ -160,10 +158,10 @@ def read_csv(
     if fail_fast:
         options = {"mode": "FAILFAST", **options}
     reader = spark.read.options(**{**CSV_OPTIONS, "inferSchema": schema is None, **options})
-    return (reader.schema(schema) if schema is not None else reader).csv(path)
+    return (reader.schema(schema) if schema is not None else reader).csv(current(spark, path))
 
 
 def read_parquet(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
-    """Parquet files; columns and row groups that a query does not need are not read."""
+    """Parquet files, those published last; columns and row groups that a query does not need are not read."""
     reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(path)
+    return reader.parquet(current(spark, path))

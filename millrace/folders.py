@@ -139,7 +139,8 @@ def add(spark: SparkSession, path: str, write: Callable[[str], None], name: str
 def forget(spark: SparkSession, path: str, prefix: str, keep: int = 2) -> None:
     """Drop the names of additions that begin with ``prefix`` but for the last ``keep``; older ones never come again."""
     target = current(spark, path).rstrip("/")
-    for name in [n for n in names(spark, f"{target}/{ADDED}") if n.startswith(prefix)][:-keep]:
+    found = [n for n in names(spark, f"{target}/{ADDED}") if n.startswith(prefix)]
+    for name in found[: max(0, len(found) - keep)]:
         _delete(spark, f"{target}/{ADDED}/{name}")
 
 

@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.arrow import map_texts, ship
-from millrace.llm.tokens import _AFTER_GAP, _SPACE, encode_parts
+from millrace.llm.tokens import _AFTER_GAP, _ENDS_SOLID, _SPACE
 from millrace.session import fresh_dir
 
 SENT_PAIRS = 1_000_000  # pair counts that are sent to all tasks: 24 MB at most
 STORE_PARTS = 300_000  # parts whose alignment a worker remembers
 STORE_BYTES = 48 << 20  # and their text and links, about
+RUN = 2_000  # parts that are encoded as one text
 _SHIFT = 20  # a pair is one number: the first id, and the second one in this many bits
 
 LINKED = (
@@ -95,6 +96,7 @@ class Aligner:
             bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)
         ]
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in own]) for own in (self.a_bytes, self.b_bytes))
+        self.names = list(map(str, range(max(size, len(pieces)))))
         # The model puts a space before a text, but not before an empty one.
         self.blank = self.b.encode("x ")[len(self.b.encode("x")) :]
         self._forget()
@@ -125,26 +127,41 @@ class Aligner:
         if self.held > STORE_BYTES // 2:
             self._forget()
 
+    def _encode(self, parts: list[str], data: list[bytes]) -> tuple[list[int], list[int]] | None:
+        """Ids of either side for the parts one after the other; None where the tokens do not give the bytes back."""
+        a_ids = self.a.encode_batch_fast(["".join(f" {p}" for p in parts)], add_special_tokens=False)[0].ids
+        b = self.b.encode(" ".join(parts)) if parts != [""] else self.blank
+        whole = b"".join(data)
+        if b"".join(map(self.a_bytes.__getitem__, a_ids)) != whole or b"".join(map(self.b_bytes.__getitem__, b)) != whole:
+            return None
+        return a_ids, b
+
     def align(self, parts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
         """Of each part its numbers of tokens, groups and links and its groups as text, and the links of all.
 
-        The parts stand one after the other, each with its space, as one text; so one pair of dictionaries serves all.
+        Parts are encoded in long runs, one after the other with their spaces, as they may stand in a text; a part that ends in
+        white space is encoded by itself, and so are those of a run that does not come back byte by byte. All that do
+        are aligned as one text, so one pair of dictionaries serves them.
         """
-        a = encode_parts(self.a, parts)
-        b = [own if part else self.blank for part, own in zip(parts, self.b.encode(parts, num_threads=1))]
         data = [f" {part}".encode() for part in parts]
         numbers, texts = np.zeros((len(parts), 4), np.int64), [""] * len(parts)
         numbers[:, 0] = -1
-        a_join, b_join = self.a_bytes.__getitem__, self.b_bytes.__getitem__
-        good = [
-            i
-            for i, (x, y, z) in enumerate(zip(a, b, data))
-            if b"".join(map(b_join, y)) == z and b"".join(map(a_join, x.tolist())) == z
-        ]
+        solid = [i for i, part in enumerate(parts) if _ENDS_SOLID.search(part)]
+        alone = sorted(set(range(len(parts))).difference(solid))
+        todo = [solid[i : i + RUN] for i in range(0, len(solid), RUN)] + [[i] for i in alone]
+        good, a_list, b_list = [], [], []
+        while todo:
+            run = todo.pop()
+            found = self._encode([parts[i] for i in run], [data[i] for i in run])
+            if found:
+                good += run
+                a_list += found[0]
+                b_list += found[1]
+            elif len(run) > 1:
+                todo += [run[: len(run) // 2], run[len(run) // 2 :]]
         if not good:
             return numbers, texts, np.zeros(0, np.int64)
-        a_ids = np.concatenate([a[i] for i in good]).astype(np.int64)
-        b_ids = np.array([x for i in good for x in b[i]], np.int64)
+        a_ids, b_ids = np.array(a_list, np.int64), np.array(b_list, np.int64)
         ends = np.cumsum([len(data[i]) for i in good])
         a_ends = np.cumsum(self.a_sizes[a_ids])
         slices = np.array(common_slices(a_ends.tolist(), np.cumsum(self.b_sizes[b_ids]).tolist()), np.int64)
@@ -152,23 +169,25 @@ class Aligner:
         wide_a, wide_b = a_stop - at, b_stop - bt
         # The ends of parts are common ends, so every group lies within one part.
         stops = np.searchsorted(a_ends[a_stop - 1], ends, "right")
-        a_text, b_text = list(map(str, a_ids.tolist())), list(map(str, b_ids.tolist()))
-        plain = ((wide_a == 1) & (wide_b == 1)).tolist()
-        groups = [
-            f"{a_text[w]}|{b_text[y]}" if one else f"{','.join(a_text[w:x])}|{','.join(b_text[y:z])}"
-            for (w, x, y, z), one in zip(slices.tolist(), plain)
-        ]
+        a_text, b_text = (list(map(self.names.__getitem__, ids)) for ids in (a_list, b_list))
+        # The text of a group, for most of one token on either side.
+        groups = [f"{a_text[w]}|{b_text[y]}" for w, y in zip(at.tolist(), bt.tolist())]
+        for i in np.flatnonzero((wide_a > 1) | (wide_b > 1)).tolist():
+            w, x, y, z = slices[i].tolist()
+            groups[i] = f"{','.join(a_text[w:x])}|{','.join(b_text[y:z])}"
         n = wide_a * wide_b
         group = np.repeat(np.arange(len(n)), n)
         within = np.arange(len(group)) - np.repeat(np.cumsum(n) - n, n)
         left, right = np.divmod(within, wide_b[group])
         links = a_ids[at[group] + left] << _SHIFT | b_ids[bt[group] + right]
+        # The links in the order of the parts, which is not that of the runs.
         bounds = [0, *stops.tolist()]
         sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[bounds])
         numbers[good] = np.stack([sums(wide_a), sums(wide_b), np.diff(bounds), sums(n)], 1)
         for i, x, y in zip(good, bounds, bounds[1:]):
             texts[i] = ";".join(groups[x:y])
-        return numbers, texts, links
+        owner = np.repeat(np.array(good), numbers[good, 3])
+        return numbers, texts, links[np.argsort(owner, kind="stable")]
 
     def learn(self, parts: set[str]) -> None:
         if len(self.texts) > STORE_PARTS or self.held > STORE_BYTES:
@@ -189,7 +208,7 @@ class Aligner:
         """Per text its numbers and digest, and its links: text, pair and how often."""
         cut = [parts_of(t) for t in texts]
         self.learn(set().union(*cut))
-        at = np.fromiter((self.known[p] for parts in cut for p in parts), np.int64)
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64)
         text = np.repeat(np.arange(len(cut)), [len(parts) for parts in cut])
         self.used += np.bincount(at, minlength=len(self.used))
         bad = np.zeros(len(cut), bool)

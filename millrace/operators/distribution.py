@@ -8,8 +8,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from millrace.functions.columns import named
 
-ROW = "__row"
-SALT = "__salt"
+
+
+def _unused(df: DataFrame, name: str) -> str:
+    """The name, or a longer one, that no column has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def spread(df: DataFrame, n: int | None = None) -> DataFrame:
@@ -28,8 +34,9 @@ def deal_scan(scan: DataFrame) -> DataFrame:
     same as well. That saves the local sort by which :func:`spread` keeps reruns alike,
     and which one task would have to do for the whole of a large file.
     """
-    numbered = scan.withColumn(ROW, F.monotonically_increasing_id())
-    return numbered.hint("rebalance", named(ROW)).drop(ROW)
+    row = _unused(scan, "__row")
+    numbered = scan.withColumn(row, F.monotonically_increasing_id())
+    return numbered.hint("rebalance", named(row)).drop(row)
 
 
 def cluster(df: DataFrame, by: Sequence[str], salts: int | None = None) -> DataFrame:
@@ -45,5 +52,6 @@ def cluster(df: DataFrame, by: Sequence[str], salts: int | None = None) -> DataF
     if df.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true":
         return df.hint("rebalance", *keys)
     salts = salts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salted = df.withColumn(SALT, F.spark_partition_id() % salts)
-    return salted.repartition(*keys, named(SALT)).drop(SALT)
+    salt = _unused(df, "__salt")
+    salted = df.withColumn(salt, F.spark_partition_id() % salts)
+    return salted.repartition(*keys, named(salt)).drop(salt)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import fnmatch
 from collections.abc import Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -106,16 +107,16 @@ def read_json(
 
 def _inferred(spark: SparkSession, path: str, exclude: Sequence[str], recursive: bool, multiline: bool) -> StructType:
     """The schema of the files that are not excluded, partition directories included."""
-    files = spark.read.option("recursiveFileLookup", recursive)
+    files = lambda: spark.read.option("recursiveFileLookup", recursive)
     reader = spark.read.options(recursiveFileLookup=recursive, multiLine=multiline, primitivesAsString=True)
     if not exclude:
         return reader.json(path).schema
+    lines = files().schema(f"{LINE} string").text(path)
     # Names only; the contents of the files are not read for this.
-    names = [r[0] for r in _skip_files(files.format("binaryFile").load(path), exclude).select("path").collect()]
-    if names:
-        return (reader if recursive else reader.option("basePath", path)).json(names).schema
-    whole = files.schema(f"{LINE} string").text(path).schema
-    return StructType([f for f in whole.fields if f.name != LINE])
+    found = _skip_files(files().format("binaryFile").load(path), exclude).select("_metadata.file_path").collect()
+    seen = reader.json([unquote(r[0]) for r in found]).schema if found else StructType([])
+    by = [f for f in lines.schema.fields if f.name != LINE]
+    return StructType([f for f in seen.fields if f.name not in {c.name for c in by}] + by)
 
 
 def oversized_gzip(spark: SparkSession, path: str, recursive: bool = False, limit: int | None = None) -> int | None:
@@ -128,7 +129,7 @@ def oversized_gzip(spark: SparkSession, path: str, recursive: bool = False, limi
         size = spark.conf.get("spark.sql.files.maxPartitionBytes")
         limit = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(size)
     files = spark.read.option("recursiveFileLookup", recursive).format("binaryFile").load(current(spark, path))
-    gzip_length = F.when(F.lower("_metadata.file_name").endswith(".gz"), F.col("length"))
+    gzip_length = F.when(F.lower("_metadata.file_name").endswith(".gz"), F.col("_metadata.file_size"))
     largest = files.agg(F.max(gzip_length)).first()[0]
     return limit if (largest or 0) > limit else None
 

@@ -35,6 +35,14 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """The name, or a longer one, that no column has."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def map_texts(
     docs: DataFrame,
     columns: list,

@@ -14,6 +14,7 @@ Null and empty texts encode to no tokens. Extra columns are ignored, repeated ro
 from __future__ import annotations
 
 import hashlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,7 @@ from millrace.llm.tokens import Memo, encode_parts, split, tokenizer
 
 WINDOW = 48  # bytes the rolling hash looks at
 MASK = (1 << 12) - 1  # a chunk ends where these bits of the hash are 0: every 4096 bytes on average
+STAY = 100_000  # parts that a worker remembers from one task to the next
 CHUNK_BYTES = 4 << 20  # text of the chunks a worker remembers
 
 
@@ -44,10 +46,15 @@ class Codec:
         return [(i.tobytes(), t) for i, t in zip(ids, texts)]
 
     def rest(self) -> None:
-        """Give memory back between tasks, for other operators in the same worker; frequent parts stay known."""
+        """Give memory back between tasks, for other operators in the same worker; some parts stay known."""
         self.chunks.clear()
         self.joins.clear()
         self.parts.old.clear()
+        if len(self.parts) > STAY:
+            # What was learnt first is what most texts hold.
+            stay = dict(islice(self.parts.items(), STAY))
+            self.parts.clear()
+            self.parts.update(stay)
         self.held = 0
 
     def _encode(self, text: str) -> bytes:

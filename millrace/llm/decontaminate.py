@@ -46,17 +46,36 @@ def _shingles(text: Column, size: int) -> Column:
     return F.transform(F.array(_words(text)), hashed)[0]
 
 
+_LANE = 21  # bits of a counter, three to a number: enough for bags of two million shingles
+
+
 def simhash(shingles: Column) -> Column:
-    """64 bits, each the majority of that bit over the shingles."""
+    """64 bits, each the majority of that bit over the shingles.
+
+    Three bits of all shingles are counted by one sum: bits ``k``, ``k + 21`` and ``k + 42`` are the lowest of three
+    lanes once a hash is shifted by ``k``. The bit that is left over has a sum of its own.
+    """
+    mask = 1 | 1 << _LANE | 1 << 2 * _LANE
 
-    def bit(b: Column) -> Column:
-        ones = F.aggregate(
-            shingles, F.lit(0), lambda acc, h: acc + F.call_function("shiftright", h, b).bitwiseAND(F.lit(1)).cast("int")
+    def lanes(k: Column) -> Column:
+        return F.aggregate(
+            shingles,
+            F.lit(0).cast("long"),
+            lambda acc, h: acc + F.call_function("shiftrightunsigned", h, k).bitwiseAND(F.lit(mask)),
         )
-        return F.when(ones * 2 > F.size(shingles), F.lit(1)).otherwise(F.lit(0)).cast("long")
 
-    bits = F.transform(F.sequence(F.lit(0), F.lit(63)), bit)
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda acc, b: F.shiftleft(acc, 1).bitwiseOR(b))
+    def majority(sums: Column) -> Column:
+        def bit(b: Column) -> Column:
+            lane = F.call_function("shiftrightunsigned", F.get(sums, b % _LANE), F.floor(b / F.lit(_LANE)).cast("int") * _LANE)
+            return F.when(lane.bitwiseAND(F.lit((1 << _LANE) - 1)) * 2 > F.size(shingles), F.lit(1)).otherwise(F.lit(0)).cast("long")
+
+        return F.transform(F.sequence(F.lit(0), F.lit(3 * _LANE - 1)), bit)
+
+    top = F.aggregate(shingles, F.lit(0).cast("long"), lambda acc, h: acc + F.shiftrightunsigned(h, 63))
+    top = F.array(F.when(top * 2 > F.size(shingles), F.lit(1)).otherwise(F.lit(0)).cast("long"))
+    bits = F.transform(F.array(F.transform(F.sequence(F.lit(0), F.lit(_LANE - 1)), lanes)), majority)[0]
+    # The bits from the lowest to the highest, folded from the highest.
+    return F.aggregate(F.reverse(F.concat(bits, top)), F.lit(0).cast("long"), lambda acc, b: F.shiftleft(acc, 1).bitwiseOR(b))
 
 
 def _blocks(fingerprint: Column, radius: int) -> Column:
@@ -74,13 +93,28 @@ def _blocks(fingerprint: Column, radius: int) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Weighted Jaccard similarity of two bags of shingles."""
+    """Weighted Jaccard similarity of two bags of shingles.
+
+    Shingles that either bag has count once by an intersection of sets; only what occurs again, if anything does, is
+    counted one by one.
+    """
+
+    def again(bag: Column) -> Column:
+        """Every occurrence but the first of each shingle."""
+        ordered = F.array_sort(bag)
+        repeats = F.transform(F.array(ordered), lambda s: F.filter(s, lambda x, i: (i > 0) & (x == F.get(s, i - 1))))[0]
+        return F.when(F.size(F.array_distinct(bag)) < F.size(bag), repeats).otherwise(F.array().cast("array<bigint>"))
 
     def times(bag: Column, x: Column) -> Column:
         return F.size(F.filter(bag, lambda y: y == x))
 
-    shared = F.aggregate(F.array_distinct(a), F.lit(0), lambda acc, x: acc + F.least(times(a, x), times(b, x)))
-    return shared / (F.size(a) + F.size(b) - shared)
+    def counted(more: Column) -> Column:
+        both = F.array_intersect(more["a"], more["b"])
+        return F.aggregate(both, F.lit(0), lambda acc, x: acc + F.least(times(more["a"], x), times(more["b"], x)))
+
+    more = F.array(F.struct(again(a).alias("a"), again(b).alias("b")))
+    shared = F.size(F.array_intersect(a, b)) + F.transform(more, counted)[0]
+    return F.transform(F.array(shared), lambda n: n / (F.size(a) + F.size(b) - n))[0]
 
 
 def _needed(n: Column, held: Column, least: float) -> Column:
@@ -126,7 +160,7 @@ def find_passages(
     known = items.select("item_id", _shingles(F.col("text"), size).alias("own")).where(F.size("own") > 0)
     known = known.select("item_id", "own", F.size("own").alias("n"), simhash(F.col("own")).alias("print"))
     seeds = known.select("n", F.explode("own").alias("shingle")).distinct()
-    n_seeds = seeds.count()
+    n_seeds = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # with repeats: what the items' bags hold
 
     named = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     spread = named.select("doc_id", "h", F.posexplode(_shingles(F.col("text"), size)).alias("place", "shingle"))
@@ -148,7 +182,6 @@ def find_passages(
         "h",
         "start",
         "n",
-        (F.col("start") + F.col("n") >= F.size("own")).alias("at_end"),
         F.expr("slice(own, start + 1, n)").alias("bag"),
     )
 
@@ -165,22 +198,8 @@ def find_passages(
     )
     alike = near.join(_bounded(known.select("item_id", "own"), n_seeds), "item_id")
     alike = alike.withColumn("likeness", likeness(F.col("own"), F.col("bag"))).where(F.col("likeness") >= least)
-    # Does a shingle of the window stand in the item at the same place, further behind, or further in front?
-    shared = lambda part: F.exists(
-        F.sequence(F.lit(0), F.size("bag") - 1), lambda i: F.array_contains(part(i), F.get(F.col("bag"), i))
-    )
-    alike = alike.select(
-        "bag",
-        "n",
-        "item_id",
-        "likeness",
-        shared(lambda i: F.slice("own", i + 1, 1)).alias("even"),
-        shared(lambda i: F.slice("own", i + 2, F.size("own"))).alias("behind"),
-        shared(lambda i: F.slice("own", 1, i)).alias("in_front"),
-    )
-    found = held.join(alike, ["n", "bag"])
-    aligned = F.col("even") | (F.col("start") == 0) & F.col("behind") | F.col("at_end") & F.col("in_front")
-    best = F.max(F.struct("likeness", aligned.alias("aligned"), (-F.col("start")).alias("back"), "n")).alias("best")
+    found = held.join(alike.select("bag", "n", "item_id", "likeness"), ["n", "bag"])
+    best = F.max(F.struct("likeness", (-F.col("start")).alias("back"), "n")).alias("best")
     return (
         found.groupBy("doc_id", "h", "item_id")
         .agg(best)

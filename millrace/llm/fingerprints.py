@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 PIECE = 24  # characters
 FANOUT = 8  # paragraphs in a section
@@ -90,41 +91,61 @@ def changed_paragraphs(a: Column, b: Column) -> Column:
     return F.transform(F.array(parts), differ)[0]
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _after(a: Column, b: Column) -> Column:
+    """Whether place ``a`` in the order comes after ``b``: ``unnamed`` last, then ``down``, then ``h`` ascending."""
+    down = ~a["unnamed"] & ~b["unnamed"]
+    return (
+        (a["unnamed"] & ~b["unnamed"])
+        | (down & (a["down"] > b["down"]))
+        | ((a["unnamed"] == b["unnamed"]) & (a["down"] == b["down"]) & (a["h"] > b["h"]))
+    )
+
+
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``doc_id, text, next_text``: each document with the one after it by descending id; the first follows the last.
 
-    Rows of one id follow one another by a hash of their texts; rows without an id come last. Ids are whole
-    numbers. They are cut into ranges, and the first row of each range is also sent to the range before
-    it, so one shuffle is enough. Ids that crowd into a small part of their range make the ranges uneven.
+    Rows of one id follow one another by a hash of their texts; rows without an id come last. Ids are whole numbers. Spark
+    samples ids and hashes to cut their order into ranges of like size, however ids are spread and repeated; the ranges'
+    first places, ``MOST_BUCKETS`` at most, go to all tasks. The first row of each range is also sent to the range before it,
+    so the texts are shuffled once. Rows that agree in id and text always share a range.
     """
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"with_next: {id_col} is {docs.schema[id_col].dataType.simpleString()}, ids are whole numbers")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n, low, high = rows.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
-    buckets = max(1, min(MOST_BUCKETS, n // BUCKET_ROWS))
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // buckets))
-    # Ranges are numbered downwards, so they ascend in the order wanted.
-    bucket = F.coalesce(F.floor((F.lit(high or 0) - F.col("doc_id")) / F.lit(width)), F.lit(1 << 40)).cast("long")
-    # Ascending rank of a descending id, and then the hash.
-    rank = F.struct((-F.col("doc_id")).alias("down"), F.xxhash64("text").alias("h"))
-    rows = rows.select("doc_id", "text", bucket.alias("bucket"), rank.alias("rank"))
-    firsts = rows.groupBy("bucket").agg(F.min("rank").alias("first"))
-    order = W.orderBy("bucket")  # of one row for each range, and there are MOST_BUCKETS at most
-    firsts = firsts.select("bucket", "first", F.lag("bucket").over(order).alias("before"), F.max("bucket").over(W.partitionBy()).alias("last"))
-    firsts = firsts.select("bucket", "first", F.coalesce("before", "last").alias("before"))
-    marked = rows.join(F.broadcast(firsts), "bucket")
+    # The complement falls as the id rises, for all long numbers.
+    down = F.coalesce(F.bitwise_not("doc_id"), F.lit(0).cast("long"))
+    place = F.struct(F.isnull("doc_id").alias("unnamed"), down.alias("down"), F.xxhash64("text").alias("h"))
+    rows = rows.select("doc_id", "text", place.alias("place"))
+    places = rows.select("place.*")
+    buckets = max(1, min(MOST_BUCKETS, places.count() // bucket_rows))
+    ranged = places.repartitionByRange(buckets, "unnamed", "down", "h").withColumn("part", F.spark_partition_id())
+    first = ranged.groupBy("part").agg(F.min(F.struct("unnamed", "down", "h")).alias("first"))
+    firsts = first.agg(F.array_sort(F.collect_list("first")).alias("firsts")).withColumn("all", F.lit(0))
+    marked = rows.withColumn("all", F.lit(0)).join(F.broadcast(firsts), "all")
+    # The last range whose first place is not after the row's, by halving.
+    n = F.size("firsts")
+    halve = lambda at, width: F.when(
+        (at + width < n) & ~_after(F.get(F.col("firsts"), at + width), F.col("place")), at + width
+    ).otherwise(at)
+    widths = F.array(*[F.lit(1 << k) for k in reversed(range(MOST_BUCKETS.bit_length()))])
+    bucket = F.aggregate(widths, F.lit(0), halve)
+    marked = marked.select("doc_id", "text", "place", bucket.alias("bucket"), n.alias("n"), "firsts")
+    is_first = F.get(F.col("firsts"), F.col("bucket")) == F.col("place")
+    marked = marked.select("doc_id", "text", "place", "bucket", "n", is_first.alias("is_first"))
     own = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("guest"))
-    guest = F.struct(F.col("before").alias("bucket"), F.lit(True).alias("guest"))
-    is_first = F.col("rank").eqNullSafe(F.col("first"))
+    guest = F.struct(F.pmod(F.col("bucket") - 1, F.col("n")).alias("bucket"), F.lit(True).alias("guest"))
     placed = marked.select(
-        "doc_id", "text", "rank", F.explode(F.when(is_first, F.array(own, guest)).otherwise(F.array(own))).alias("to")
-    ).select("doc_id", "text", "rank", "to.bucket", "to.guest")
-    after = F.lead("text").over(W.partitionBy("bucket").orderBy("guest", F.col("rank.down").asc_nulls_last(), "rank.h"))
+        "doc_id", "text", "place", F.explode(F.when(F.col("is_first"), F.array(own, guest)).otherwise(F.array(own))).alias("to")
+    ).select("doc_id", "text", "place.*", "to.bucket", "to.guest")
+    after = F.lead("text").over(W.partitionBy("bucket").orderBy("guest", "unnamed", "down", "h"))
     return placed.withColumn("next_text", after).where("not guest").select("doc_id", "text", "next_text")
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text and of its edited text, and their likeness.
 
-    The edited text has its last third of characters replaced by as many from the start of the next document.
+    The edited text has its last third of characters replaced by as many from the start of the next document;
+    ``edited_paragraphs`` are where the descent into differing sections ends.
     """
     n, third = F.length("text"), F.floor(F.length("text") / 3).cast("int")
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 3) as int))"), F.expr(
@@ -147,4 +168,5 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        changed_paragraphs(F.col("fingerprint"), F.col("edited_fingerprint")).alias("edited_paragraphs"),
     )

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.arrow import gram_hash, hash_words, map_texts, mix, release, run_hash, split_words
+from millrace.llm.arrow import gram_hash, hash_words, map_texts, mix, run_hash, split_words, unused
 from millrace.session import fresh_dir
 
 SHINGLE = 5
@@ -237,7 +237,6 @@ def _block(likeness: float, size: int):
         i, j = np.nonzero((both >= likeness * union - 1e-6) & (root[x][:, None] != root[y][None, :]))
         a, b, ra, rb = rid[x[i]], rid[y[j]], root[x[i]], root[y[j]]
         ends = {"a": np.minimum(a, b), "b": np.maximum(a, b), "ra": np.minimum(ra, rb), "rb": np.maximum(ra, rb)}
-        release()
         return pd.DataFrame(ends)
 
     return run
@@ -318,7 +317,8 @@ def classes(rows: DataFrame, likeness: float, size: int, base: str) -> DataFrame
     lead = F.struct(F.col("lead").alias("rid"), F.col("lead_runs").alias("n_runs")).alias("lead")
     slots = kept(slots.join(shared, "bucket").select("bucket", "rid", "n_runs", lead), "slots")
     wanted = slots.select("rid").distinct()
-    texts = marked(rows, wanted).join(wanted, "rid", "left_semi").dropDuplicates(["rid"])
+    # An inner join: Spark would do a semi join first, and shuffle every text for it.
+    texts = marked(rows, wanted).join(wanted, "rid").dropDuplicates(["rid"])
     texts = kept(texts, "texts")
 
     def comparable(m, n):
@@ -422,7 +422,8 @@ def drop_near_duplicates(
     found = classes(rows.select("rid", "text"), likeness, size, base)
     placed = rows.select("rid", "doc_id").join(found, "rid")
     least = placed.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "rid")).alias("one"))
-    least = least.select(F.col("one")["rid"].alias("__rid"))
+    rid = unused(docs.columns, "__rid")
+    least = least.select(F.col("one")["rid"].alias(rid))
     name = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
-    kept = docs.withColumn("__rid", name).join(least, "__rid", "left_semi")
-    return kept.dropDuplicates(["__rid"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = docs.withColumn(rid, name).join(least, rid, "left_semi")
+    return kept.dropDuplicates([rid]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -24,8 +24,10 @@ import bisect
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Iterator, Sequence
-from ipaddress import ip_address
+from functools import lru_cache
+from ipaddress import ip_address, ip_network
 from itertools import chain, count
 from math import prod
 
@@ -34,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.arrow import ship
+from millrace.llm.arrow import release, ship, unused
 from millrace.session import fresh_dir
 
 _EMAIL = re.compile(r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}")
@@ -74,6 +76,17 @@ _LETTERS = [
     "αβγδεζηθικλμνξοπρστυφχψω",
 ]
 _LETTER = {c: letters for letters in _LETTERS for c in letters}
+# Blocks of addresses for a purpose, with the number of leading parts that name the block.
+_BLOCKS = [
+    (ip_network(block), keep)
+    for block, keep in {
+        "10.0.0.0/8": 1, "100.64.0.0/16": 2, "127.0.0.0/8": 1, "169.254.0.0/16": 2, "172.16.0.0/12": 2, "192.0.0.0/24": 3,
+        "192.0.2.0/24": 3, "192.168.0.0/16": 2, "198.18.0.0/15": 2, "198.51.100.0/24": 3, "203.0.113.0/24": 3,
+        "0.0.0.0/8": 1, "240.0.0.0/4": 1,
+    }.items()
+]
+# Words with a capital letter that are no names, even behind a form of address.
+_NO_NAMES = set("who what which where when why how the this that he she it they we you i no not and or but if".split())
 
 ATTEMPTS = 8  # keyed hashes that are tried for a value, before free surrogates are listed
 MARKS_FROM = 4
@@ -95,22 +108,34 @@ def _name(mention: str) -> str:
     return " ".join(re.split(r"[ -]", mention.casefold()))
 
 
+def _secretive(value: str) -> bool:
+    """Not just a word: with digits, marks or capital letters inside."""
+    return bool(re.search(r"\d|[^\W_][^\w\s]|(?<=.)[A-Z]", value))
+
+
 def detect(text: str) -> list[tuple[str, str, int, int]]:
     """Kind, value, first character and end of each mention; mentions do not overlap."""
     found: list[tuple[str, str, int, int]] = []
     if "@" in text:
         found += [("email", m[0].lower(), *m.span()) for m in _EMAIL.finditer(text)]
     if "=" in text or ":" in text:
-        found += [("secret", m[2], *m.span(2)) for m in _SECRET.finditer(text)]
+        for m in _SECRET.finditer(text):
+            # Marks at the end belong to the sentence, unless quotes say otherwise.
+            value = m[2] if m[1] else m[2].rstrip(".,;:!?)")
+            if len(value) >= 6 and (m[1] or _secretive(value)):
+                found.append(("secret", value, m.start(2), m.start(2) + len(value)))
     if re.search(r"\d\d", text) or re.search(r"\d\.\d", text):
         for m in _IP.finditer(text):
+            before = text[max(0, m.start() - 12) : m.start()].lower().split()
+            if before and re.fullmatch(r"v|ver\.?|version|release", before[-1]):
+                continue
             if all(int(part) < 256 and str(int(part)) == part for part in m[0].split(".")):
                 found.append(("ip", m[0], *m.span()))
         found += [("ssn", _digits(m[0]), *m.span()) for m in _SSN.finditer(text)]
         found += [("card", _digits(m[0]), *m.span()) for m in _CARD.finditer(text)]
         found += [("phone", _digits(m[0]), *m.span()) for m in _PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15]
     if any(title in text for title in _TITLES):
-        titled = list(_NAME.finditer(text))
+        titled = [m for m in _NAME.finditer(text) if re.split(r"[ -]", m[2])[0].lower() not in _NO_NAMES]
         found += [(f"name-{_TITLES[m[1]]}", _name(m[2]), *m.span(2)) for m in titled]
         if titled:
             # The same names without a form of address; a longer name is sought before one that it holds.
@@ -145,20 +170,37 @@ class _Draw:
         return value % n
 
 
+@lru_cache(maxsize=10_000)
+def _alphabet(c: str) -> str:
+    """The lower-case letters, or the digits, that ``c`` may become: those of its own script; empty for marks."""
+    low = c.lower()
+    if low in _LETTER:
+        return _LETTER[low]
+    kind = unicodedata.category(c)
+    if not c.isalnum() and kind[0] != "M":  # marks that stand on letters are replaced like these
+        return ""
+    if "㐀" <= c <= "鿿":
+        return "".join(map(chr, range(0x4E00, 0x9E00)))
+    script = lambda x: unicodedata.name(x, "").split(" ")[0]
+    near = range(ord(c) & ~0xFF, (ord(c) & ~0xFF) + 256)
+    found = "".join(chr(i) for i in near if unicodedata.category(chr(i)) == kind and script(chr(i)) == script(c))
+    # Letters of a script that has but one here become Latin ones.
+    return found if len(found) > 1 else _LETTERS[0]
+
+
 def _like(text: str, draw: _Draw, attempt: int = 0) -> str:
-    """Each letter and digit replaced by one of its own script and case; after some attempts marks as well."""
+    """Each letter replaced by another one of its own script and case, each digit by a digit; after some attempts marks as well."""
     out = []
     for c in text:
         if attempt >= MARKS_FROM and not c.isalnum():
             c = "a"
         if c.isdigit() and c.isascii():
             out.append(str(draw.below(10)))
-        elif c.lower() in _LETTER:
-            letters = _LETTER[c.lower()]
+        elif letters := _alphabet(c):
             new = letters[draw.below(len(letters))]
+            if new == c.lower():
+                new = letters[(letters.index(new) + 1) % len(letters)]
             out.append(new.upper() if c.isupper() and len(new.upper()) == 1 else new)
-        elif "㐀" <= c <= "鿿":
-            out.append(chr(0x4E00 + draw.below(0x5000)))
         else:
             out.append(c)
     return "".join(out)
@@ -190,19 +232,32 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
     return _name_like(kind[-1], value, draw, attempt)
 
 
+def _kept_parts(value: str) -> int:
+    """How many leading parts name the block of addresses for a purpose; 0 for public ones."""
+    address = ip_address(value)
+    return next((keep for block, keep in _BLOCKS if address in block), 0)
+
+
 def _ip_like(value: str, draw: _Draw) -> str:
     parts = value.split(".")
-    if ip_address(value).is_private:  # stays in its block
-        keep = 2 if parts[0] in ("169", "172", "192") else 1
+    if keep := _kept_parts(value):  # stays in its block
         return ".".join(parts[:keep] + [str(draw.below(256)) for _ in parts[keep:]])
     while True:
         new = ".".join([str(1 + draw.below(223)), *(str(draw.below(256)) for _ in range(3))])
-        if ip_address(new).is_global:
+        if ip_address(new).is_global and not _kept_parts(new):
             return new
 
 
+def _script(value: str) -> str | None:
+    """The script whose names are known; None for others, whose letters are replaced one by one."""
+    first = next((unicodedata.name(c, "").split(" ")[0].lower() for c in value if c.isalpha()), "latin")
+    return first if first in ("latin", "cyrillic") else None
+
+
 def _name_like(gender: str, value: str, draw: _Draw, attempt: int) -> str:
-    script = "cyrillic" if re.search("[а-яё]", value) else "latin"
+    script = _script(value)
+    if script is None:
+        return _like(value, draw)
     words = value.split(" ")
     family = lambda: "".join(
         _ONSETS[script][draw.below(len(_ONSETS[script]))].lower() + _RHYMES[script][draw.below(8)]
@@ -222,11 +277,8 @@ def _choices(text: str, marks: bool = False) -> list[Sequence[str]]:
             c = "a"
         if c.isdigit() and c.isascii():
             out.append("0123456789")
-        elif c.lower() in _LETTER:
-            letters = _LETTER[c.lower()]
+        elif letters := _alphabet(c):
             out.append([x.upper() if c.isupper() and len(x.upper()) == 1 else x for x in letters])
-        elif "㐀" <= c <= "鿿":
-            out.append([chr(0x4E00 + i) for i in range(0x5000)])
         else:
             out.append([c])
     return out
@@ -246,8 +298,7 @@ def _blocks(key: bytes, kind: str, value: str) -> Iterator[list[Sequence[str]]]:
             yield [hexes] * (len(value) + more) if hexes else [*_choices(value, True), *[_LETTERS[0]] * more]
     elif kind == "ip":
         part = [f".{i}" for i in range(256)]
-        if ip_address(value).is_private:
-            keep = 2 if value.split(".")[0] in ("169", "172", "192") else 1
+        if keep := _kept_parts(value):
             yield [[".".join(value.split(".")[:keep])], *[part] * (4 - keep)]
             yield [["10"], *[part] * 3]
         yield [[str(i) for i in range(1, 224)], *[part] * 3]
@@ -256,8 +307,10 @@ def _blocks(key: bytes, kind: str, value: str) -> Iterator[list[Sequence[str]]]:
         rest = ["0123456789"] * (len(value) - 1 - (kind == "card" and _luhn(value)))
         yield [value[0], *rest]
         yield ["123456789", *rest]
+    elif (script := _script(value)) is None:
+        for more in count():
+            yield [*_choices(value), *[_alphabet(value[0])] * more]
     else:
-        script = "cyrillic" if re.search("[а-яё]", value) else "latin"
         words = len(value.split(" "))
         genders = "mf" if kind[-1] == "n" else kind[-1]
         given = [g.lower() for x in genders for g in _GIVEN[(script, x)]]
@@ -303,7 +356,7 @@ def write_like(kind: str, mention: str, value: str) -> str:
 def _detected(docs: DataFrame, text_col: str, with_data: bool) -> DataFrame:
     """The rows with personal data and the mentions in them, or the rows without any."""
     ship(docs.sparkSession)
-    place = docs.columns.index(text_col)
+    place, spans_col = docs.columns.index(text_col), unused(docs.columns, "__spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(
@@ -316,12 +369,13 @@ def _detected(docs: DataFrame, text_col: str, with_data: bool) -> DataFrame:
                 yield batch.filter(keep)
                 continue
             column = pa.array([[dict(zip(("kind", "value", "start", "stop"), s)) for s in own] for own in spans], kind)
-            full = pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, "__spans"])
+            full = pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, spans_col])
             yield full.filter(keep)
+        release()
 
     schema = docs.schema
     if with_data:
-        schema = T.StructType([*schema.fields, *T._parse_datatype_string(f"__spans {SPANS}").fields])
+        schema = T.StructType([*schema.fields, T.StructField(spans_col, T.DataType.fromDDL(SPANS))])
     return docs.mapInArrow(run, schema)
 
 
@@ -444,10 +498,11 @@ def _replace(docs: DataFrame, key: bytes, text_col: str, counted: bool) -> tuple
     spark = docs.sparkSession
     base = fresh_dir(spark, "surrogates")
     # Numbered and written once: a number that is made anew could differ after a lost executor.
-    found = _detected(docs, text_col, True).withColumn("__row", F.monotonically_increasing_id())
+    row_col, spans_col, new_col = (unused(docs.columns, name) for name in ("__row", "__spans", "__new"))
+    found = _detected(docs, text_col, True).withColumn(row_col, F.monotonically_increasing_id())
     found.write.parquet(f"{base}/found")
     found = spark.read.parquet(f"{base}/found")
-    mentions = found.select("__row", F.explode("__spans").alias("m")).select("__row", "m.*")
+    mentions = found.select(F.col(row_col).alias("row"), F.explode(spans_col).alias("m")).select("row", "m.*")
     mentions = mentions.withColumn("group", _group("kind"))
     tells = lambda gender: F.count(F.when(F.col("kind") == f"name-{gender}", 1))
     entities = mentions.groupBy("group", "value").agg((tells("m") - tells("f")).alias("more"))
@@ -456,7 +511,7 @@ def _replace(docs: DataFrame, key: bytes, text_col: str, counted: bool) -> tuple
     entities.write.parquet(f"{base}/entities")
     names = assign(spark.read.parquet(f"{base}/entities"), key, base)
     new = mentions.join(names.select(_group("kind").alias("group"), "value", "surrogate"), ["group", "value"])
-    new = new.groupBy("__row").agg(F.collect_list(F.struct("kind", "start", "stop", "surrogate")).alias("__new"))
+    new = new.groupBy(F.col("row").alias(row_col)).agg(F.collect_list(F.struct("kind", "start", "stop", "surrogate")).alias(new_col))
     place = docs.columns.index(text_col)
     schema = docs.schema
     extra = T.StructField("n_mentions", T.LongType())
@@ -474,8 +529,9 @@ def _replace(docs: DataFrame, key: bytes, text_col: str, counted: bool) -> tuple
             if counted:
                 columns.append(pa.array([len(m) for m in mentions], pa.int64()))
             yield pa.RecordBatch.from_arrays(columns, out.names)
+        release()
 
-    changed = found.join(new, "__row").select(*[F.col(f"`{c}`") for c in docs.columns], "__new").mapInArrow(run, out)
+    changed = found.join(new, row_col).select(*[F.col(f"`{c}`") for c in docs.columns], new_col).mapInArrow(run, out)
     clean = _detected(docs, text_col, False)
     if counted:
         clean = clean.withColumn("n_mentions", F.lit(0).cast("long"))

@@ -231,15 +231,17 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, max_rows: int =
     p = _start(np.random.default_rng(seed))
     p["d"][0] = np.log(prior / (1 - prior))
 
-    for _ in range(ROUNDS):
-
-        def improve(part: pd.DataFrame, p=p) -> pd.DataFrame:
+    def improved(p: dict[str, np.ndarray]):
+        def improve(part: pd.DataFrame) -> pd.DataFrame:
             x, owner, y = _bags(part)
             found = descend(p, (x - mean) / scale, owner, y, LOCAL_STEPS)
             return pd.DataFrame([(part["part"].iloc[0], len(y), _flat(found))], columns=["part", "bags", "params"])
 
-        found = sorted(sample.groupBy("part").applyInPandas(improve, "part int, bags long, params binary").collect())
-        p = _unflat(sum(np.frombuffer(r.params) * (r.bags / bags) for r in found), p)
+        return improve
+
+    for _ in range(ROUNDS):
+        groups = sample.groupBy("part").applyInPandas(improved(p), "part int, bags long, params binary")
+        p = _unflat(sum(np.frombuffer(r.params) * (r.bags / bags) for r in sorted(groups.collect())), p)
     return Model(p, mean, scale, prior)
 
 

@@ -67,9 +67,13 @@ def fold(n: int) -> Column:
         FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM docs WHERE len(w) >= 5)
     ), sizes AS (
         SELECT item_id, shingle, n, count(*) AS times FROM own GROUP BY ALL
+    ), pairs AS (
+        -- A window that is alike enough shares 0.8 of the item's shingles at least.
+        SELECT doc_id, item_id, any_value(n) AS n, any_value(total) AS total
+        FROM (SELECT DISTINCT p.doc_id, p.i, o.item_id, o.n, p.total FROM places p JOIN own o USING (shingle))
+        GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * (any_value(n) - 4) - 1e-9
     ), windows AS (
-        SELECT DISTINCT doc_id, item_id, n, greatest(least(greatest(p.i - o.i, 0), total - n), 0) AS start
-        FROM places p JOIN own o USING (shingle)
+        SELECT doc_id, item_id, n, unnest(range(0, greatest(total - n, 0) + 1)) AS start FROM pairs
     ), held AS (
         SELECT w.doc_id, w.item_id, w.start, w.n, p.shingle, count(*) AS times
         FROM windows w JOIN places p ON p.doc_id = w.doc_id AND p.i > w.start AND p.i <= w.start + w.n - 4

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.arrow import map_texts, ship, slices
+from millrace.llm.arrow import map_texts, release, ship, slices
 
 MAX_ROWS = 20_000
 PRIOR = 20_000.0  # weight of the prior, in words
@@ -241,5 +241,6 @@ def drop_toxic(docs: DataFrame, model: Model, limit: float, text_col: str = "tex
                     for t in part.column(0).to_pylist()
                 ]
                 yield own.filter(pa.array(keep, pa.bool_()))
+        release()
 
     return docs.mapInArrow(run, docs.schema)

@@ -5,7 +5,7 @@ from millrace.operators.filters import filter_in
 from millrace.operators.flatten import absorb, flatten, relationalize, strip_name
 from millrace.operators.cleaning import strip_quotes
 from millrace.operators.dates import add_date_parts
-from millrace.operators.joins import equi_join
+from millrace.operators.joins import equi_join, salted_join
 from millrace.operators.mapping import Mapping, apply_mapping, read_mapping, source_schema, target_schema
 from millrace.operators.quality import (
     TooManyErrors,
@@ -17,10 +17,12 @@ from millrace.operators.quality import (
     write_metrics,
 )
 from millrace.session import shared_dir, fresh_dir
-from millrace.sinks.files import write_parquet, write_partitioned
+from millrace.folders import add, current, publish
+from millrace.sinks.files import append_partitions, write_parquet, write_partitioned
 from millrace.sinks.landing import land
 from millrace.sinks.warehouse import load_jdbc
 from millrace.sources.catalog import (
+    add_partitions,
     discover_table,
     mark_deprecated,
     read_table,
@@ -28,6 +30,7 @@ from millrace.sources.catalog import (
     register_table,
     sync_schema,
 )
+from millrace.sources.crawl import crawl, discover_new
 from millrace.sources.files import oversized_gzip, read_csv, read_json, read_parquet
 from millrace.streaming.incremental import ingest_incremental
 
@@ -35,11 +38,17 @@ __all__ = [
     "Mapping",
     "TooManyErrors",
     "absorb",
+    "add",
     "add_date_parts",
+    "add_partitions",
+    "append_partitions",
     "apply_mapping",
     "check_errors",
     "cluster",
     "count_records",
+    "crawl",
+    "current",
+    "discover_new",
     "discover_table",
     "equi_join",
     "filter_in",
@@ -53,6 +62,7 @@ __all__ = [
     "mark_deprecated",
     "metrics_row",
     "oversized_gzip",
+    "publish",
     "read_csv",
     "read_json",
     "read_mapping",
@@ -61,6 +71,7 @@ __all__ = [
     "refresh_partitions",
     "register_table",
     "relationalize",
+    "salted_join",
     "shared_dir",
     "source_schema",
     "spread",

@@ -114,16 +114,17 @@ def _clean(spark: SparkSession, place: str) -> None:
                 _delete(spark, f"{place}/{name}")  # from before the first version
 
 
-def add(spark: SparkSession, path: str, write: Callable[[str], None], name: str | None = None) -> bool:
+def add(spark: SparkSession, path: str, write: Callable[[str], None], name: str | None = None) -> list[str] | None:
     """Let ``write`` fill a folder aside, then move its files in beside those that are there.
 
-    Where ``write`` fails nothing is added. False, and ``write`` is not called, if ``name`` was added before.
+    Where ``write`` fails nothing is added. Returns the directories, relative to the folder, that got files; None, and
+    ``write`` is not called, if ``name`` was added before.
     """
     target = current(spark, path).rstrip("/")
     recover(spark, target)
     name = name or uuid.uuid4().hex
     if exists(spark, f"{target}/{ADDED}/{name}"):
-        return False
+        return None
     pending = f"{target}/{PENDING}/{name}"
     _delete(spark, pending)
     try:
@@ -132,8 +133,7 @@ def add(spark: SparkSession, path: str, write: Callable[[str], None], name: str
         _delete(spark, pending)
         raise
     touch(spark, f"{pending}/{COMPLETE}")
-    _move_in(spark, target, name)
-    return True
+    return _move_in(spark, target, name)
 
 
 def forget(spark: SparkSession, path: str, prefix: str, keep: int = 2) -> None:
@@ -169,10 +169,11 @@ def _files(fs, folder, below: str = "") -> Iterator[tuple[str, str]]:
             yield below, name
 
 
-def _move_in(spark: SparkSession, target: str, name: str) -> None:
+def _move_in(spark: SparkSession, target: str, name: str) -> list[str]:
     pending = f"{target}/{PENDING}/{name}"
     fs, folder = hadoop_path(spark, pending)
-    for below, file in list(_files(fs, folder)):
+    moved = list(_files(fs, folder))
+    for below, file in moved:
         (_, source), (_, place) = hadoop_path(spark, f"{pending}/{below}{file}"), hadoop_path(spark, f"{target}/{below}{file}")
         fs.mkdirs(place.getParent())
         # Another run may be finishing the same work.
@@ -180,3 +181,4 @@ def _move_in(spark: SparkSession, target: str, name: str) -> None:
             raise OSError(f"{source} could not be moved to {place}")
     touch(spark, f"{target}/{ADDED}/{name}")
     fs.delete(folder, True)
+    return sorted({below.rstrip("/") for below, _ in moved})

@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from millrace.operators.dates import DATE_PARTS, add_date_parts
 from millrace.queries.registry import derived, new_database, query, table, time_text
 from millrace.session import fresh_dir
-from millrace.sinks.files import write_parquet, write_partitioned
+from millrace.sinks.files import append_partitions, write_parquet, write_partitioned
 from millrace.sources.catalog import (
+    add_partitions,
     describe,
     discover_table,
     is_deprecated,
@@ -17,6 +18,7 @@ from millrace.sources.catalog import (
     register_table,
     sync_schema,
 )
+from millrace.sources.crawl import crawl
 from millrace.sources.files import read_csv, read_json, read_parquet
 from millrace.streaming.incremental import ingest_incremental
 
@@ -139,6 +141,50 @@ def partition_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refresh_partitions(spark, db, "events").groupBy(*DATE_PARTS).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("partitions_from_commits", """
+    SELECT day(ts)::INT AS day, event_type, count(*) AS n FROM events GROUP BY ALL
+""")
+def partitions_from_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog learns of partitions from what each append reports, without listing the folder."""
+    db, path = new_database(spark), fresh_dir(spark, "events-appended")
+    events = add_date_parts(table(spark, sf_dir, "events"), "ts").drop("ts")
+    keys = ["day", "event_type"]
+    append_partitions(events.filter("day <= 10"), path, keys)
+    register_table(spark, db, "events", path, "parquet")
+    for part in ("day > 10 and day <= 15", "day > 15", "day > 15"):
+        # The last one is a run that is repeated.
+        add_partitions(spark, db, "events", append_partitions(events.filter(part), path, keys, part.replace(" ", "")))
+    return read_table(spark, db, "events").groupBy("day", "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("catalog_crawl", """
+    SELECT 'customer' AS name, 'csv' AS fmt, 5 AS n_columns, count(*) AS n FROM customer
+    UNION ALL SELECT 'orders', 'json', 6, count(*) FROM orders
+    UNION ALL SELECT 'parts', 'parquet', 6, count(*) FROM part
+    UNION ALL SELECT 'regions', 'parquet', 2, 2 * count(*) FROM region
+    UNION ALL SELECT 'nation', 'parquet', 3, count(*) FROM nation
+    UNION ALL SELECT 'supplier', 'parquet', 4, count(*) FROM supplier
+""")
+def catalog_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders of several formats below one prefix, with and without partitions, published, nested, and two that are one table."""
+    db, prefix = new_database(spark), fresh_dir(spark, "extracts")
+    of = lambda name: table(spark, sf_dir, name)
+    of("customer").write.option("header", True).csv(f"{prefix}/raw/customer")
+    orders_text(spark, sf_dir).write.partitionBy("o_orderstatus").option("compression", "gzip").json(f"{prefix}/raw/orders")
+    write_parquet(of("part"), f"{prefix}/processed/parts")
+    for year in (2023, 2024):
+        of("region").write.parquet(f"{prefix}/processed/regions/{year}")
+    of("nation").write.parquet(f"{prefix}/mixed/nation")
+    of("supplier").write.parquet(f"{prefix}/mixed/supplier")
+    crawl(spark, db, prefix)
+    write_parquet(of("part"), f"{prefix}/processed/parts")
+    found = []
+    for t in crawl(spark, db, prefix):
+        rows = read_table(spark, db, t.table)
+        found.append((t.table, t.fmt, len(rows.columns), rows.count()))
+    return spark.createDataFrame(found, "name string, fmt string, n_columns int, n long")
+
+
 @query("schema_evolution", """
     SELECT 1 AS step, 'c_mktsegment' AS column_name, 'added' AS change,
            NULL::VARCHAR AS old_type, 'string' AS new_type, count(*) AS n FROM customer

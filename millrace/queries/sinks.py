@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from millrace.folders import current
 from millrace.operators.dates import DATE_PARTS, add_date_parts
 from millrace.operators.distribution import spread
-from millrace.operators.joins import equi_join
+from millrace.operators.joins import equi_join, salted_join
 from millrace.operators.quality import (
     READING,
     WRITING,
@@ -21,7 +21,7 @@ from millrace.operators.quality import (
 )
 from millrace.plans.refresh import Warehouse
 from millrace.plans.warehouse import load_warehouse
-from millrace.queries.registry import derived, new_database, query, table
+from millrace.queries.registry import derived, new_database, query, table, time_text
 from millrace.session import fresh_dir
 from millrace.sinks.files import write_parquet, write_partitioned
 from millrace.sinks.landing import land
@@ -55,6 +55,24 @@ def join_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return equi_join(orders, shipped.agg(F.count(F.lit(1)).alias("lines")), ["o_orderdate"], ["shipped"])
 
 
+@query("join_hot_key", """
+    SELECT o_orderkey, o_orderpriority, day, n_parts FROM (
+        SELECT *, CASE WHEN o_orderkey % 2 = 0 THEN '1995-01-01' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS of_day FROM orders)
+    JOIN (SELECT CASE WHEN l_shipdate < '1995-01-01' THEN '1995-01-01' ELSE strftime(l_shipdate, '%Y-%m-%d') END AS day,
+                 l_suppkey, count(*) AS n_parts FROM lineitem WHERE l_suppkey <= 3 GROUP BY ALL) ON of_day = day
+""")
+def join_hot_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One day holds half of the orders: its rows are dealt over salts, and the other side's replicated for each."""
+    day, hot = time_text("o_orderdate", "yyyy-MM-dd"), F.lit("1995-01-01")
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_orderpriority", F.when(F.col("o_orderkey") % 2 == 0, hot).otherwise(day).alias("of_day")
+    )
+    shipped = time_text("l_shipdate", "yyyy-MM-dd")
+    parts = table(spark, sf_dir, "lineitem").where("l_suppkey <= 3")
+    parts = parts.groupBy(F.when(shipped < hot, hot).otherwise(shipped).alias("day"), "l_suppkey").agg(F.count("*").alias("n_parts"))
+    return salted_join(orders, parts, ["of_day"], ["day"], 64).drop("of_day", "l_suppkey")
+
+
 @query("metrics", """
     SELECT action, records,
            concat('{"job_metrics":"copy","directory":"events","records":', records, ',"action":"', action, '"}') AS json

@@ -7,11 +7,12 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
 _local_dirs: dict[str, str] = {}
-_scratch: list[list[str]] = []
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)  # of each thread its own
 
 
 def local_session(app: str = "millrace", cpus: int | str = 8, **conf: str) -> SparkSession:
@@ -50,8 +51,8 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_dir(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that nothing has used before; it is not created."""
     folder = f"{shared_dir(spark)}/millrace/{label}-{uuid.uuid4().hex}"
-    if _scratch:
-        _scratch[-1].append(folder)
+    if (made := _scratch.get()) is not None:
+        made.append(folder)
     return folder
 
 
@@ -64,11 +65,13 @@ def hadoop_path(spark: SparkSession, path: str) -> tuple:
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Remove, at the end of a job that failed or not, the fresh folders that were made within."""
-    _scratch.append([])
+    made: list[str] = []
+    before = _scratch.set(made)
     try:
         yield
     finally:
-        for folder in _scratch.pop():
+        _scratch.reset(before)
+        for folder in made:
             fs, path = hadoop_path(spark, folder)
             fs.delete(path, True)
 

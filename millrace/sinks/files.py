@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.folders import current, exists, publish
+from millrace.folders import add, current, exists, publish
 from millrace.operators.distribution import cluster
 
 MODES = ("append", "overwrite", "replace")
@@ -65,3 +65,14 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     if mode == "append":
         refuse_stream(spark, path)
     write(current(spark, path))
+
+
+def append_partitions(df: DataFrame, path: str, by: Sequence[str], name: str | None = None) -> list[str]:
+    """Add rows to Hive-style partition directories, all of them or none, and return the directories that got files.
+
+    They are what a catalog has to hear of, see :func:`millrace.sources.catalog.add_partitions`. With a ``name``, a run that is repeated
+    adds nothing twice.
+    """
+    refuse_stream(df.sparkSession, path)
+    write = lambda folder: cluster(df, by).write.partitionBy(*by).option("compression", "snappy").parquet(folder)
+    return add(df.sparkSession, path, write, name) or []

@@ -91,7 +91,7 @@ def ingest_incremental(
             writer = rows.write.option("compression", "snappy")
             (writer.partitionBy(*partition_by) if partition_by else writer).parquet(folder)
 
-        if not add(spark, dst, write, f"{name}-{number:012d}"):
+        if add(spark, dst, write, f"{name}-{number:012d}") is None:
             return  # added before the last run was cut short
         forget(spark, dst, name)
         run = IngestRun(1, scanned.get["read"], scanned.get.get("bad", 0), wrote.get["written"])

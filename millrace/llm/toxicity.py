@@ -8,7 +8,7 @@ is in a text of n words follows an extreme-value law, ``P(best >= s) = 1 - exp(-
 logistic curve over that evidence and over the number and sum of significant segments gives the score.
 
 The model is fitted on at most about ``max_rows`` labelled documents (a hash of the id picks them; of rows that share an id
-one is taken), and has as many words as their toxic texts hold twice. Only words that speak clearly for toxicity keep their
+one is taken), and has as many words as stand in two of their toxic texts. Only words that speak clearly for toxicity keep their
 weight (``LEAST``); clean text is told by the loss alone, which all other words have in common. Null and empty texts have no segment and get the lowest evidence. Rows without a
 label are not learnt from; of an id labelled more than once the highest label counts. Without both classes among
 the labels every score is 0. Extra columns do not matter.
@@ -29,9 +29,10 @@ from pyspark.sql import functions as F
 from millrace.llm.arrow import map_texts, release, ship, slices
 
 MAX_ROWS = 20_000
-PRIOR = 20_000.0  # weight of the prior, in words
+PRIOR = 200_000.0  # weight of the prior, in words
 LOSS = 0.3  # what a word without weight costs
 LEAST = 0.7  # smallest weight that is kept
+LEAST_TEXTS = 2  # toxic texts that a word stands in at least; tokens of one text say little
 SIGNIFICANT = 0.01  # expected number of such segments in a clean text of the same length
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -127,24 +128,27 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = MAX_R
     sample = _labelled(docs, labels, learn, max_rows)
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts = (Counter(), Counter())
+        counts, texts = (Counter(), Counter()), Counter()
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            counts[label > 0].update(word_list(text))
+            found = word_list(text)
+            counts[label > 0].update(found)
+            if label > 0:
+                texts.update(set(found))
         every = list(counts[0] | counts[1])
         return pa.RecordBatch.from_arrays(
-            [pa.array(every, pa.binary()), *(pa.array([c[w] for w in every], pa.int64()) for c in (counts[1], counts[0]))],
-            ["word", "toxic", "clean"],
+            [pa.array(every, pa.binary()), *(pa.array([c[w] for w in every], pa.int64()) for c in (counts[1], counts[0], texts))],
+            ["word", "toxic", "clean", "texts"],
         )
 
-    counted = map_texts(sample.where("fold != 0"), ["label", "text"], count, "word binary, toxic long, clean long")
-    by_word = counted.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).persist()
+    counted = map_texts(sample.where("fold != 0"), ["label", "text"], count, "word binary, toxic long, clean long, texts long")
+    by_word = counted.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("toxic", "clean", "texts")]).persist()
     n1, n0 = by_word.agg(F.sum("toxic"), F.sum("clean")).first()
     if not n1 or not n0:
         by_word.unpersist()
         return Model()
     weight = log_odds(F.col("toxic"), F.col("clean"), float(n1), float(n0))
     rows = (
-        by_word.where("toxic >= 2")
+        by_word.where(F.col("texts") >= LEAST_TEXTS)
         .select("word", "clean", weight.alias("weight"))
         .where(F.col("weight") >= LEAST)
         .orderBy(F.desc("weight"), "word")

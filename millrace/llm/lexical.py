@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from millrace.llm.arrow import map_texts, ship, utf8
-from millrace.session import fresh_dir
+from millrace.session import fresh_dir, scratch
 
 BLOCK_BYTES = 1 << 20  # text of the items that are searched at once; a longer item is a block of its own
 RUN_DOCS, RUN_TERMS = 4_096, 1 << 20  # documents of a tree, and their terms
@@ -208,10 +208,11 @@ def rank(
         block = rows.where(block_of == b).orderBy("item_id", "text").select("item_id", "text").collect()
         if not block and b:
             continue
-        found = _block(docs, block, k, id_col, text_col, f"{base}/{b}", run_docs)
         names = [(i, (b << 32) + i, r.item_id) for i, r in enumerate(block)]
         names = spark.createDataFrame(names, StructType([*NUMBERED, rows.schema["item_id"]]))
-        found.join(F.broadcast(names), "place").drop("place").write.mode("append").parquet(f"{base}/found")
+        with scratch(spark):  # the documents' terms are removed when the block is done
+            found = _block(docs, block, k, id_col, text_col, fresh_dir(spark, "lexical-block"), run_docs)
+            found.join(F.broadcast(names), "place").drop("place").write.mode("append").parquet(f"{base}/found")
     order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     ranked = spark.read.parquet(f"{base}/found").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("item_id", "rank", "doc_id", "score")

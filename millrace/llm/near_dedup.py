@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.arrow import gram_hash, hash_words, map_texts, mix, run_hash, split_words, unused
-from millrace.session import fresh_dir
+from millrace.session import fresh_dir, scratch
 
 SHINGLE = 5
 LIKENESS = 0.8
@@ -393,6 +393,15 @@ def classes(rows: DataFrame, likeness: float, size: int, base: str) -> DataFrame
     return out.select("rid", F.coalesce("root", "rep").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
+def _placed(rows: DataFrame, likeness: float, size: int) -> DataFrame:
+    """``classes``, written once; the tables between are removed."""
+    spark = rows.sparkSession
+    out = fresh_dir(spark, "near-dedup-classes")
+    with scratch(spark):
+        classes(rows.select("rid", "text"), likeness, size, fresh_dir(spark, "near-dedup")).write.parquet(out)
+    return rows.select("rid", "doc_id").join(spark.read.parquet(out), "rid")
+
+
 def near_duplicates(
     docs: DataFrame, likeness: float = LIKENESS, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -400,10 +409,7 @@ def near_duplicates(
 
     ``n_links`` counts the checked links to other texts; equal texts are folded and count once.
     """
-    base = fresh_dir(docs.sparkSession, "near-dedup")
-    rows = _named(docs, id_col, text_col)
-    found = classes(rows.select("rid", "text"), likeness, size, base)
-    placed = rows.select("rid", "doc_id").join(found, "rid")
+    placed = _placed(_named(docs, id_col, text_col), likeness, size)
     per = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     return placed.join(per, "root").select("doc_id", "class_id", "class_size", F.col("links").alias("n_links"))
 
@@ -417,10 +423,7 @@ def drop_near_duplicates(
     docs: DataFrame, likeness: float = LIKENESS, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``docs`` with one document of each class: the one with the smallest id; of rows that repeat it, one."""
-    base = fresh_dir(docs.sparkSession, "near-dedup")
-    rows = _named(docs, id_col, text_col)
-    found = classes(rows.select("rid", "text"), likeness, size, base)
-    placed = rows.select("rid", "doc_id").join(found, "rid")
+    placed = _placed(_named(docs, id_col, text_col), likeness, size)
     least = placed.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "rid")).alias("one"))
     rid = unused(docs.columns, "__rid")
     least = least.select(F.col("one")["rid"].alias(rid))

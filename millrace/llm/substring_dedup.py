@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.arrow import gram_hash, hash_words, map_texts, release, ship, slices, split_words, utf8, words
-from millrace.session import fresh_dir
+from millrace.session import fresh_dir, scratch
 
 WINDOW = 35
 ANCHOR = 6
@@ -424,7 +424,11 @@ def remove_repeats(
         raise ValueError("an anchor has at least one word and at most as many as a window")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    found = repeated_intervals(rows, window, anchor, fresh_dir(docs.sparkSession, "substring-dedup"))
+    spark = docs.sparkSession
+    spans = fresh_dir(spark, "repeats")
+    with scratch(spark):  # the tables between are removed
+        repeated_intervals(rows, window, anchor, fresh_dir(spark, "substring-dedup")).write.parquet(spans)
+    found = spark.read.parquet(spans)
     joined = rows.join(found, _same(rows, found), "left").select(rows["doc_id"], found["spans"], rows["text"])
 
     def remove(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from millrace.llm.arrow import map_texts, release, ship, slices
 
 MAX_ROWS = 20_000
-PRIOR = 200_000.0  # weight of the prior, in words
+PRIOR = 0.2  # weight of the prior, as a share of the labelled words
 LOSS = 0.3  # what a word without weight costs
 LEAST = 0.7  # smallest weight that is kept
 LEAST_TEXTS = 2  # toxic texts that a word stands in at least; tokens of one text say little
@@ -49,9 +49,10 @@ class Model:
     curve: tuple[float, ...] = ()
 
 
-def log_odds(toxic: Column, clean: Column, n1: float, n0: float, prior: float = PRIOR) -> Column:
+def log_odds(toxic: Column, clean: Column, n1: float, n0: float, share: float = PRIOR) -> Column:
     """Log-odds of a word, moved towards 0 by one standard error; the prior follows the counts of both classes."""
-    alpha = prior * (toxic + clean) / (n1 + n0)
+    prior = share * (n1 + n0)
+    alpha = share * (toxic + clean)
     a, b = toxic + alpha, clean + alpha
     delta = F.log(a / (n1 + prior - a)) - F.log(b / (n0 + prior - b))
     return F.signum(delta) * F.greatest(F.lit(0.0), F.abs(delta) - F.sqrt(1 / a + 1 / b))

@@ -9,7 +9,7 @@ import pytest
 from oracle import connect, differences
 
 import __spark_entry__ as contract
-from millrace.queries import ORACLE, QUERIES
+from millrace.queries import ORACLE, QUERIES, flows, registry
 
 SF = "/root/testdata/sf0.001"
 ROOT = Path(contract.__file__).resolve().parent
@@ -50,3 +50,16 @@ def test_query(spark, con, name):
 def test_entry(spark):
     df = contract.entry(spark)
     assert df.count() == 1000 and len(df.columns) == 72
+
+
+def test_many_rows_of_a_directory_are_written_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(flows, "RAW_ROWS", 100)
+    monkeypatch.setattr(registry, "_made", {})
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        raw = flows.keyed_job_files(spark, SF)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    rows = spark.read.json(raw)
+    assert len(rows.inputFiles()) > 3
+    assert rows.count() == rows.select("jsonBody.JOB_ID").distinct().count() == 1000

@@ -106,7 +106,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _power(kind: str, n: int) -> np.ndarray:
     if len(_powers[kind]) < n:
         base = _BASE if kind == "up" else pow(_BASE, -1, 1 << 64)
-        factors = np.full(max(n, SLICE_BYTES + 1), np.uint64(base))
+        factors = np.full(max(n, 1 << 16), np.uint64(base))
         factors[0] = 1
         _powers[kind] = np.cumprod(factors, dtype=np.uint64)
     return _powers[kind][:n]

@@ -26,9 +26,25 @@ from millrace.llm.tokens import Memo, encode_parts, split, tokenizer
 WINDOW = 48  # bytes the rolling hash looks at
 MASK = (1 << 12) - 1  # a chunk ends where these bits of the hash are 0: every 4096 bytes on average
 STAY = 100_000  # parts that a worker remembers from one task to the next
+BLOCK = 1 << 17  # bytes hashed at once; the arrays for it take about 70 times as much
 CHUNK_BYTES = 4 << 20  # text of the chunks a worker remembers
 
 
+def _ids(known: bytes | tuple[bytes, str]) -> bytes:
+    return known if isinstance(known, bytes) else known[0]
+
+
+def _decoded(part: str, known: bytes | tuple[bytes, str]) -> str:
+    return " " + part if isinstance(known, bytes) else known[1]
+
+
+def _ends(raw: np.ndarray, start: int, stop: int) -> np.ndarray:
+    """Where, from ``start`` up to ``stop``, the hash of the bytes before ends a chunk."""
+    own = raw[start - WINDOW : stop]
+    ends = np.arange(WINDOW, len(own))
+    return ends[(mix(range_hash(prefix_hash(own), ends - WINDOW, ends)) & np.uint64(MASK)) == 0] + (start - WINDOW)
+
+
 class Codec:
     """Encodes and decodes texts with one tokenizer, reusing chunks."""
 
@@ -43,7 +59,8 @@ class Codec:
     def _make(self, new: list[str]):
         ids = encode_parts(self.library, new)
         texts = self.library.decode_batch([i.tolist() for i in ids], skip_special_tokens=False)
-        return [(i.tobytes(), t) for i, t in zip(ids, texts)]
+        # The decoded text takes memory of its own only where it is not the part again.
+        return [i.tobytes() if t == " " + p else (i.tobytes(), t) for p, i, t in zip(new, ids, texts)]
 
     def rest(self) -> None:
         """Give memory back between tasks, for other operators in the same worker; some parts stay known."""
@@ -64,8 +81,7 @@ class Codec:
         """The chunks of each text; joined they are the text."""
         column = pa.array(texts, pa.large_string())
         raw, offsets = utf8(column)
-        ends = np.arange(WINDOW, len(raw))
-        hits = ends[(mix(range_hash(prefix_hash(raw), ends - WINDOW, ends)) & np.uint64(MASK)) == 0]
+        hits = np.concatenate([np.zeros(0, np.int64), *(_ends(raw, a, a + BLOCK) for a in range(WINDOW, len(raw), BLOCK))])
         hits = hits[(raw[hits] & 0xC0) != 0x80]  # not within a character
         out = []
         for text, a, b in zip(texts, offsets[:-1], offsets[1:]):
@@ -94,7 +110,10 @@ class Codec:
         for chunk, parts in cut.items():
             body = parts[1:-1]
             found = [known[p] for p in body]
-            inner = (b"".join([f[0] for f in found]), "".join([f[1] for f in found]))
+            if {bytes}.issuperset(map(type, found)):
+                inner = (b"".join(found), "".join([" " + p for p in body]))
+            else:
+                inner = (b"".join(map(_ids, found)), "".join(map(_decoded, body, found)))
             tail = " " + parts[-1] if len(parts) > 1 else ""
             self.chunks[chunk] = (parts[0], body[:1], body[-1:], tail, inner)
             self.held += len(chunk)
@@ -125,7 +144,7 @@ class Codec:
     def _known(self, part: str) -> bytes:
         if part not in self.parts:
             self.parts.learn([[part]])
-        return self.parts[part][0]
+        return _ids(self.parts[part])
 
     def run(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """Token ids (little-endian, 32 bits) and decoded text of each text."""

@@ -51,9 +51,10 @@ def encode_parts(library, parts: list[str]) -> list[np.ndarray]:
     """The ids of each part with a space before it; parts stand one after the other in a few long texts."""
     out: list[np.ndarray | None] = [None] * len(parts)
     bulk = [i for i, p in enumerate(parts) if _ENDS_SOLID.search(p)]
-    runs = [bulk[i : i + _BULK] for i in range(0, len(bulk), _BULK)]
-    encodings = library.encode_batch(["".join(" " + parts[i] for i in run) for run in runs], add_special_tokens=False)
-    for run, encoding in zip(runs, encodings):
+    for first in range(0, len(bulk), _BULK):
+        run = bulk[first : first + _BULK]
+        # One after the other: an encoding takes many times the memory of its text.
+        encoding = library.encode("".join(" " + parts[i] for i in run), add_special_tokens=False)
         starts = np.cumsum([0, *(len(parts[i]) + 1 for i in run)])
         # A token may leave its white space out of its offsets, but never reaches into the next part.
         at = np.searchsorted(offsets(encoding)[:, 0], starts)

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -797,3 +798,30 @@ def test_codec_gives_the_same_after_it_rested():
     first = codec.run(texts)
     codec.rest()
     assert not codec.chunks and codec.run(texts) == first
+
+
+def test_codec_holds_little_beside_its_texts(monkeypatch):
+    """A part's text is not held twice, and what finds the chunks works in blocks, also in a very long text."""
+    codec = bpe_chunks.Codec(Tokenizer.from_file(PATH))
+    texts = ["plain words é 汉 stand here once more, and again", "", "a � b\u0000c d <|endoftext|> e"]
+    expected = [codec.library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids, _ in codec.run(texts)] == expected
+    assert [text for _, text in codec.run(texts)] == [codec.library.decode(e, skip_special_tokens=False) for e in expected]
+    assert all(isinstance(codec.parts[p], bytes) for p in ("words", "stand", "here"))
+
+    long = "".join(random.Random(5).choices("abcdefgh é汉", k=1_500_000))
+    tracemalloc.start()
+    cut = codec.cut(["short", long])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert "".join(cut[1]) == long and len(cut[1]) > 100
+    assert peak < 16 * len(long.encode())
+    for block in (5_000, 1 << 24):
+        monkeypatch.setattr(bpe_chunks, "BLOCK", block)
+        assert codec.cut(["short", long]) == cut
+
+
+def test_parts_that_decode_to_other_text_keep_it():
+    codec = bpe_chunks.Codec(Tokenizer.from_file(PATH))
+    codec.parts.make = lambda new: [(b"\1\0\0\0", "!") if p == "odd" else codec._make([p])[0] for p in new]
+    assert codec.run(["so plain odd words end here"])[0][1] == "so plain! words end here"

@@ -325,9 +325,9 @@ def classes(rows: DataFrame, likeness: float, size: int, base: str) -> DataFrame
         """Texts of very unlike length cannot be alike enough."""
         return F.least(m, n) >= F.greatest(m, n) * (likeness - 1e-9)
 
-    def leaders(members: DataFrame, nodes: DataFrame, salt: int) -> DataFrame:
+    def leaders(nodes: DataFrame, salt: int) -> DataFrame:
         """The members of buckets that hold more than one class, each with a member of the largest class drawn by ``salt``."""
-        member = members.join(nodes, "rid")
+        member = slots.select("bucket", "rid", "n_runs").join(nodes, "rid")
         drawn = F.min_by(F.struct("rid", "n_runs"), F.xxhash64("rid", "bucket", F.lit(salt))).alias("lead")
         per = member.groupBy("bucket", "root").agg(F.count("*").alias("n"), drawn)
         largest = F.struct(F.col("root").alias("main"), "lead", F.col("n").alias("main_n"))
@@ -338,7 +338,7 @@ def classes(rows: DataFrame, likeness: float, size: int, base: str) -> DataFrame
         per = per.where("kinds > 1 and total > 2").select(
             "bucket", "m.main", F.col("m.lead").alias("drawn"), "total", (F.col("total") - F.col("m.main_n")).alias("others")
         )
-        return kept(member.join(per, "bucket"), f"members{salt}")
+        return member.join(per, "bucket")
 
     ends = ["a", "b", "ra", "rb"]
 
@@ -356,12 +356,11 @@ def classes(rows: DataFrame, likeness: float, size: int, base: str) -> DataFrame
     nodes = merge(nodes, passed.select("ra", "rb"), f"{base}/round0")
 
     # Members outside the largest class of their bucket against other members of it. Texts of two classes have not
-    # passed before, and a bucket that holds one class only is done with.
-    members = slots.select("bucket", "rid", "n_runs")
+    # passed before, and a bucket that holds one class only is done with. The largest class is left out by the join
+    # itself: its members would be most of the rows, and none of them is compared here.
     for salt in range(1, ROUNDS + 1):
         drawn = F.col("drawn")
-        member = leaders(members, nodes, salt)
-        members = member.select("bucket", "rid", "n_runs")
+        member = leaders(nodes, salt)
         rest = member.where((F.col("root") != F.col("main")) & comparable(F.col("n_runs"), drawn["n_runs"]))
         rest = rest.select(
             F.least("rid", drawn["rid"]).alias("a"),
@@ -375,7 +374,8 @@ def classes(rows: DataFrame, likeness: float, size: int, base: str) -> DataFrame
 
     # Whatever still meets in a bucket without being of one class: the members outside the largest
     # class against all of another class, block by block, so that only pairs that pass leave a task.
-    member = leaders(members, nodes, ROUNDS + 1).select("bucket", "rid", "root", "main", "total", "others")
+    member = leaders(nodes, ROUNDS + 1).select("bucket", "rid", "root", "main", "total", "others")
+    member = kept(member, "members")
     blocks = lambda n: F.ceil(F.col(n) / BLOCK_TEXTS).cast("int")
     own = lambda n: F.pmod(F.xxhash64("rid", "bucket"), blocks(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))

@@ -200,6 +200,29 @@ def test_near_duplicates(spark, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_members_of_the_largest_class_are_emitted_once(spark, tmp_path):
+    draw = random.Random(5)
+    start = [f"w{i}" for i in range(80)]
+
+    def changed(n):
+        copy = list(start)
+        for i in draw.sample(range(80), n):
+            copy[i] = f"x{draw.randrange(10**6)}"
+        return " ".join(copy)
+
+    # Alike to the first text by 0.87 or more, and, further off, by about 0.5 to 0.75.
+    texts = [" ".join(start), *(changed(1) for _ in range(40)), *(changed(n) for n in (4, 5, 6) for _ in range(4))]
+    base, ids = str(tmp_path / "steps"), list(range(len(texts)))
+    rows = spark.createDataFrame(list(enumerate(texts)), "rid long, text string")
+    got = near_dedup.classes(rows, near_dedup.LIKENESS, near_dedup.SHINGLE, base).collect()
+    size = Counter(r.root for r in got)
+    assert sorted(((r.rid, r.root, size[r.root]) for r in got), key=str) == classes(ids, texts)
+    assert max(size.values()) > 40 and len(size) > 4
+    written = [spark.read.parquet(str(p)).select("bucket", "rid", "root", "main") for p in (tmp_path / "steps").glob("members*")]
+    seen = Counter((r.bucket, r.rid) for df in written for r in df.where("root = main").collect())
+    assert seen and set(seen.values()) == {1}
+
+
 def test_signatures_estimate_weighted_jaccard():
     draw, errors = random.Random(3), []
     words = [f"w{i}" for i in range(40)]
